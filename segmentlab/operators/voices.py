@@ -114,7 +114,8 @@ def stretch_plan(clips: DataFrame, lo: float = fixed.MIN_RATE, hi: float = fixed
         F.when(target <= 0, "error").when(current <= 0, "passthrough")
         .when(raw > hi, "clamped_high").when(raw < lo, "clamped_low").otherwise("ok")
     )
-    return clips.withColumn("rate", F.least(F.greatest(raw, F.lit(lo)), F.lit(hi))).withColumn("state", state)
+    clamped = F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
+    return clips.withColumn("rate", clamped).withColumn("state", state)
 
 
 def stretch_distribution(plan: DataFrame, digits: int = 4) -> DataFrame:
