@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segmentlab.checks.views import Views
 
-MODULES = ["detections"]
+MODULES = ["jobs", "ingest"]
 _JOBS: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

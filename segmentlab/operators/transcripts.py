@@ -96,26 +96,35 @@ def chunk_segments(segments: DataFrame, size: int = fixed.CHUNK_SIZE) -> DataFra
     )
 
 
-def _line() -> Column:
-    speaker = F.when(text.is_blank(F.col("speaker")), fixed.NO_SPEAKER).otherwise(F.col("speaker"))
-    return F.concat(F.lit("["), speaker, F.lit("] "), F.col("original_text"))
+def _speaker() -> Column:
+    return F.when(text.is_blank(F.col("speaker")), fixed.NO_SPEAKER).otherwise(F.col("speaker"))
 
 
-def chunk_context(chunks: DataFrame, window: int = fixed.CONTEXT_LINES, size: int = fixed.CHUNK_SIZE) -> DataFrame:
-    """``job_id, chunk, context``: the last source lines of the chunk before.
+def _gather(chunks: DataFrame, item: Column, window: int, size: int) -> DataFrame:
+    """One row per chunk with its ``items`` and the last lines of the chunk before.
 
-    Every chunk that has a successor is full, so its tail is the rows with the
-    last ``window`` ids; groups hold at most ``window`` rows.
+    A chunk that has a successor is full, so its tail is the rows with the last
+    ``window`` ids. Those rows are sent to their own chunk and to the next one:
+    one shuffle, and no group holds more than ``size + window`` rows.
     """
     if window > size:
         raise ValueError("the context window may not be larger than a chunk")
-    tails = chunks.filter(F.col("id") >= size - window).withColumn("chunk", F.col("chunk") + 1)
-    contexts = tails.groupBy("job_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("id", _line().alias("line")))).alias("_lines"),
-    ).select("job_id", "chunk", F.array_join(F.col("_lines.line"), "\n").alias("context"))
-    chunk_keys = chunks.filter(F.col("id") == 0).select("job_id", "chunk")
-    return chunk_keys.join(contexts, ["job_id", "chunk"], "left").withColumn(
-        "context", F.coalesce("context", F.lit("")))
+    own = F.struct(F.col("chunk").alias("to"), F.lit(True).alias("own"))
+    after = F.struct((F.col("chunk") + 1).alias("to"), F.lit(False).alias("own"))
+    sent = chunks.withColumn("_item", item).withColumn("_send", F.explode(
+        F.when(F.col("id") >= size - window, F.array(own, after)).otherwise(F.array(own))))
+    line = F.struct("id", F.concat(F.lit("["), _speaker(), F.lit("] "), F.col("original_text")).alias("line"))
+    is_own = F.col("_send.own")
+    grouped = sent.groupBy("job_id", F.col("_send.to").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.when(is_own, F.col("_item")))).alias("items"),
+        F.sort_array(F.collect_list(F.when(~is_own, line))).alias("_before"))
+    return grouped.filter(F.size("items") > 0).withColumn(
+        "context", F.array_join(F.col("_before.line"), "\n")).drop("_before")
+
+
+def chunk_context(chunks: DataFrame, window: int = fixed.CONTEXT_LINES, size: int = fixed.CHUNK_SIZE) -> DataFrame:
+    """``job_id, chunk, context``: the last source lines of the chunk before."""
+    return _gather(chunks, F.struct("id"), window, size).select("job_id", "chunk", "context")
 
 
 SYSTEM_TEXT = {
@@ -145,19 +154,18 @@ def build_requests(chunks: DataFrame, lang: Column | str, style: Column | str,
                    window: int = fixed.CONTEXT_LINES, size: int = fixed.CHUNK_SIZE) -> DataFrame:
     """One row per chunk: ``items`` (JSON), ``context``, prompt ``variant`` and both texts.
 
-    The wording of the prompts is the caller's; short defaults are supplied.
+    The wording of the prompts is the caller's; short defaults are supplied. ``lang``
+    and ``style`` hold for all rows.
     """
     lang = F.lit(lang) if isinstance(lang, str) else lang
     style = F.lit(style) if isinstance(style, str) else style
     wording = {**SYSTEM_TEXT, **(system_text or {})}
-    speaker = F.when(text.is_blank(F.col("speaker")), fixed.NO_SPEAKER).otherwise(F.col("speaker"))
-    item = F.struct("id", speaker.alias("speaker"), "max_words", F.col("original_text").alias("text"))
-    requests = with_word_budget(chunks).groupBy("job_id", "chunk").agg(
-        F.sort_array(F.collect_list(item)).alias("_items"), F.count("*").alias("n_items"))
+    item = F.struct("id", _speaker().alias("speaker"), "max_words", F.col("original_text").alias("text"))
+    gathered = _gather(with_word_budget(chunks), item, window, size)
     context = F.when(F.col("context") == "", fixed.NO_CONTEXT).otherwise(F.col("context"))
-    full = requests.join(chunk_context(chunks, window, size), ["job_id", "chunk"]).select(
-        "job_id", "chunk", "n_items", F.to_json("_items").alias("items"), context.alias("context"),
-        prompt_variant(lang).alias("variant"), lang.alias("lang"), style.alias("style"))
+    full = gathered.select(
+        "job_id", "chunk", F.size("items").cast("bigint").alias("n_items"), F.to_json("items").alias("items"),
+        context.alias("context"), prompt_variant(lang).alias("variant"), lang.alias("lang"), style.alias("style"))
     chosen = F.when(F.col("variant") == "vi", _fill(wording["vi"], lang=F.col("lang"), style=F.col("style")))
     other = _fill(wording["other"], lang=F.col("lang"), style=F.col("style"))
     return full.withColumn("system", chosen.otherwise(other)).withColumn(

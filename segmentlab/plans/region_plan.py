@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentlab.operators import detections as d
+from segmentlab.session import written
 
 
 def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,15 +14,19 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
 
     Static boxes are always on. Text elsewhere becomes horizontal bands that are
     on only at their frames, and at no frame is more than the budget covered.
+
+    Three results are read by several later steps and are written to the shared
+    folder: the static boxes (few per video), the rows with text per frame, and
+    the frames of the bands kept. The detections are read three times in all.
     """
-    found = d.oversize_filter(d.static_boxes(detections, frames), videos)
+    found = written(d.oversize_filter(d.static_boxes(detections, frames), videos), "static")
     # The cover uses the boxes as found, of those that survive the clamp.
     clamped = d.clamp_even(found.select("video_id", "gx", "gy", "x", "y", "w", "h"), videos)
     survivors = found.join(clamped.select("video_id", "gx", "gy"), ["video_id", "gx", "gy"], "left_semi")
     moving = d.outside_cover(detections, d.grid_cover(survivors))
     statics = d.static_budget(clamped, videos)
 
-    per_row = d.row_frames(videos, moving)
+    per_row = written(d.row_frames(videos, moving), "rows")
     kept = d.row_bands(videos, moving, per_row=per_row)
     heights = videos.select("video_id", "height", d.row_height(F.col("height")).alias("row_h"))
     boxes = kept.join(heights, "video_id").select(
@@ -31,7 +36,7 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
     bands = d.clamp_even(boxes, videos)
     on = per_row.join(bands.select("video_id", "row_id"), ["video_id", "row_id"], "left_semi").select(
         "video_id", "row_id", "frame_idx")
-    on = d.fill_single_gaps(on, videos)
+    on = written(d.fill_single_gaps(on, videos), "bands")
     spread = d.temporal_spread(on, videos)
     sized = bands.join(spread, ["video_id", "row_id"])
     weighed = on.join(sized.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmentlab.functions import text
 from segmentlab.operators import blocks
-from segmentlab.session import shared_dir
+from segmentlab.session import written
 
 _LINE = "array<struct<start:double,`end`:double,text:string,speaker:string,translated:string>>"
 EXPORT_ROWS = 10_000
@@ -76,7 +76,6 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
     in place of the old. A long job is spread over several files of its bucket.
     """
     spark = segments.sparkSession
-    staging = f"{shared_dir(spark)}/segments-{_token()}"
     fresh = segments.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
     if _exists(spark, path):
         touched = fresh.select("job_id", "job_bucket").distinct()
@@ -84,17 +83,10 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
         kept = old.join(touched.select("job_id"), "job_id", "left_anti")
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
     spread = fresh.repartition("job_bucket", blocks.block_of(F.col("seq")))
-    spread.write.mode("overwrite").partitionBy("job_bucket").parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (written(spread, "segments").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job_bucket").parquet(path))
 
 
-def _token() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
