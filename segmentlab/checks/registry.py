@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segmentlab.checks.views import Views
 
-MODULES = ["jobs", "ingest"]
+MODULES = ["transcripts", "texts", "voices", "detections", "jobs", "ingest", "streams"]
 _JOBS: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

@@ -42,13 +42,13 @@ def _merge_lines(lines: GroupedData) -> DataFrame:
     )
 
 
-def open_pieces(segments: DataFrame) -> DataFrame:
+def open_pieces(segments: DataFrame, *also: str) -> DataFrame:
     """Segments in the form runs are merged in: ``said`` gathers every non-empty
     translation, ``translated_text`` stays that of the first line."""
     return segments.select(
         "job_id", "seq", F.col("seq").alias("last_seq"), "start_time", "end_time", "original_text",
         "translated_text", F.coalesce("translated_text", F.lit("")).alias("said"), "speaker",
-        F.lit(1).cast("bigint").alias("n_lines"),
+        F.lit(1).cast("bigint").alias("n_lines"), *also,
     )
 
 
