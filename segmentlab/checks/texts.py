@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from segmentlab.checks.registry import query
 from segmentlab.checks.views import with_views
 from segmentlab.functions import fixed
-from segmentlab.functions.text import NOT_SPACE, SPACE, WRONG_SCRIPT
+from segmentlab.checks.views import NOT_SPACE, SPACE
+from segmentlab.functions.text import WRONG_SCRIPT
 from segmentlab.operators import normalize as n
 from segmentlab.plans.corpus_text import hit_report, normalize_corpus
 

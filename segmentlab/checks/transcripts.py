@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from segmentlab.checks.registry import query
 from segmentlab.checks.views import with_views
-from segmentlab.functions.text import SPACE, WRONG_SCRIPT
+from segmentlab.checks.views import SPACE
+from segmentlab.functions.text import WRONG_SCRIPT
 from segmentlab.operators import transcripts as t
 from segmentlab.sources import transcripts as files
 

@@ -11,6 +11,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segmentlab.session import dealt
+
+# White space as SQL patterns spell it.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
+
 TABLES = ["events", "orders", "documents", "conversations", "pages", "customer"]
 
 # Time of day of turn t: a slot of 8 s shifted by up to 6 s, and a pause of 0 to 1.6 s before the next.
@@ -166,7 +172,8 @@ class Views:
         return TABLES
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return dealt(table) if name == "documents" else table
 
     def sql(self, text: str, *names: str) -> DataFrame:
         assert self._tables

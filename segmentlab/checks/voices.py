@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from segmentlab.checks.registry import query
 from segmentlab.checks.texts import TRIM
 from segmentlab.checks.views import with_views
-from segmentlab.functions.text import SPACE
+from segmentlab.checks.views import SPACE
 from segmentlab.operators import voices as o
 from segmentlab.sources.voices import usable_presets
 

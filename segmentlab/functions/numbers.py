@@ -15,11 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from segmentlab.functions import fixed
-from segmentlab.functions.text import DIGIT, EDGE
+from segmentlab.functions.text import DIGIT, WORD
 
 NUMBER = rf"{DIGIT}[{DIGIT}.,]*{DIGIT}|{DIGIT}"
-ACRONYM = rf"{EDGE}[A-Z]{{2,4}}{EDGE}"
-PHONE = rf"(?<!{DIGIT})\+?{DIGIT}[{DIGIT} \-]{{7,12}}{DIGIT}(?!{DIGIT})"
+ACRONYM = rf"(?=[A-Z])(?<!{WORD})[A-Z]{{2,4}}(?!{WORD})"
+PHONE = rf"(?=[+{DIGIT}])(?<!{DIGIT})\+?{DIGIT}[{DIGIT} \-]{{7,12}}{DIGIT}(?!{DIGIT})"
 
 
 def vi_triplet(n: int, padded: bool) -> str:

@@ -14,26 +14,30 @@ from pyspark.sql.types import StringType
 
 from segmentlab.functions import fixed
 
-# Character classes with the meaning Python gives \w, \s, \d on str. They are
-# spelled out because Java's own (?U) classes differ (marks, other numbers).
+# Character classes with the meaning Python gives \w, \s, \d on str. Java's own
+# Unicode \w differs (marks, other numbers), so letters and numbers are spelled out;
+# its Unicode \s lacks only the four separators 1C to 1F.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+SPACE = r"(?U:[\s\x{1c}-\x{1f}])"
+NOT_SPACE = r"(?U:[^\s\x{1c}-\x{1f}])"
 DIGIT = r"\p{Nd}"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 LETTER = "A-Za-zÀ-ỹ"
 WRONG_SCRIPT = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in fixed.WRONG_SCRIPT_RANGES) + "]"
+# One wide range that holds all of them: a text without it needs no closer look.
+_MAYBE_WRONG_SCRIPT = (
+    rf"[\x{{{min(a for a, _ in fixed.WRONG_SCRIPT_RANGES):x}}}-\x{{{max(b for _, b in fixed.WRONG_SCRIPT_RANGES):x}}}]")
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}++|{SPACE}++$", "")
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; ends are stripped."""
-    return strip(F.regexp_replace(text, rf"{SPACE}{{2,}}", " "))
+    return strip(F.regexp_replace(text, rf"{SPACE}{{2,}}+", " "))
 
 
 def is_blank(text: Column) -> Column:
@@ -47,12 +51,14 @@ def half_even(value: Column) -> Column:
 
 
 def has_wrong_script(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(WRONG_SCRIPT)
+    """Give it a plain column: it is read twice."""
+    return F.coalesce(text.rlike(_MAYBE_WRONG_SCRIPT) & text.rlike(WRONG_SCRIPT), F.lit(False))
 
 
 def without_wrong_script(text: Column) -> Column:
-    kept = F.regexp_replace(text, WRONG_SCRIPT, "")
-    return squeeze(F.regexp_replace(kept, rf"{SPACE}+([,.;:!?])", "$1"))
+    """Give it a plain column: it is read several times."""
+    kept = F.when(text.rlike(_MAYBE_WRONG_SCRIPT), F.regexp_replace(text, WRONG_SCRIPT, "")).otherwise(text)
+    return squeeze(F.regexp_replace(kept, rf"{SPACE}++([,.;:!?])", "$1"))
 
 
 def map_tokens(df: DataFrame, col: str, pattern: str, spoken: Callable[[Column], Column],
@@ -74,13 +80,18 @@ def map_tokens(df: DataFrame, col: str, pattern: str, spoken: Callable[[Column],
     return tokens.withColumn(col, changed).drop("_tokens")
 
 
+def _char_class(ranges: list[tuple[int, int]], negated: bool = False) -> str:
+    return "[" + "^" * negated + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 @functools.cache
-def _unstable_class() -> str:
-    """Regex class of every code point that NFC may change or reorder.
+def _unstable_classes() -> tuple[str, str]:
+    """Regex classes ``(rough, exact)`` of the code points NFC may change or reorder.
 
-    A text without any of them is already NFC. The class is derived from the
+    A text without any of them is already NFC. ``exact`` is derived from the
     Unicode data: points that normalise to something else, combining marks, and
-    the second half of every canonical pair.
+    the second half of every canonical pair. It has hundreds of ranges and is slow
+    to test, so ``rough`` leaves out only the widest stretches of safe points.
     """
     points: set[int] = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
     for cp in range(sys.maxunicode + 1):
@@ -98,7 +109,11 @@ def _unstable_class() -> str:
             ranges[-1][1] = cp
         else:
             ranges.append([cp, cp])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    gaps = [(0, ranges[0][0] - 1)] + [(a[1] + 1, b[0] - 1) for a, b in zip(ranges, ranges[1:])]
+    widest = sorted(gaps, key=lambda g: g[0] - g[1])[:6]
+    # Latin and Vietnamese letters come first, they are what most texts consist of.
+    safe = [gaps[0], *[g for g in gaps if g[0] <= 0x1EA0 <= g[1]], *widest]
+    return _char_class(list(dict.fromkeys(safe)), negated=True), _char_class([tuple(r) for r in ranges])
 
 
 @F.pandas_udf(StringType())
@@ -110,29 +125,30 @@ def nfc(text: Column) -> Column:
     """Unicode NFC of a plain column. Spark has no normaliser, so the few rows that
     may change go through one vectorised function; all others send NULL and keep
     their text."""
-    return F.coalesce(_nfc_batch(F.when(text.rlike(_unstable_class()), text)), text)
+    rough, exact = _unstable_classes()
+    return F.coalesce(_nfc_batch(F.when(text.rlike(rough) & text.rlike(exact), text)), text)
 
 
-ADDRESS = (
-    rf"(?iu)https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
-    rf"|{EDGE}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+{EDGE}"
-)
+_WEB = rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
+_MAIL = rf"{EDGE}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+{EDGE}"
+ADDRESS = f"(?iu){_WEB}|{_MAIL}"
 
 
 def without_addresses(text: Column) -> Column:
-    """Web and mail addresses become one blank."""
-    return F.regexp_replace(text, ADDRESS, " ")
+    """Web and mail addresses become one blank. Give it a plain column; the slow
+    pattern for mail is tried only where there is an @."""
+    return F.when(text.contains("@"), F.regexp_replace(text, ADDRESS, " ")).otherwise(
+        F.regexp_replace(text, f"(?iu){_WEB}", " "))
 
 
 def split_letters_digits(text: Column) -> Column:
-    """``12B`` -> ``12 B`` and ``page2`` -> ``page 2``."""
-    return F.regexp_replace(
-        text, rf"(?<=[{LETTER}])(?={DIGIT})|(?<={DIGIT})(?=[{LETTER}])", " "
-    )
+    """``12B`` -> ``12 B`` and ``page2`` -> ``page 2``. Both patterns look for the digit first."""
+    before = F.regexp_replace(text, rf"(?={DIGIT})(?<=[{LETTER}])", " ")
+    return F.regexp_replace(before, rf"({DIGIT})(?=[{LETTER}])", "$1 ")
 
 
 def ranges_to_words(text: Column, joiner: str) -> Column:
-    return F.regexp_replace(text, rf"(?<={DIGIT}){SPACE}*-{SPACE}*(?={DIGIT})", f" {joiner} ")
+    return F.regexp_replace(text, rf"({DIGIT}){SPACE}*-{SPACE}*(?={DIGIT})", f"$1 {joiner} ")
 
 
 _AMOUNT = rf"({DIGIT}[{DIGIT}.,]*)"
@@ -147,8 +163,8 @@ def _fold(text: Column, rules: list[tuple[str, str]]) -> Column:
 VI_EARLY = [
     (rf"{_AMOUNT}{SPACE}*[đ₫](?![\p{{L}}\p{{N}}_À-ỹ])", "$1 đồng"),
     (rf"(?i){_AMOUNT}{SPACE}*VND{EDGE}", "$1 đồng"),
-    (rf"(?<={DIGIT}){SPACE}*\+{SPACE}*(?={DIGIT})", " cộng "),
-    (rf"(?<={DIGIT}){SPACE}*={SPACE}*(?={DIGIT})", " bằng "),
+    (rf"({DIGIT}){SPACE}*\+{SPACE}*(?={DIGIT})", "$1 cộng "),
+    (rf"({DIGIT}){SPACE}*={SPACE}*(?={DIGIT})", "$1 bằng "),
 ]
 VI_LATE = [
     (rf"({DIGIT}){SPACE}*%", "$1 phần trăm"),
@@ -156,13 +172,13 @@ VI_LATE = [
     (rf"{_AMOUNT}{SPACE}*\$", "$1 đô la"),
     (rf"({DIGIT}){SPACE}*[₫đ](?={EDGE})", "$1 đồng"),
     (rf"{_AMOUNT}{SPACE}*VND{EDGE}", "$1 đồng"),
-    (rf"{SPACE}*&{SPACE}*", " và "),
+    (rf"{SPACE}*+&{SPACE}*", " và "),
 ]
 EN_RULES = [
     (rf"({DIGIT}){SPACE}*%", "$1 percent"),
     (rf"\${SPACE}*{_AMOUNT}", "$1 dollars"),
     (rf"{_AMOUNT}{SPACE}*\$", "$1 dollars"),
-    (rf"{SPACE}*&{SPACE}*", " and "),
+    (rf"{SPACE}*+&{SPACE}*", " and "),
 ]
 
 

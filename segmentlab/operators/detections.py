@@ -33,7 +33,7 @@ def parse_boxes(raw: DataFrame, pad: int = fixed.BOX_PAD, col: str = "items") ->
     polygon = "array<array<double>>"
     entries = raw.withColumn("_v", F.try_parse_json(F.col(col))).selectExpr(
         "video_id", "frame_idx", "small_w", "small_h", "width", "height",
-        "posexplode(try_variant_get(_v, '$', 'array<variant>')) AS (box_pos, _entry)")
+        "posexplode_outer(try_variant_get(_v, '$', 'array<variant>')) AS (box_pos, _entry)").filter("box_pos IS NOT NULL")
     points = entries.withColumn("_points", F.expr(
         f"CASE WHEN try_variant_get(_entry, '$[0][0]', 'array<double>') IS NOT NULL "
         f"THEN try_variant_get(_entry, '$[0]', '{polygon}') ELSE try_variant_get(_entry, '$', '{polygon}') END"))

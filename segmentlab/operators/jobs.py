@@ -114,23 +114,24 @@ def status_lookup(requests: DataFrame, jobs: DataFrame, outputs: DataFrame) -> D
 
 
 def with_stages(jobs: DataFrame) -> DataFrame:
-    """Adds ``stages``, one map of stage to result; phase 2 overrides phase 1.
+    """Adds ``stages``, one map of stage to result, and ``second``, that of phase 2 alone
+    (NULL if it never ran); in ``stages`` phase 2 overrides phase 1.
 
-    Everything about stages is read from this map inside the row.
+    The text is parsed once and everything about stages is read inside the row.
     """
     parsed = jobs.withColumn("_phases", F.from_json("results", RESULTS_TYPE))
     nothing = F.expr("map()").cast(RESULTS_TYPE[len("map<string,"):-1])
-    first = F.coalesce(F.col("_phases")["phase1"], nothing)
-    second = F.coalesce(F.col("_phases")["phase2"], nothing)
-    split = parsed.withColumn("_first", first).withColumn("_second", second)
-    not_redone = F.map_filter("_first", lambda stage, _: ~F.array_contains(F.map_keys("_second"), stage))
-    return split.withColumn("stages", F.map_concat(not_redone, F.col("_second"))).drop("_phases", "_first", "_second")
+    split = parsed.withColumn("_first", F.coalesce(F.col("_phases")["phase1"], nothing)).withColumn(
+        "second", F.col("_phases")["phase2"])
+    not_redone = F.map_filter("_first", lambda stage, _: ~F.coalesce(F.map_contains_key("second", stage), F.lit(False)))
+    return split.withColumn("stages", F.map_concat(not_redone, F.coalesce("second", nothing))).drop("_phases", "_first")
 
 
 def stage_results(jobs: DataFrame) -> DataFrame:
     """One row per job and stage."""
-    return with_stages(jobs).select("job_id", F.explode("stages").alias("stage", "_r")).select(
-        "job_id", "stage", "_r.success", "_r.duration", "_r.error")
+    # An outer explode: a plain one makes Spark test the size first and parse every text twice.
+    rows = with_stages(jobs).select("job_id", F.explode_outer("stages").alias("stage", "_r")).filter("stage IS NOT NULL")
+    return rows.select("job_id", "stage", "_r.success", "_r.duration", "_r.error")
 
 
 def _all_passed(keep) -> Column:
@@ -145,14 +146,12 @@ def phase_gate(jobs: DataFrame) -> DataFrame:
     passes; ``n_required`` tells how many required stages were there.
     """
     staged = with_stages(jobs)
-    phases = F.from_json("results", RESULTS_TYPE)
     required = F.map_filter("stages", lambda s, _: s.isin(*fixed.PHASE1_REQUIRED))
     gated = (
         staged.withColumn("phase1_ok", _all_passed(lambda s: s.isin(*fixed.PHASE1_REQUIRED)))
         .withColumn("n_required", F.size(required).cast("bigint"))
-        .withColumn("_second", phases["phase2"])
     )
-    second_ok = F.forall(F.map_values(F.map_filter("_second", lambda s, _: ~s.isin(*fixed.OPTIONAL_PHASE2))),
+    second_ok = F.forall(F.map_values(F.map_filter("second", lambda s, _: ~s.isin(*fixed.OPTIONAL_PHASE2))),
                          lambda r: F.coalesce(r["success"], F.lit(False)))
     gated = gated.withColumn("phase2_ok", second_ok)
     status = (
@@ -170,7 +169,7 @@ def progress(jobs: DataFrame) -> DataFrame:
     steps = F.transform(F.array(*[F.lit(s) for s in fixed.STAGES]), lambda stage, i: F.struct(
         i.alias("step"), stage.alias("stage"),
         ((stage == "lip_sync") & ~lip_sync).alias("off"),
-        F.array_contains(F.map_keys("stages"), stage).alias("known"),
+        F.map_contains_key("stages", stage).alias("known"),
         F.coalesce(F.col("stages")[stage]["success"], F.lit(False)).alias("passed"),
     ))
     listed = staged.withColumn("_steps", steps)
@@ -183,7 +182,7 @@ def progress(jobs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("_next", F.when(F.size(passed) > 0, F.element_at(passed, -1)["step"]), F.lit(0)))
     )
     shown = listed.select("job_id", "status", "_next", active.cast("bigint").alias("active_step"),
-                          F.explode("_steps").alias("_s"))
+                          F.explode_outer("_steps").alias("_s"))
     state = (
         F.when(F.col("_s.off"), "disabled").when(F.col("_s.passed"), "completed").when(F.col("_s.known"), "failed")
         .when(F.col("_s.step") == F.col("_next"), "active").otherwise("pending")

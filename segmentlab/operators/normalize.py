@@ -14,7 +14,8 @@ from segmentlab.functions import fixed, numbers, text
 
 def strip_cjk(df: DataFrame, col: str) -> DataFrame:
     """Remove wrong-script characters and tidy the blanks they leave."""
-    return df.withColumn(col, text.without_wrong_script(F.coalesce(F.col(col), F.lit(""))))
+    filled = df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
+    return filled.withColumn(col, text.without_wrong_script(F.col(col)))
 
 
 def pre_clean(df: DataFrame, col: str) -> DataFrame:
@@ -42,7 +43,9 @@ def number_vocabulary(df: DataFrame, col: str, lang: str) -> DataFrame:
     hot key; the words are read once per distinct token.
     """
     found = F.regexp_extract_all(F.col(col), F.lit(numbers.NUMBER), F.lit(0))
-    counts = df.select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # An outer explode: a plain one makes Spark test the size first and search every text twice.
+    tokens = df.select(F.explode_outer(found).alias("token")).filter("token IS NOT NULL")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     said = F.element_at(numbers.number_words(F.array("token"), lang), 1)
     return counts.withColumn("words", F.coalesce(said, F.col("token")))
 

@@ -222,9 +222,11 @@ def parse_responses(responses: DataFrame, col: str = "response") -> DataFrame:
     span = F.regexp_extract(F.col(col), r"(?s)\[.*\]", 0)
     parsed = F.try_parse_json(F.when(span != "", span).otherwise(text.strip(F.col(col))))
     is_list = F.schema_of_variant(F.col("_v")).startswith("ARRAY")
-    entries = F.when(is_list, F.expr("try_variant_get(_v, '$', 'array<variant>')")).otherwise(F.array("_v"))
-    exploded = responses.withColumn("_v", parsed).filter("_v IS NOT NULL").select(
-        "job_id", "chunk", F.posexplode(entries).alias("_pos", "_entry"))
+    entries = F.when(is_list, F.expr("try_variant_get(_v, '$', 'array<variant>')")).when(
+        F.col("_v").isNotNull(), F.array("_v"))
+    # An outer explode: a plain one makes Spark test the size first and parse every answer twice.
+    exploded = responses.withColumn("_v", parsed).select(
+        "job_id", "chunk", F.posexplode_outer(entries).alias("_pos", "_entry")).filter("_pos IS NOT NULL")
     fields = exploded.selectExpr(
         "job_id", "chunk", "_pos",
         "schema_of_variant(try_variant_get(_entry, '$.id', 'variant')) AS id_type",

@@ -22,8 +22,8 @@ def parse_transcripts(documents: DataFrame, col: str = "document") -> DataFrame:
     """
     parsed = documents.withColumn("_v", F.try_parse_json(F.col(col)))
     lines = F.coalesce(F.expr(f"try_variant_get(_v, '$.segments', '{_LINE}')"), F.expr(f"try_variant_get(_v, '$', '{_LINE}')"))
-    kept = F.filter(lines, lambda s: text.strip(F.coalesce(s["text"], F.lit(""))) != "")
-    rows = parsed.select("job_id", F.posexplode(kept).alias("seq", "_s"))
+    kept = F.filter(F.col("_lines"), lambda s: text.strip(F.coalesce(s["text"], F.lit(""))) != "")
+    rows = parsed.withColumn("_lines", lines).select("job_id", F.posexplode_outer(kept).alias("seq", "_s")).filter("seq IS NOT NULL")
     return rows.select(
         "job_id", F.col("seq").cast("bigint").alias("seq"),
         F.coalesce("_s.start", F.lit(0.0)).alias("start_time"), F.coalesce("_s.end", F.lit(0.0)).alias("end_time"),
