@@ -8,6 +8,7 @@ from segmentlab.checks.registry import query
 from segmentlab.checks.views import with_views
 from segmentlab.operators import detections as d
 from segmentlab.plans.region_plan import region_plan
+from segmentlab.session import written
 
 # Detector answers of each scanned frame as JSON, in both shapes, with bad entries among them.
 _ITEM = """SELECT video_id, frame_idx, box_pos, x, y, w, h, cast(854 AS bigint) AS small_w, cast(480 AS bigint) AS small_h,
@@ -314,16 +315,20 @@ best AS (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY video_id
 """
 
 
+def _plan(v):
+    return region_plan(written(v.videos, "videos"), v.frames, v.detections)
+
+
 @query("region_plan", PLAN + """
 SELECT video_id, region_id, x, y, w, h, greatest(1, least(22, least(w, h) // 4 - 1))::BIGINT AS radius, always, spread, n_frames::BIGINT AS n_frames FROM best""")
 def _(v):
-    return region_plan(v.videos, v.frames, v.detections)[0]
+    return _plan(v)[0]
 
 
 @query("region_plan_active", PLAN + """
 SELECT a.video_id, 'row_' || row_id AS region_id, frame_idx FROM allowed a JOIN best b ON b.video_id = a.video_id AND b.region_id = 'row_' || row_id""")
 def _(v):
-    return region_plan(v.videos, v.frames, v.detections)[1]
+    return _plan(v)[1]
 
 
 _SCORED = "SELECT event_id AS box_id, value, (event_id * 31 % 1000) / 1000e0 AS score FROM events"

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 ROWS = 65_536
+COPIES = 16
 
 
 def block_of(order: Column, size: int | None = None) -> Column:
@@ -22,6 +23,21 @@ def block_of(order: Column, size: int | None = None) -> Column:
     return F.floor(order / F.lit(size or ROWS)).cast("bigint")
 
 
+def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: str | list[str],
+           how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a table with few rows per key, whatever share one key has.
+
+    The rows of a key are dealt out over :data:`COPIES` shares by a hash of their
+    ``spread`` columns and every share gets its copy of the other side. If that
+    side is small Spark broadcasts it as it would have; if it is large no task gets
+    a whole key, and the result is not left partitioned by the bare key.
+    """
+    spread = [spread] if isinstance(spread, str) else spread
+    share = F.pmod(F.xxhash64(*spread), F.lit(COPIES)).cast("int")
+    copies = per_key.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("_share", share).join(copies, [*keys, "_share"], how).drop("_share")
+
+
 def up_to_here(part: list[str], order: list[str]):
     return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -68,7 +84,10 @@ def merge_runs(rows: DataFrame, keys: list[str], order: str,
     in a neighbouring block, are merged across blocks.
     """
     part = [*keys, "_block"]
-    pieces = _runs(rows.withColumn("_block", block), part, order, starts_new, merge)
+    # Said outright, because rows that are already partitioned by a bare key (after a
+    # join, say) would otherwise be left there, with the whole group in one task.
+    placed = rows.withColumn("_block", block).repartition(*part)
+    pieces = _runs(placed, part, order, starts_new, merge)
     pieces = pieces.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
     at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
     inner = pieces.filter(~at_edge).drop("_block", "_run", "_last")

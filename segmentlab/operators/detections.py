@@ -84,7 +84,8 @@ def frame_index_map(videos: DataFrame, samples: DataFrame, ocr_fps: float = 2.0)
     """Frame number of the i-th sample; samples past the end share the last frame, where the last one wins."""
     skip = frame_skip(F.col("fps"), ocr_fps)
     index = F.least(F.col("sample") * skip, F.greatest(F.lit(0), F.col("total_frames") - 1))
-    placed = samples.join(videos.select("video_id", "fps", "total_frames"), "video_id").withColumn("frame_idx", index)
+    placed = blocks.lookup(samples, videos.select("video_id", "fps", "total_frames"), ["video_id"], "sample").withColumn(
+        "frame_idx", index)
     return placed.groupBy("video_id", "frame_idx").agg(F.max("sample").alias("sample"))
 
 
@@ -116,7 +117,7 @@ def grid_cover(boxes: DataFrame, grid: int = fixed.GRID) -> DataFrame:
 def outside_cover(detections: DataFrame, cover: DataFrame, grid: int = fixed.GRID) -> DataFrame:
     """Boxes whose corner cell is not covered."""
     keyed = detections.withColumn("gx", cell(F.col("x"), grid)).withColumn("gy", cell(F.col("y"), grid))
-    return keyed.join(cover, ["video_id", "gx", "gy"], "left_anti").drop("gx", "gy")
+    return blocks.lookup(keyed, cover, ["video_id", "gx", "gy"], ["frame_idx", "box_pos"], "left_anti").drop("gx", "gy")
 
 
 def dynamic_text_exists(videos: DataFrame, sampled: DataFrame, static: DataFrame) -> DataFrame:
@@ -143,7 +144,12 @@ def ffill_boxes(timeline: DataFrame, scanned: DataFrame, detections: DataFrame)
     carried = blocks.running(per_frame, ["video_id"], ["frame_idx"], F.col("_at"), "max", "source_frame",
                              blocks.block_of(F.col("frame_idx")))
     wanted = carried.filter("_wanted AND source_frame IS NOT NULL").select("video_id", "frame_idx", "source_frame")
-    return wanted.join(detections.withColumnRenamed("frame_idx", "source_frame"), ["video_id", "source_frame"])
+    # A source frame may stay in force for any number of frames: it is joined in stretches.
+    stretch = blocks.block_of(F.col("frame_idx") - F.col("source_frame"))
+    ends = wanted.groupBy("video_id", "source_frame").agg(F.max(stretch).alias("_last"))
+    boxes = detections.withColumnRenamed("frame_idx", "source_frame").join(ends, ["video_id", "source_frame"])
+    boxes = boxes.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
+    return wanted.withColumn("_stretch", stretch).join(boxes, ["video_id", "source_frame", "_stretch"]).drop("_stretch")
 
 
 def row_height(height: Column, div: int = fixed.ROW_DIVISIONS) -> Column:
@@ -158,7 +164,7 @@ def row_frames(videos: DataFrame, moving: DataFrame, div: int = fixed.ROW_DIVISI
     rows = F.floor((F.col("height") + F.col("row_h") - 1) / F.col("row_h")).cast("bigint")
     first = F.greatest(F.lit(0), F.floor(F.col("y") / F.col("row_h")).cast("bigint"))
     last = F.least(rows - 1, F.floor((F.col("y") + F.col("h")) / F.col("row_h")).cast("bigint"))
-    spans = moving.join(sized, "video_id").withColumn("_first", first).withColumn("_last", last)
+    spans = blocks.lookup(moving, sized, ["video_id"], "frame_idx").withColumn("_first", first).withColumn("_last", last)
     touched = spans.filter("_first <= _last").withColumn("row_id", F.explode(F.sequence("_first", "_last")))
     return touched.groupBy("video_id", "row_id", "frame_idx").agg(
         F.min("x").alias("x_min"), F.max(F.col("x") + F.col("w")).alias("x_max"))
@@ -185,7 +191,7 @@ def fill_single_gaps(rows: DataFrame, videos: DataFrame) -> DataFrame:
     gaps with a vote from both sides. ``rows``: video_id, row_id, frame_idx.
     """
     skip = videos.select("video_id", "frame_skip")
-    votes = rows.join(skip, "video_id").select("video_id", "row_id", F.explode(F.array(
+    votes = blocks.lookup(rows, skip, ["video_id"], "frame_idx").select("video_id", "row_id", F.explode(F.array(
         F.struct(F.col("frame_idx").alias("frame_idx"), F.lit(1).alias("here"), F.lit(0).alias("left"), F.lit(0).alias("right")),
         F.struct((F.col("frame_idx") + F.col("frame_skip")).alias("frame_idx"), F.lit(0).alias("here"),
                  (F.col("frame_skip") > 0).cast("int").alias("left"), F.lit(0).alias("right")),
@@ -218,7 +224,7 @@ def median_baseline(samples: DataFrame, min_frames: int = 3) -> DataFrame:
     """
     enough = samples.select("video_id", "frame_idx").distinct().groupBy("video_id").agg(
         F.count("*").alias("_n")).filter(F.col("_n") >= min_frames).select("video_id")
-    return samples.join(enough, "video_id", "left_semi").groupBy("video_id", "pos").agg(
+    return blocks.lookup(samples, enough, ["video_id"], "pos", "left_semi").groupBy("video_id", "pos").agg(
         F.median("value").cast("bigint").alias("baseline"))
 
 
@@ -282,14 +288,15 @@ def instant_budget(rows: DataFrame, static: DataFrame, videos: DataFrame,
     frame = Window.partitionBy("video_id", "frame_idx")
     weakest = frame.orderBy("spread", "n_frames", "area", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("area").over(frame) - F.coalesce(F.sum("area").over(weakest), F.lit(0))
-    return rows.withColumn("_left", left).join(limits, "video_id").filter(
+    return blocks.lookup(rows.withColumn("_left", left), limits, ["video_id"], "frame_idx").filter(
         F.col("_static") + F.col("_left") <= F.col("_budget")).drop("_left", "_budget", "_static")
 
 
 def time_windows(active: DataFrame, videos: DataFrame, merge_gap: float = fixed.WINDOW_GAP) -> DataFrame:
     """Active frames (video_id, region_id, frame_idx) -> windows ``t0, t1`` in seconds, gaps up to ``merge_gap`` fused."""
     clock = videos.filter("fps > 0").select("video_id", "fps", "total_frames", "frame_skip")
-    spans = active.select("video_id", "region_id", "frame_idx").distinct().join(clock, "video_id").select(
+    distinct = active.select("video_id", "region_id", "frame_idx").distinct()
+    spans = blocks.lookup(distinct, clock, ["video_id"], "frame_idx").select(
         "video_id", "region_id", "frame_idx",
         F.greatest(F.lit(0.0), F.col("frame_idx") / F.col("fps")).alias("t0"),
         F.least(F.col("total_frames") / F.col("fps"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentlab.functions import fixed
+from segmentlab.operators import blocks
 
 RESULTS_TYPE = "map<string,map<string,struct<success:boolean,duration:double,error:string>>>"
 
@@ -52,7 +53,7 @@ def apply_status_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
 def latest_job(jobs: DataFrame, filenames: DataFrame | None = None) -> DataFrame:
     """Latest job per file name (``created_at``, then ``job_id``), of all or of the given names."""
     if filenames is not None:
-        jobs = jobs.join(filenames.select("filename"), "filename", "left_semi")
+        jobs = blocks.lookup(jobs, filenames.select("filename").distinct(), ["filename"], "job_id", "left_semi")
     return _last_row(jobs, ["filename"], F.struct("created_at", "job_id"))
 
 

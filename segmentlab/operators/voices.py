@@ -76,7 +76,8 @@ def assign_reference(segments: DataFrame, tracks: DataFrame, speaker_refs: DataF
     own_speaker = speaker_refs.select("job_id", "speaker", F.col("ref_start").alias("s_start"),
                                       F.col("ref_end").alias("s_end"), F.col("ref_text").alias("s_text"))
     spoken = segments.filter(~text.is_blank(F.col("translated_text")) & (duration() > 0))
-    rows = spoken.join(per_job, "job_id", "left").join(own_speaker, ["job_id", "speaker"], "left")
+    rows = blocks.lookup(spoken, per_job, ["job_id"], "seq", "left")
+    rows = blocks.lookup(rows, own_speaker, ["job_id", "speaker"], "seq", "left")
 
     first, last = _span(cap)
     rows = rows.withColumn("o_start", first).withColumn("o_end", last).withColumn(
@@ -146,18 +147,19 @@ def timeline_placement(clips: DataFrame) -> DataFrame:
     ``clips``: ``job_id, seq, start_time, n_samples, sample_rate``. A clip is cut
     at the start of the next one; of clips with one start only the last stays.
     """
-    placed = clips.join(output_rates(clips), "job_id").select(
+    placed = blocks.lookup(clips, output_rates(clips), ["job_id"], "seq").select(
         "job_id", "seq", "out_rate",
         (F.col("start_time") * F.col("out_rate")).cast("bigint").alias("start_sample"),
         F.ceil(F.col("n_samples") * F.col("out_rate") / F.col("sample_rate")).cast("bigint").alias("length"),
     )
-    starts = placed.groupBy("job_id", "start_sample").agg(F.max("seq").alias("_last_seq"))
+    starts = placed.groupBy("job_id", "start_sample").agg(F.max("seq").alias("seq"))
     starts = blocks.following(starts, ["job_id"], "start_sample", "_next",
                               blocks.block_of(F.col("start_sample"), BLOCK_SAMPLES))
-    room = F.when(F.col("seq") != F.col("_last_seq"), F.lit(0)).otherwise(F.col("_next") - F.col("start_sample"))
-    kept = F.least(F.col("length"), room)
-    return placed.join(starts, ["job_id", "start_sample"]).select(
-        "job_id", "seq", "out_rate", "start_sample", "length", kept.alias("kept_length"))
+    # Only the last clip of a start finds its row here, so no key is hot.
+    joined = placed.join(starts.withColumn("_stays", F.lit(True)), ["job_id", "start_sample", "seq"], "left")
+    room = F.when(F.col("_stays"), F.col("_next") - F.col("start_sample")).otherwise(F.lit(0))
+    return joined.select(
+        "job_id", "seq", "out_rate", "start_sample", "length", F.least("length", room).alias("kept_length"))
 
 
 def timeline_length(placements: DataFrame) -> DataFrame:
@@ -178,9 +180,9 @@ def mixdown_series(series: DataFrame, placements: DataFrame) -> DataFrame:
     """Sum placed series (``job_id, seq, idx, value``) on one index; scale by the peak if it exceeds 1."""
     offsets = placements.select("job_id", "seq", "start_sample", "kept_length")
     mixed = (
-        series.join(offsets, ["job_id", "seq"]).filter(F.col("idx") < F.col("kept_length"))
+        blocks.lookup(series, offsets, ["job_id", "seq"], "idx").filter(F.col("idx") < F.col("kept_length"))
         .groupBy("job_id", (F.col("start_sample") + F.col("idx")).alias("idx")).agg(F.sum("value").alias("value"))
     )
     peaks = mixed.groupBy("job_id").agg(F.max(F.abs("value")).alias("_peak"))
-    return mixed.join(peaks, "job_id").select(
+    return blocks.lookup(mixed, peaks, ["job_id"], "idx").select(
         "job_id", "idx", F.when(F.col("_peak") > 1, F.col("value") / F.col("_peak")).otherwise(F.col("value")).alias("value"))

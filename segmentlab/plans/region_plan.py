@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentlab.operators import detections as d
+from segmentlab.operators.blocks import lookup
 from segmentlab.session import written
 
 
@@ -15,9 +16,10 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
     Static boxes are always on. Text elsewhere becomes horizontal bands that are
     on only at their frames, and at no frame is more than the budget covered.
 
-    Three results are read by several later steps and are written to the shared
-    folder: the static boxes (few per video), the rows with text per frame, and
-    the frames of the bands kept. The detections are read three times in all.
+    Four results are read by several later steps and are written to the shared
+    folder: the static boxes and the bands (few per video), the rows with text per
+    frame, and the frames of the bands. The detections are read three times in all.
+    ``videos`` is read by most steps and should be a stored table.
     """
     found = written(d.oversize_filter(d.static_boxes(detections, frames), videos), "static")
     # The cover uses the boxes as found, of those that survive the clamp.
@@ -33,14 +35,14 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
         "video_id", "row_id", F.col("x_min").alias("x"), (F.col("row_id") * F.col("row_h")).alias("y"),
         (F.col("x_max") - F.col("x_min")).alias("w"),
         F.least(F.col("row_h"), F.col("height") - F.col("row_id") * F.col("row_h")).alias("h"))
-    bands = d.clamp_even(boxes, videos)
-    on = per_row.join(bands.select("video_id", "row_id"), ["video_id", "row_id"], "left_semi").select(
+    bands = written(d.clamp_even(boxes, videos), "bands")
+    on = lookup(per_row, bands.select("video_id", "row_id"), ["video_id", "row_id"], "frame_idx", "left_semi").select(
         "video_id", "row_id", "frame_idx")
-    on = written(d.fill_single_gaps(on, videos), "bands")
+    on = written(d.fill_single_gaps(on, videos), "on")
     spread = d.temporal_spread(on, videos)
     sized = bands.join(spread, ["video_id", "row_id"])
-    weighed = on.join(sized.select(
-        "video_id", "row_id", "spread", "n_frames", (F.col("w") * F.col("h")).alias("area")), ["video_id", "row_id"])
+    weighed = lookup(on, sized.select(
+        "video_id", "row_id", "spread", "n_frames", (F.col("w") * F.col("h")).alias("area")), ["video_id", "row_id"], "frame_idx")
     allowed = d.instant_budget(weighed, statics, videos)
     active = allowed.select("video_id", F.concat(F.lit("row_"), F.col("row_id").cast("string")).alias("region_id"), "frame_idx")
     left = allowed.groupBy("video_id", "row_id").agg(F.count("*").alias("left_frames"))
@@ -53,4 +55,4 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
         "video_id", F.concat(F.lit("row_"), F.col("row_id").cast("string")).alias("region_id"), *shape,
         F.lit(False).alias("always"), "spread", F.col("left_frames").alias("n_frames"))
     regions = d.top_regions(always_on.unionByName(banded))
-    return regions, active.join(regions.select("video_id", "region_id"), ["video_id", "region_id"], "left_semi")
+    return regions, lookup(active, regions.select("video_id", "region_id"), ["video_id", "region_id"], "frame_idx", "left_semi")

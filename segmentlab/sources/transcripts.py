@@ -60,7 +60,8 @@ def export_transcripts(segments: DataFrame, path: str, rows: int = EXPORT_ROWS)
 
 def segments_for_jobs(segments: DataFrame, jobs: DataFrame) -> DataFrame:
     """All segments of the given jobs, by job, start and id."""
-    return segments.join(jobs.select("job_id"), "job_id", "left_semi").orderBy("job_id", "start_time", "id")
+    wanted = jobs.select("job_id").distinct()
+    return blocks.lookup(segments, wanted, ["job_id"], "id", "left_semi").orderBy("job_id", "start_time", "id")
 
 
 def job_bucket(job: Column, buckets: int = BUCKETS) -> Column:
@@ -79,8 +80,9 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
     fresh = segments.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
     if _exists(spark, path):
         touched = fresh.select("job_id", "job_bucket").distinct()
-        old = spark.read.parquet(path).join(touched.select("job_bucket").distinct(), "job_bucket", "left_semi")
-        kept = old.join(touched.select("job_id"), "job_id", "left_anti")
+        buckets_touched = touched.select("job_bucket").distinct()
+        old = blocks.lookup(spark.read.parquet(path), buckets_touched, ["job_bucket"], ["job_id", "seq"], "left_semi")
+        kept = blocks.lookup(old, touched.select("job_id"), ["job_id"], "seq", "left_anti")
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
     spread = fresh.repartition("job_bucket", blocks.block_of(F.col("seq")))
     (written(spread, "segments").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from segmentlab.functions import fixed
 from segmentlab.operators import transcripts as t
+from segmentlab.operators.blocks import lookup
 from segmentlab.session import written
 
 
@@ -31,7 +32,7 @@ def merge_batch(lines: DataFrame, batch_id: int, out: str, state: str, max_gap:
     fresh = t.open_pieces(lines, "is_last").withColumn("ends", F.coalesce("is_last", F.lit(False))).drop("is_last")
     held = _open_runs(spark, state, batch_id - 1, fresh.drop("ends"))
     seen = held.select("job_id", F.col("last_seq").alias("_seen"))
-    placed = written(fresh.join(seen, "job_id", "left").withColumn(
+    placed = written(lookup(fresh, seen, ["job_id"], "seq", "left").withColumn(
         "_late", F.coalesce(F.col("seq") <= F.col("_seen"), F.lit(False))).drop("_seen"), "lines")
     on_time = placed.filter("NOT _late").drop("_late")
     # Jobs without new lines keep their open run as it is.
