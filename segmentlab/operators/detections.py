@@ -39,10 +39,10 @@ def parse_boxes(raw: DataFrame, pad: int = fixed.BOX_PAD, col: str = "items") ->
         f"THEN try_variant_get(_entry, '$[0]', '{polygon}') ELSE try_variant_get(_entry, '$', '{polygon}') END"))
     good = points.filter(
         F.col("_points").isNotNull() & (F.size("_points") > 0)
-        & F.forall("_points", lambda p: F.coalesce(F.size(p) >= 2, F.lit(False)) & p[0].isNotNull() & p[1].isNotNull()))
+        & F.forall("_points", lambda p: F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()))
 
     def edges(axis: int, limit: str) -> tuple[Column, Column]:
-        values = F.transform("_points", lambda p: p[axis])
+        values = F.transform("_points", lambda p: F.get(p, axis))
         return (F.greatest(F.lit(0.0), F.array_min(values) - pad),
                 F.least(F.col(limit).cast("double"), F.array_max(values) + pad))
 

@@ -176,11 +176,11 @@ def progress(jobs: DataFrame) -> DataFrame:
     listed = staged.withColumn("_steps", steps)
     waiting = F.filter("_steps", lambda s: ~s["known"] & ~s["off"])
     passed = F.filter("_steps", lambda s: s["passed"])
-    listed = listed.withColumn("_next", F.when(F.col("_busy") & (F.size(waiting) > 0), waiting[0]["step"]))
+    listed = listed.withColumn("_next", F.when(F.col("_busy") & (F.size(waiting) > 0), F.get(waiting, 0)["step"]))
     last = len(fixed.STAGES) - 1
     active = (
         F.when(F.col("status") == "COMPLETED", last)
-        .otherwise(F.coalesce("_next", F.when(F.size(passed) > 0, F.element_at(passed, -1)["step"]), F.lit(0)))
+        .otherwise(F.coalesce("_next", F.when(F.size(passed) > 0, F.try_element_at(passed, F.lit(-1))["step"]), F.lit(0)))
     )
     shown = listed.select("job_id", "status", "_next", active.cast("bigint").alias("active_step"),
                           F.explode_outer("_steps").alias("_s"))

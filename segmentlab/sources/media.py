@@ -16,7 +16,7 @@ LISTING = "path string, modificationTime timestamp, length bigint, content binar
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(path, "/", -1)
 
 
 def scan_media(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,15 +31,15 @@ def with_header(media: DataFrame) -> DataFrame:
     """Adds ``head``, the first bytes of each file. Tasks open the files of their
     own rows and read a few bytes of each, however large it is."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote
+        from urllib.parse import quote
 
         from pyarrow import fs
 
         def first_bytes(path: str) -> bytes:
-            location = unquote(path)
-            if location.startswith("file:"):
-                location = "/" + location[len("file:"):].lstrip("/")
-            system, inner = fs.FileSystem.from_uri(location)
+            if path.startswith("file:"):
+                system, inner = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+            else:
+                system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
             with system.open_input_stream(inner) as stream:
                 return stream.read(HEADER_BYTES)
 

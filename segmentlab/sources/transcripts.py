@@ -34,7 +34,9 @@ def parse_transcripts(documents: DataFrame, col: str = "document") -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str, job_id: Column | None = None) -> DataFrame:
     """Transcript files, one document each; the job is the file's folder unless told otherwise."""
     files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    # The path is encoded as in a URI, where a plus is a plus.
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.substring_index(F.substring_index(place, "/", -2), "/", 1)
     documents = files.select((folder if job_id is None else job_id).alias("job_id"), F.col("value").alias("document"))
     return parse_transcripts(documents)
 
