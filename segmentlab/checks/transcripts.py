@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from segmentlab.checks.views import with_views
 from segmentlab.checks.views import SPACE
 from segmentlab.functions.text import WRONG_SCRIPT
 from segmentlab.operators import transcripts as t
+from segmentlab.session import shared_dir
 from segmentlab.sources import transcripts as files
 
 MERGED = f"""{with_views("segments")},
@@ -254,3 +256,16 @@ SELECT job_id, id, start_time, original_text FROM segments WHERE job_id IN (SELE
 def _(v):
     wanted = v.table("orders").filter("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("job_id"))
     return files.segments_for_jobs(v.segments, wanted).select("job_id", "id", "start_time", "original_text")
+
+
+# A table of all lines, then every third job written again.
+@query("write_segments", with_views("segments") + """
+SELECT job_id, seq, start_time, CASE WHEN job_id % 3 = 0 THEN concat('new ', original_text) ELSE original_text END AS original_text
+FROM segments WHERE job_id % 3 > 0 OR seq % 2 = 0""")
+def _(v):
+    path = f"{shared_dir(v.spark)}/table-{uuid.uuid4().hex}"
+    files.write_segments(v.segments, path, buckets=16)
+    again = v.segments.filter("job_id % 3 = 0 AND seq % 2 = 0").withColumn(
+        "original_text", F.concat(F.lit("new "), F.col("original_text")))
+    files.write_segments(again, path, buckets=16)
+    return files.read_segments(v.spark, path).select("job_id", "seq", "start_time", "original_text")

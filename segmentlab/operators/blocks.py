@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 ROWS = 65_536
-COPIES = 16
+COPIES = 64
 
 
 def block_of(order: Column, size: int | None = None) -> Column:
@@ -23,15 +23,26 @@ def block_of(order: Column, size: int | None = None) -> Column:
     return F.floor(order / F.lit(size or ROWS)).cast("bigint")
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Is Spark's own size estimate of ``df`` within its broadcast limit?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: str | list[str],
            how: str = "inner") -> DataFrame:
     """Join ``rows`` to a table with few rows per key, whatever share one key has.
 
-    The rows of a key are dealt out over :data:`COPIES` shares by a hash of their
-    ``spread`` columns and every share gets its copy of the other side. If that
-    side is small Spark broadcasts it as it would have; if it is large no task gets
-    a whole key, and the result is not left partitioned by the bare key.
+    If Spark's estimate allows a broadcast of ``per_key``, this is a plain join:
+    rows are not shuffled and no key is hot. Beyond that size the rows of a key
+    are dealt out over :data:`COPIES` shares by a hash of their ``spread`` columns
+    and every share gets its copy of the other side; shares that are still large
+    are split further by the adaptive skew join. No task gets a whole key, and the
+    result is not left partitioned by the bare key.
     """
+    if fits_broadcast(per_key):
+        return rows.join(per_key, keys, how)
     spread = [spread] if isinstance(spread, str) else spread
     share = F.pmod(F.xxhash64(*spread), F.lit(COPIES)).cast("int")
     copies = per_key.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))

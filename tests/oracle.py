@@ -1,6 +1,6 @@
 """Run registered queries in Spark and their SQL in DuckDB and compare every value.
 
-    python tests/oracle.py [--sf 0.01] [--rows-per-block N] [name ...]
+    python tests/oracle.py [--sf 0.01] [--rows-per-block N] [--no-broadcast] [name ...]
 """
 
 from __future__ import annotations
@@ -63,13 +63,15 @@ def main() -> int:
     args = argparse.ArgumentParser()
     args.add_argument("--sf", default="0.01")
     args.add_argument("--rows-per-block", type=int)
+    args.add_argument("--no-broadcast", action="store_true")
     args.add_argument("names", nargs="*")
     args = args.parse_args()
     if args.rows_per_block:
         blocks.ROWS = args.rows_per_block
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **({"spark.sql.autoBroadcastJoinThreshold": "-1"} if args.no_broadcast else {})})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, sql = checks.all_queries(), checks.all_sql()

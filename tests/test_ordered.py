@@ -82,12 +82,15 @@ def test_running_and_following(spark):
             assert nexts[k, o] == (mine[i + 1][0] if i + 1 < len(mine) else None)
 
 
-def test_lookup_is_a_plain_join(spark):
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_lookup_is_a_plain_join(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rows = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(100)], "k int, i int")
     per_key = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         expected = sorted(map(str, rows.join(per_key, ["k"], how).collect()))
         assert sorted(map(str, blocks.lookup(rows, per_key, ["k"], "i", how).collect())) == expected
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 VIDEO = "video_id int, width long, height long, fps double, total_frames long, frame_skip long"
