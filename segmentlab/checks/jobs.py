@@ -9,6 +9,7 @@ from segmentlab.checks.views import with_views
 from segmentlab.functions import fixed
 from segmentlab.operators import jobs as j
 from segmentlab.operators.capacity import capacity_report, capacity_sweep, oversized_requests
+from segmentlab.session import dealt
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -112,7 +113,7 @@ read AS (SELECT *, cast(json_extract(r, '$.success') AS BOOLEAN) AS success, cas
 
 @query("stage_results", STAGES + "SELECT job_id, stage, success, duration, error FROM read WHERE r IS NOT NULL")
 def _(v):
-    return j.stage_results(v.jobs)
+    return j.stage_results(dealt(v.jobs))
 
 
 @query("phase_gate", STAGES + """,
@@ -125,7 +126,7 @@ SELECT job_id, phase1_ok, CASE WHEN has_p2 THEN coalesce(p2_ok, true) END AS pha
        CASE WHEN has_p2 THEN CASE WHEN coalesce(p2_ok, true) THEN 'COMPLETED' ELSE 'FAILED' END WHEN NOT phase1_ok THEN 'FAILED'
             WHEN auto_resume THEN 'PROCESSING_PHASE2' ELSE 'AWAITING_REVIEW' END AS next_status FROM gates""")
 def _(v):
-    return j.phase_gate(v.jobs)
+    return j.phase_gate(dealt(v.jobs))
 
 
 @query("progress", STAGES + """,
@@ -136,14 +137,14 @@ SELECT s.job_id, step, stage, CASE WHEN off THEN 'disabled' WHEN success THEN 'c
        CASE WHEN status = 'COMPLETED' THEN 6 ELSE coalesce(next_step, passed_step, 0) END / 6 * 100 AS percent
 FROM stepped s JOIN marks m ON m.job_id = s.job_id""")
 def _(v):
-    return j.progress(v.jobs)
+    return j.progress(dealt(v.jobs))
 
 
 @query("stage_timings", STAGES + """
 SELECT stage, count(*) AS runs, count(*) FILTER (success) AS passed, avg(duration) AS avg_seconds, max(duration) AS max_seconds
 FROM read WHERE r IS NOT NULL GROUP BY stage""")
 def _(v):
-    return j.stage_timings(v.jobs)
+    return j.stage_timings(dealt(v.jobs))
 
 
 # Edits of real lines, of lines under a wrong job, and repeated ones.

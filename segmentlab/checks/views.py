@@ -7,7 +7,7 @@ needs a whole conversation, user or video in one task.
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -165,19 +165,16 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
-    @cached_property
-    def _tables(self) -> list[str]:
-        for name in TABLES:
-            self.table(name).createOrReplaceTempView(name)
-        return TABLES
-
     def table(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return dealt(table) if name == "documents" else table
 
     def sql(self, text: str, *names: str) -> DataFrame:
-        assert self._tables
-        return self.spark.sql(f"{with_views(*names)} {text}" if names else text)
+        whole = f"{with_views(*names)} {text}" if names else text
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", whole):
+                self.table(name).createOrReplaceTempView(name)
+        return self.spark.sql(whole)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
