@@ -25,7 +25,7 @@ def _span(cap: float) -> tuple[Column, Column]:
 def _clip(longest: DataFrame, tracks: DataFrame, keys: list[str], cap: float) -> DataFrame:
     first, last = _span(cap)
     return (
-        longest.join(tracks.select("job_id", "sample_rate", "total_frames"), "job_id")
+        blocks.lookup(longest, tracks.select("job_id", "sample_rate", "total_frames"), ["job_id"], "seq")
         .withColumn("ref_start", first).withColumn("ref_end", last)
         .filter(F.col("ref_end") > F.col("ref_start"))
         .select(*keys, "seq", "ref_start", "ref_end",
@@ -68,8 +68,7 @@ def assign_reference(segments: DataFrame, tracks: DataFrame, speaker_refs: DataF
     whole = global_refs.select("job_id", F.col("ref_start").alias("g_start"), F.col("ref_end").alias("g_end"),
                                F.col("ref_text").alias("g_text"))
     per_job = (
-        settings.select("job_id", "voice_mode", "voice_preset")
-        .join(preset, "voice_preset", "left")
+        blocks.lookup(settings.select("job_id", "voice_mode", "voice_preset"), preset, ["voice_preset"], "job_id", "left")
         .join(tracks.select("job_id", "sample_rate", "total_frames"), "job_id", "left")
         .join(whole, "job_id", "left")
     )

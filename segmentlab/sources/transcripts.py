@@ -86,8 +86,8 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
         old = blocks.lookup(spark.read.parquet(path), buckets_touched, ["job_bucket"], ["job_id", "seq"], "left_semi")
         kept = blocks.lookup(old, touched.select("job_id"), ["job_id"], "seq", "left_anti")
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
-    spread = fresh.repartition("job_bucket", blocks.block_of(F.col("seq")))
-    (written(spread, "segments").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    ready = written(fresh, "segments").repartition("job_bucket", blocks.block_of(F.col("seq")))
+    (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job_bucket").parquet(path))
 
 
