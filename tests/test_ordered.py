@@ -162,3 +162,23 @@ def test_a_hot_group_is_cut_even_after_a_join(spark, limit):
     bare = re.sub(r"#\d+L?", "", plan)
     assert "hashpartitioning(video_id, region_id, _block" in bare
     assert "hashpartitioning(video_id, 4)" not in bare
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_a_job_with_a_third_of_the_lines_is_spread(spark, monkeypatch, limit):
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    lines = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 300 + 1 END AS job_id", "id AS seq", "cast(id AS double) AS start_time",
+        "id + 0.5D AS end_time", "concat('w', id) AS original_text", "concat('t', id) AS translated_text", "'A' AS speaker")
+    tracks = spark.range(301).selectExpr("id AS job_id", "16000 AS sample_rate")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        for df in (t.merge_segments(lines), t.chunk_segments(lines), blocks.lookup(lines, tracks, ["job_id"], "seq")):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert sum(sizes) == 6000 and max(sizes) < 6000 / 5
+    finally:
+        for key in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{key}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
