@@ -12,6 +12,7 @@ from segmentlab.checks.views import with_views
 from segmentlab.checks.views import SPACE
 from segmentlab.functions.text import WRONG_SCRIPT
 from segmentlab.operators import transcripts as t
+from segmentlab.plans.translate import translate
 from segmentlab.session import shared_dir
 from segmentlab.sources import transcripts as files
 
@@ -269,3 +270,27 @@ def _(v):
         "original_text", F.concat(F.lit("new "), F.col("original_text")))
     files.write_segments(again, path, buckets=16)
     return files.read_segments(v.spark, path).select("job_id", "seq", "start_time", "original_text")
+
+
+def _leaky(request: dict) -> str:
+    """As :func:`_echo_json`; asked in a batch, some answers hold a character of the wrong script."""
+    items = json.loads(request["items"])
+    answers = json.loads(_echo_json(request))
+    leaks = len(items) > 1
+    return json.dumps([{**a, "translated": a["translated"] + (" 好" if leaks and a["id"] % 4 == 0 else "")} for a in answers],
+                      ensure_ascii=False)
+
+
+@query("translate_plan", with_views("lines") + """,
+flagged AS (SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND start_time - lag(end_time) OVER w <= 0.8::DOUBLE THEN 0 ELSE 1 END AS opens
+  FROM lines WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY seq) AS run FROM flagged),
+merged AS (SELECT job_id, min(seq) AS seq, string_agg(original_text, ' ' ORDER BY seq) AS said FROM numbered GROUP BY job_id, run),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS pos FROM merged),
+sized AS (SELECT *, pos // 20 AS chunk, pos % 20 AS id, count(*) OVER (PARTITION BY job_id, pos // 20) AS n FROM ranked),
+asked AS (SELECT *, n > 1 AND chunk % 5 <> 4 AND id % 7 <> 3 AS in_batch FROM sized)
+SELECT job_id, seq, chunk, id, CASE WHEN in_batch OR length(said) % 3 <> 0 THEN 'x ' || said ELSE said END AS translated_text,
+       NOT in_batch AND length(said) % 3 = 0 AS is_missing, in_batch AND id % 4 = 0 AS was_leaking FROM asked""")
+def _(v):
+    return translate(v.lines, _leaky, "Tiếng Việt", "plain").select(
+        "job_id", "seq", "chunk", "id", "translated_text", "is_missing", "was_leaking")

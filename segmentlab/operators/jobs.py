@@ -170,7 +170,7 @@ def progress(jobs: DataFrame) -> DataFrame:
     steps = F.transform(F.array(*[F.lit(s) for s in fixed.STAGES]), lambda stage, i: F.struct(
         i.alias("step"), stage.alias("stage"),
         ((stage == "lip_sync") & ~lip_sync).alias("off"),
-        F.map_contains_key("stages", stage).alias("known"),
+        F.col("stages")[stage].isNotNull().alias("known"),
         F.coalesce(F.col("stages")[stage]["success"], F.lit(False)).alias("passed"),
     ))
     listed = staged.withColumn("_steps", steps)
