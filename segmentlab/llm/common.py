@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,3 +27,26 @@ def keep_rows(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFram
     """The rows of ``docs`` whose key is in the one column of ``keep``; absent keys match absent keys."""
     wanted = keep.select(F.col(keep.columns[0]).alias("_keep_key"))
     return docs.join(wanted, docs[key].eqNullSafe(wanted["_keep_key"]), "left_semi")
+
+
+def per_text(docs: DataFrame, columns: str, maker: Callable[[], Callable[[list[str | None]], list]],
+             key: str = "doc_id", text: str = "text", rows: int = 1000) -> DataFrame:
+    """The key of each row, and ``columns`` (a schema) computed from its whole text.
+
+    ``maker`` runs once per task and gives a function from a list of texts to one list or
+    array per column. Texts go through in Arrow batches, ``rows`` at a time.
+    """
+    schema = f"{key} long, {columns}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = maker()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = compute(part.column(1).to_pylist())
+                arrays = [part.column(0), *(pa.array(v, t) for v, t in zip(found, types))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+    names, types = wanted.names, list(wanted.types)[1:]
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)

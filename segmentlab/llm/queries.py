@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segmentlab.llm import mixing, radix
+from segmentlab.llm import jaccard, licenses, mixing, pii, radix, secret_scan, toxicity
 from segmentlab.llm.common import table
 
 
@@ -15,11 +16,34 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("oversize")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op9_exact_dedup)}
+    f.__name__: f for f in (op1_mix_sources, op5_toxicity, op6_license_scan, op7_secret_scan, op8_pii, op9_exact_dedup, op10_ngram_join)}
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op9_exact_dedup": radix.SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL}
