@@ -60,9 +60,13 @@ def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray
     n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     first = np.concatenate(([0], np.cumsum(n)))
     at = np.repeat(begin[:-1] - first[:-1], n) + np.arange(first[-1])
-    end = np.repeat(begin[1:], n)
+    return window_hashes(hashes, at, np.repeat(begin[1:], n), size), first, count
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of ``size`` words that start at ``at``; words from ``end`` on are absent."""
     out = np.zeros(len(at), "uint64")
     padded = np.append(hashes, np.zeros(size, "uint64"))
     for i in range(size):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + np.where(at + i < end, padded[at + i], np.uint64(i + 1)))
-    return out, first, count
+    return out
