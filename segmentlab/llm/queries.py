@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentlab.llm import decontam, jaccard, licenses, mixing, pii, radix, secret_scan, templates, toxicity
+from segmentlab.llm import decontam, jaccard, licenses, mixing, pii, radix, secret_scan, suffixes, templates, toxicity
 from segmentlab.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated pairs; documents without a row are clean."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +57,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_extract_html, op5_toxicity, op6_license_scan, op7_secret_scan, op8_pii, op9_exact_dedup, op10_ngram_join)}
+    f.__name__: f for f in (
+        op1_mix_sources, op2_suffix_dedup, op3_decontaminate, op4_extract_html, op5_toxicity, op6_license_scan, op7_secret_scan,
+        op8_pii, op9_exact_dedup, op10_ngram_join)}
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL}
+SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffixes.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL}
