@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over lower-cased text.
 
-The rules are regular expressions in order of priority: full grant texts, named licenses with
-versions, identifiers, and loose mentions. Each rule is gated by keywords that must all
+The rules are regular expressions in order of priority: identifiers, full grant texts, named
+licenses with versions, and loose mentions. Each rule is gated by keywords that must all
 occur in the text before its expression runs. Of overlapping detections, one that lies inside
 a detection of a rule with higher priority (or of the same rule set, but longer) is suppressed.
 
@@ -120,17 +120,17 @@ class Rule(NamedTuple):
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules by priority: grants, versions, identifiers, then names."""
+    """All rules by priority: identifiers, grants, versions, then names."""
     gap = r"[\s,;:(\"'-]+"
-    found = [(0, label, keys, pattern.replace(" ", r"\s+"), 0.95) for label, keys, pattern in GRANTS]
+    found = [(1, label, keys, pattern.replace(" ", r"\s+"), 0.95) for label, keys, pattern in GRANTS]
     for label, names, ids, versions in FAMILIES:
         for stem in ids:
-            found.append((2, label, ("spdx", stem), rf"spdx-license-identifier:\s*{re.escape(stem)}(?:-[0-9.]+)?(?:-only|-or-later|\+)?(?![\w-])", 0.99))
+            found.append((0, label, ("spdx", stem), rf"spdx-license-identifier:\s*{re.escape(stem)}(?:-[0-9.]+)?(?:-only|-or-later|\+)?(?![\w-])", 0.99))
         for name in names:
             words = re.escape(name).replace(r"\ ", r"\s+")
             for version in versions:
                 number = re.escape(version)
-                found.append((1, label, (name.split()[-1], version), rf"(?<!\w){words}(?:{gap}licen[cs]e)?{gap}(?:version\s+|v\.?\s*)?{number}(?![\w]|\.[0-9])", 0.9))
+                found.append((2, label, (name.split()[-1], version), rf"(?<!\w){words}(?:{gap}licen[cs]e)?{gap}(?:version\s+|v\.?\s*)?{number}(?![\w]|\.[0-9])", 0.9))
             found.append((3, label, (name.split()[-1], "licen"), rf"(?<!\w){words}\s+licen[cs]e(?!\w)", 0.8))
             found.append((3, label, (name.split()[-1], "licen"), rf"licen[cs]ed?\s+(?:is\s+)?(?:under|by|with)\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{words}(?!\w)", 0.8))
             found.append((4, label, (name.split()[-1], "licen"), rf"licen[cs]e\s*[:=]\s*[\"']?{words}(?!\w)", 0.7))
