@@ -60,7 +60,7 @@ _FOLD |= dict.fromkeys((0xA0, 0xA1, 0xAB, 0xBB, 0xBF, 0x2013, 0x2014, 0x2018, 0x
 def folded(text: str | None) -> str:
     """Words of the text, folded, each between single spaces."""
     if not text:
-        return " "
+        return "  "
     text = text.lower()
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
@@ -112,10 +112,13 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
 
 
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's distinct words, with the words around the first place of each."""
     for batch in batches:
         for toxic, text in zip(batch["toxic"], batch["text"]):
-            words = sorted(set(folded(text).split()))
-            yield pd.DataFrame({"word": words, "toxic": np.full(len(words), toxic, "int32")})
+            line = folded(text).split()
+            first = {w: i for i, w in reversed([*enumerate(line)])}
+            around = [" ".join(line[max(i - 1, 0):i + 2]) for i in first.values()]
+            yield pd.DataFrame({"word": list(first), "around": around, "toxic": np.full(len(first), toxic, "int32")}, columns=["word", "around", "toxic"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -129,10 +132,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least: int = 6, odds: float = 3.0) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least: int = 4, odds: float = 3.0) -> dict[str, float]:
     """Words and stems with their log odds; a longer entry only where it says more than the stem it begins with."""
-    words = rows.mapInPandas(_distinct_words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    # A word counts once per surroundings, so that copies of one text do not make all its words suspect.
+    places = rows.mapInPandas(_distinct_words, "word string, around string, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"))
+    words = places.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     stems = words.select(F.explode(F.expr(
         f"transform(sequence({STEM[0]}, {STEM[1]}), n -> CASE WHEN length(word) >= n THEN concat(' ', left(word, n)) END)")).alias("entry"), "bad", "good")
     both = stems.unionByName(words.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "bad", "good"))
