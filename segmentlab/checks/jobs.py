@@ -9,7 +9,6 @@ from segmentlab.checks.views import with_views
 from segmentlab.functions import fixed
 from segmentlab.operators import jobs as j
 from segmentlab.operators.capacity import capacity_report, capacity_sweep, oversized_requests
-from segmentlab.session import dealt
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -25,6 +24,7 @@ def stamp(col: str) -> str:
 
 
 JOBS = with_views("jobs")
+_WRITTEN = "2030-01-02 03:04:05"
 
 # Rows that come in: known jobs again, new ones, and some twice.
 _INCOMING = """SELECT CASE WHEN event_id % 2 = 0 THEN user_id ELSE -user_id END AS job_id, concat('clip_', cast(user_id AS string), '.mp4') AS filename,
@@ -34,12 +34,21 @@ _INCOMING = """SELECT CASE WHEN event_id % 2 = 0 THEN user_id ELSE -user_id END
 @query("upsert_jobs", JOBS + f""", incoming AS ({_INCOMING}),
 fresh AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC) = 1)
 SELECT job_id, filename, status, {stamp('updated_at')}, {stamp('created_at')}, results FROM jobs WHERE job_id NOT IN (SELECT job_id FROM fresh)
-UNION ALL SELECT job_id, filename, status, {stamp('updated_at')}, NULL, NULL FROM fresh""")
+UNION ALL SELECT job_id, filename, status, {stamp('updated_at')}, '2030-01-02 03:04:05', NULL FROM fresh""")
 def _(v):
-    upserted = j.upsert_jobs(v.jobs, v.sql(_INCOMING))
+    upserted = j.upsert_jobs(v.jobs, v.sql(_INCOMING), now=F.lit(_WRITTEN))
     return _stamped(upserted.select("job_id", "filename", "status", "updated_at", "created_at", "results"), "updated_at", "created_at")
 
 
+# A job that is put in again is the latest of its file.
+@query("latest_after_upsert", JOBS + f""", incoming AS ({_INCOMING}), fresh AS (SELECT DISTINCT job_id, filename FROM incoming),
+both_ AS (SELECT job_id, filename, created_at FROM jobs WHERE job_id NOT IN (SELECT job_id FROM fresh)
+  UNION ALL SELECT job_id, filename, TIMESTAMP '2030-01-02 03:04:05' FROM fresh)
+SELECT filename, job_id FROM both_ QUALIFY row_number() OVER (PARTITION BY filename ORDER BY created_at DESC, job_id DESC) = 1""")
+def _(v):
+    return j.latest_job(j.upsert_jobs(v.jobs, v.sql(_INCOMING), now=F.lit(_WRITTEN))).select("filename", "job_id")
+
+
 @query("apply_status_updates", with_views("jobs", "updates") + f""",
 folded AS (SELECT job_id, last(status ORDER BY seq) AS status, last(updated_at ORDER BY seq) AS updated_at,
     last(results ORDER BY seq) FILTER (results IS NOT NULL) AS results,
@@ -113,7 +122,7 @@ read AS (SELECT *, cast(json_extract(r, '$.success') AS BOOLEAN) AS success, cas
 
 @query("stage_results", STAGES + "SELECT job_id, stage, success, duration, error FROM read WHERE r IS NOT NULL")
 def _(v):
-    return j.stage_results(dealt(v.jobs))
+    return j.stage_results(v.jobs.repartition("job_id"))
 
 
 @query("phase_gate", STAGES + """,
@@ -126,7 +135,7 @@ SELECT job_id, phase1_ok, CASE WHEN has_p2 THEN coalesce(p2_ok, true) END AS pha
        CASE WHEN has_p2 THEN CASE WHEN coalesce(p2_ok, true) THEN 'COMPLETED' ELSE 'FAILED' END WHEN NOT phase1_ok THEN 'FAILED'
             WHEN auto_resume THEN 'PROCESSING_PHASE2' ELSE 'AWAITING_REVIEW' END AS next_status FROM gates""")
 def _(v):
-    return j.phase_gate(dealt(v.jobs))
+    return j.phase_gate(v.jobs.repartition("job_id"))
 
 
 @query("progress", STAGES + """,
@@ -137,14 +146,14 @@ SELECT s.job_id, step, stage, CASE WHEN off THEN 'disabled' WHEN success THEN 'c
        CASE WHEN status = 'COMPLETED' THEN 6 ELSE coalesce(next_step, passed_step, 0) END / 6 * 100 AS percent
 FROM stepped s JOIN marks m ON m.job_id = s.job_id""")
 def _(v):
-    return j.progress(dealt(v.jobs))
+    return j.progress(v.jobs.repartition("job_id"))
 
 
 @query("stage_timings", STAGES + """
 SELECT stage, count(*) AS runs, count(*) FILTER (success) AS passed, avg(duration) AS avg_seconds, max(duration) AS max_seconds
 FROM read WHERE r IS NOT NULL GROUP BY stage""")
 def _(v):
-    return j.stage_timings(dealt(v.jobs))
+    return j.stage_timings(v.jobs.repartition("job_id"))
 
 
 # Edits of real lines, of lines under a wrong job, and repeated ones.

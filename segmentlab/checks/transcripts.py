@@ -119,19 +119,20 @@ def _answers(v):
         F.lit('{"id": '), F.when(F.col("id") % 5 == 1, F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"')))
         .when(F.col("id") % 5 == 2, F.concat(F.col("id").cast("string"), F.lit(".75")))
         .when(F.col("id") == 13, "null").otherwise(F.col("id").cast("string")),
-        F.lit(', "translated": '), F.when(F.col("id") % 11 == 4, '""').otherwise(F.to_json(F.struct("original_text")).substr(
+        # Of a repeated key the last value counts.
+        F.when(F.col("id") % 4 == 2, F.lit(', "translated": "first"')).otherwise(""), F.lit(', "translated": '), F.when(F.col("id") % 11 == 4, '""').otherwise(F.to_json(F.struct("original_text")).substr(
             F.lit(18), F.length(F.to_json(F.struct("original_text"))) - 18)), F.lit("}")))
     again = F.when(F.col("id") == 5, F.lit(', {"id": 5, "translated": "again"}')).otherwise("")
     entries = _chunks(v).select("job_id", "chunk", "id", F.concat(entry, again).alias("entry"))
     grouped = entries.groupBy("job_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "entry"))).alias("_e"))
     whole = F.concat(F.lit("Sure:\n["), F.array_join(F.col("_e.entry"), ",\n"), F.lit("]"))
-    return grouped.select("job_id", "chunk", F.when(F.col("chunk") % 6 == 5, "[{broken").otherwise(whole).alias("response"))
+    return grouped.select("job_id", "chunk", F.when((F.col("chunk") + F.col("job_id")) % 6 == 5, "[{broken").otherwise(whole).alias("response"))
 
 
 PARSED = CHUNKS + """, parsed AS (
 SELECT job_id, chunk, id, CASE WHEN id = 5 THEN 'again' ELSE original_text END AS translated FROM chunks
-WHERE chunk % 6 <> 5 AND id % 7 <> 3 AND id % 11 <> 4 AND id <> 13 AND id % 5 <> 2 OR
-      chunk % 6 <> 5 AND id % 7 <> 3 AND id % 11 <> 4 AND id % 5 = 2)
+WHERE (chunk + job_id) % 6 <> 5 AND id % 7 <> 3 AND id % 11 <> 4 AND id <> 13 AND id % 5 <> 2 OR
+      (chunk + job_id) % 6 <> 5 AND id % 7 <> 3 AND id % 11 <> 4 AND id % 5 = 2)
 """
 
 
@@ -140,6 +141,12 @@ def _(v):
     return t.parse_responses(_answers(v))
 
 
+@query("unread_responses", CHUNKS + """
+SELECT DISTINCT job_id, chunk, 'not readable as JSON' AS reason FROM chunks WHERE (chunk + job_id) % 6 = 5""")
+def _(v):
+    return t.unread_responses(_answers(v))
+
+
 @query("align_translations", PARSED + """
 SELECT c.job_id, c.seq, c.chunk, c.id, coalesce(p.translated, c.original_text) AS translated_text, p.id IS NULL AS is_missing
 FROM chunks c LEFT JOIN parsed p ON p.job_id = c.job_id AND p.chunk = c.chunk AND p.id = c.id""")
@@ -238,18 +245,45 @@ def _(v):
     return files.parse_transcripts(_documents(v)).drop("translated_text")
 
 
+# Every third document is spoilt in one way or another.
+_SPOIL = """CASE job_id % 12 WHEN 0 THEN left(document, length(document) - 2) WHEN 3 THEN '{"other": 1}' WHEN 6 THEN '' WHEN 9 THEN NULL ELSE document END"""
+
+
+def _numbered(v):
+    """Documents with a number of their own as ``job_id``."""
+    return _documents(v).selectExpr("cast(job_id / 1000000 AS bigint) * 7 + job_id % 1000000 AS job_id", "document")
+
+
+@query("transcript_rejects", with_views("lines") + f""", raw AS ({_DOCS}),
+numbered AS (SELECT DISTINCT job_id * 7 + part AS job_id FROM raw)
+SELECT job_id, CASE job_id % 12 WHEN 0 THEN 'not readable as JSON' WHEN 3 THEN 'no segments' ELSE 'empty' END AS reject_reason, count(*) AS n
+FROM (SELECT job_id * 7 + part AS job_id FROM raw GROUP BY job_id, part) WHERE job_id % 3 = 0 GROUP BY job_id""")
+def _(v):
+    spoilt = _numbered(v).withColumn("document", F.expr(_SPOIL))
+    return files.transcript_rejects(spoilt).groupBy("job_id", "reject_reason").agg(F.count("*").alias("n"))
+
+
+# Written to real files and read back.
 @query("export_transcripts", with_views("lines") + """
-SELECT job_id, seq // 1000 AS part, count(*) AS n_lines, sum(length(original_text))::BIGINT AS chars,
+SELECT job_id, seq, start_time, end_time, original_text, translated_text, speaker FROM lines""")
+def _(v):
+    path = f"{shared_dir(v.spark)}/export-{uuid.uuid4().hex}"
+    files.export_transcripts(v.lines, path, buckets=64)
+    return files.read_export(v.spark, path, "bigint")
+
+
+@query("transcript_arrays", with_views("lines") + """
+SELECT job_id, count(*) AS n_lines, sum(length(original_text))::BIGINT AS chars,
        string_agg(original_text || '>' || translated_text || '>' || coalesce(speaker, 'null') || '>' || (start_time * 1000)::BIGINT, '|' ORDER BY seq) AS lines
-FROM lines GROUP BY job_id, seq // 1000""")
+FROM lines GROUP BY job_id""")
 def _(v):
-    parts = files.transcript_parts(v.lines, rows=1000).withColumn("_l", F.from_json(
+    parts = files.transcript_arrays(v.lines).withColumn("_l", F.from_json(
         "document", "array<struct<start:double,end:double,text:string,translated:string,speaker:string>>"))
     line = F.transform("_l", lambda s: F.concat_ws(
         ">", s["text"], s["translated"], F.coalesce(s["speaker"], F.lit("null")),
         F.bround(s["start"] * 1000, 0).cast("bigint").cast("string")))
     chars = F.aggregate(F.transform("_l", lambda s: F.length(s["text"])), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return parts.select("job_id", "part", "n_lines", chars.alias("chars"), F.array_join(line, "|").alias("lines"))
+    return parts.select("job_id", "n_lines", chars.alias("chars"), F.array_join(line, "|").alias("lines"))
 
 
 @query("read_segments_job", with_views("segments") + """
@@ -259,16 +293,16 @@ def _(v):
     return files.segments_for_jobs(v.segments, wanted).select("job_id", "id", "start_time", "original_text")
 
 
-# A table of all lines, then every third job written again.
+# A table of all lines, then every third job written again, and every seventh emptied.
 @query("write_segments", with_views("segments") + """
 SELECT job_id, seq, start_time, CASE WHEN job_id % 3 = 0 THEN concat('new ', original_text) ELSE original_text END AS original_text
-FROM segments WHERE job_id % 3 > 0 OR seq % 2 = 0""")
+FROM segments WHERE (job_id % 3 > 0 OR seq % 2 = 0) AND job_id % 7 > 0""")
 def _(v):
     path = f"{shared_dir(v.spark)}/table-{uuid.uuid4().hex}"
-    files.write_segments(v.segments, path, buckets=16)
-    again = v.segments.filter("job_id % 3 = 0 AND seq % 2 = 0").withColumn(
+    files.write_segments(v.segments, path, buckets=64)
+    again = v.segments.filter("job_id % 3 = 0 AND seq % 2 = 0 AND job_id % 7 > 0").withColumn(
         "original_text", F.concat(F.lit("new "), F.col("original_text")))
-    files.write_segments(again, path, buckets=16)
+    files.write_segments(again, path, buckets=64, jobs=v.segments.filter("job_id % 3 = 0 OR job_id % 7 = 0").select("job_id").distinct())
     return files.read_segments(v.spark, path).select("job_id", "seq", "start_time", "original_text")
 
 

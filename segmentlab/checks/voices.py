@@ -95,8 +95,8 @@ def _(v):
 
 
 @query("stretch_distribution", PLAN + """
-SELECT job_id, count(rate) AS n, min(round(rate, 4)) AS min_rate, max(round(rate, 4)) AS max_rate,
-       round(quantile_cont(round(rate, 4), 0.5), 6) AS median_rate, round(quantile_cont(round(rate, 4), 0.9), 6) AS p90_rate,
+SELECT job_id, count(rate) AS n, min(rate) AS min_rate, max(rate) AS max_rate,
+       round(quantile_cont(rate, 0.5), 6) AS median_rate, round(quantile_cont(rate, 0.9), 6) AS p90_rate,
        count(*) FILTER (state LIKE 'clamped%') AS clamped, count(*) FILTER (state = 'error') AS errors
 FROM plan GROUP BY job_id""")
 def _(v):
@@ -141,8 +141,9 @@ def _(v):
 
 _SERIES = """SELECT user_id % 20 AS job_id, event_id % 16 AS seq, cast(floor(event_id / 16) AS bigint) AS idx,
     CASE WHEN user_id % 2 = 0 THEN value / 100 ELSE value / 100000 END AS value FROM events"""
-_OFFSETS = """SELECT DISTINCT user_id % 20 AS job_id, event_id % 16 AS seq, (event_id % 16) * 5 AS start_sample,
-    cast(100000 AS bigint) + event_id % 16 AS kept_length FROM events"""
+# Every clip loses its last two samples.
+_OFFSETS = """SELECT user_id % 20 AS job_id, event_id % 16 AS seq, (event_id % 16) * 5 AS start_sample,
+    max(cast(floor(event_id / 16) AS bigint)) - 1 AS kept_length FROM events GROUP BY user_id % 20, event_id % 16"""
 
 
 @query("mixdown_series", f"""WITH series AS ({_SERIES}), offsets AS ({_OFFSETS}),

@@ -58,7 +58,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, how
     """Adds the running ``sum`` or ``max`` of ``value`` within ``keys``."""
     fold = {"sum": F.sum, "max": F.max}[how]
     part = [*keys, "_block"]
-    rows = df.withColumn("_block", block).withColumn("_value", value)
+    # Said outright: rows that come in partitioned by a bare key would keep the whole group in one task.
+    rows = df.withColumn("_block", block).withColumn("_value", value).repartition(*part)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*part).agg(fold("_value").alias("_total"))
@@ -75,7 +76,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, how
 def following(df: DataFrame, keys: list[str], order: str, name: str, block: Column) -> DataFrame:
     """Adds the next value of ``order`` within ``keys``; ``order`` is unique per key."""
     part = [*keys, "_block"]
-    rows = df.withColumn("_block", block)
+    rows = df.withColumn("_block", block).repartition(*part)
     firsts = rows.groupBy(*part).agg(F.min(order).alias("_first"))
     after = Window.partitionBy(*keys).orderBy("_block")
     carry = firsts.select(*part, F.lead("_first").over(after).alias("_carry"))

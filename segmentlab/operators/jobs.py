@@ -21,14 +21,16 @@ def _last_row(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, "_row.*").select(*rows.columns)
 
 
-def upsert_jobs(jobs: DataFrame, incoming: DataFrame, order: str = "updated_at") -> DataFrame:
+def upsert_jobs(jobs: DataFrame, incoming: DataFrame, order: str = "updated_at", now: Column | None = None) -> DataFrame:
     """Insert or replace whole rows by ``job_id``; of repeated incoming rows the last by ``order``.
 
-    Columns an incoming row lacks become NULL, they are not taken from the old row.
+    A written row counts as created ``now``. Other columns that it lacks become NULL, they are not taken from the old
+    row; columns that only the incoming rows have are added to the table.
     """
-    fresh = _last_row(incoming, ["job_id"], F.col(order))
+    created = (F.current_timestamp() if now is None else now).cast(jobs.schema["created_at"].dataType)
+    fresh = _last_row(incoming, ["job_id"], F.col(order)).withColumn("created_at", created)
     kept = jobs.join(fresh.select("job_id"), "job_id", "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True).select(*jobs.columns)
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def apply_status_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:

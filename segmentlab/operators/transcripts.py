@@ -212,27 +212,33 @@ def batch_infer(requests: DataFrame, fn: Callable[[dict], str], concurrency: int
     return spread.mapInPandas(run, f"job_id {job_type}, chunk bigint, response string")
 
 
+def _entries(col: str) -> Column:
+    """The JSON texts of the entries of an answer; NULL if it cannot be read."""
+    span = F.regexp_extract(F.col(col), r"(?s)\[.*\]", 0)
+    alone = text.strip(F.col(col))
+    return F.when(span != "", F.from_json(span, "array<string>")).when(
+        F.from_json(alone, "map<string,string>").isNotNull(), F.array(alone))
+
+
 def parse_responses(responses: DataFrame, col: str = "response") -> DataFrame:
     """Answers as rows ``job_id, chunk, id, translated``.
 
     The widest ``[...]`` span is read, else the whole text; a lone object counts
     as a list of one. Entries that are no objects, have no usable id or no
-    translation are skipped; of a repeated id the last entry is kept.
+    translation are skipped; of a repeated id the last entry is kept, of a repeated key in an
+    entry the last value. Answers that cannot be read are in :func:`unread_responses`.
     """
-    span = F.regexp_extract(F.col(col), r"(?s)\[.*\]", 0)
-    parsed = F.try_parse_json(F.when(span != "", span).otherwise(text.strip(F.col(col))))
-    is_list = F.schema_of_variant(F.col("_v")).startswith("ARRAY")
-    entries = F.when(is_list, F.expr("try_variant_get(_v, '$', 'array<variant>')")).when(
-        F.col("_v").isNotNull(), F.array("_v"))
     # An outer explode: a plain one makes Spark test the size first and parse every answer twice.
-    exploded = responses.withColumn("_v", parsed).select(
-        "job_id", "chunk", F.posexplode_outer(entries).alias("_pos", "_entry")).filter("_pos IS NOT NULL")
-    fields = exploded.selectExpr(
+    exploded = responses.select("job_id", "chunk", F.posexplode_outer(_entries(col)).alias("_pos", "_text")).filter("_pos IS NOT NULL")
+    typed = exploded.withColumn("_entry", F.try_parse_json("_text"))
+    # An entry with a repeated key has no variant; its last values are read as text.
+    again = F.from_json(F.when(F.col("_entry").isNull(), F.col("_text")), "id string, translated string")
+    fields = typed.withColumn("_again", again).selectExpr(
         "job_id", "chunk", "_pos",
-        "schema_of_variant(try_variant_get(_entry, '$.id', 'variant')) AS id_type",
-        "try_variant_get(_entry, '$.id', 'string') AS id_text",
-        "schema_of_variant(try_variant_get(_entry, '$.translated', 'variant')) AS said_type",
-        "try_variant_get(_entry, '$.translated', 'string') AS translated",
+        "coalesce(schema_of_variant(try_variant_get(_entry, '$.id', 'variant')), CASE WHEN _again.id IN ('true', 'false') THEN 'BOOLEAN' ELSE 'TEXT' END) AS id_type",
+        "coalesce(try_variant_get(_entry, '$.id', 'string'), _again.id) AS id_text",
+        "coalesce(schema_of_variant(try_variant_get(_entry, '$.translated', 'variant')), CASE WHEN _again.translated IS NOT NULL THEN 'STRING' END) AS said_type",
+        "coalesce(try_variant_get(_entry, '$.translated', 'string'), _again.translated) AS translated",
     )
     whole = F.expr(r"try_cast(regexp_extract(id_text, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS bigint)")
     ident = (
@@ -246,6 +252,12 @@ def parse_responses(responses: DataFrame, col: str = "response") -> DataFrame:
     return usable.groupBy("job_id", "chunk", "id").agg(F.max_by("translated", "_pos").alias("translated"))
 
 
+def unread_responses(responses: DataFrame, col: str = "response") -> DataFrame:
+    """Answers of which nothing can be read: ``job_id, chunk, reason``."""
+    reason = F.when(F.trim(F.coalesce(F.col(col), F.lit(""))) == "", "empty").when(_entries(col).isNull(), "not readable as JSON")
+    return responses.select("job_id", "chunk", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def align_translations(chunks: DataFrame, responses: DataFrame) -> DataFrame:
     """Every line with its translation; a missing one takes the source text and is flagged."""
     answers = responses.select("job_id", "chunk", "id", F.col("translated").alias("_said"))

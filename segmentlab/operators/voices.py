@@ -118,19 +118,33 @@ def stretch_plan(clips: DataFrame, lo: float = fixed.MIN_RATE, hi: float = fixed
     return clips.withColumn("rate", clamped).withColumn("state", state)
 
 
-def stretch_distribution(plan: DataFrame, digits: int = 4) -> DataFrame:
-    """Spread of the rates per job.
+def stretch_distribution(plan: DataFrame, per_block: int = 1000) -> DataFrame:
+    """Spread of the rates per job, with exact percentiles of any number of rates.
 
-    Rates lie within the clamp, so at ``digits`` decimals there is a fixed number
-    of distinct values and the exact percentile keeps a bounded count table.
+    Equal rates are counted first. The counts are summed up in order of the rate by blocks of
+    ``1 / per_block``, and a percentile lies between the two rates around its place.
     """
-    rate = F.round("rate", digits)
-    return plan.groupBy("job_id").agg(
-        F.count("rate").alias("n"), F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"),
-        F.percentile(rate, 0.5).alias("median_rate"), F.percentile(rate, 0.9).alias("p90_rate"),
+    totals = plan.groupBy("job_id").agg(
+        F.count("rate").alias("n"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"),
         F.count_if(F.col("state").startswith("clamped")).alias("clamped"),
-        F.count_if(F.col("state") == "error").alias("errors"),
-    )
+        F.count_if(F.col("state") == "error").alias("errors"))
+    counts = plan.filter("rate IS NOT NULL").groupBy("job_id", "rate").agg(F.count("*").alias("_rows"))
+    upto = blocks.running(counts, ["job_id"], ["rate"], F.col("_rows"), "sum", "_upto", F.floor(F.col("rate") * per_block).cast("bigint"))
+    places = upto.join(totals.select("job_id", "n"), "job_id")
+
+    def around(share: float) -> tuple[Column, Column]:
+        place = (F.col("n") - 1) * share
+        return tuple(F.min(F.when(F.col("_upto") > at, F.col("rate"))) for at in (F.floor(place), F.ceil(place)))
+
+    found = places.groupBy("job_id").agg(*(c.alias(f"_{name}{i}") for name, share in (("median", 0.5), ("p90", 0.9)) for i, c in enumerate(around(share))))
+
+    def between(name: str, share: float) -> Column:
+        place = (F.col("n") - 1) * share
+        low, high = F.col(f"_{name}0"), F.col(f"_{name}1")
+        return (low + (high - low) * (place - F.floor(place))).alias(f"{name}_rate")
+
+    return totals.join(found, "job_id", "left").select(
+        "job_id", "n", "min_rate", "max_rate", between("median", 0.5), between("p90", 0.9), "clamped", "errors")
 
 
 def output_rates(clips: DataFrame) -> DataFrame:

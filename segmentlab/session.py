@@ -32,12 +32,14 @@ def build_session(app: str = "segmentlab", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only when the cluster names none (tests on one machine) is a local
-    temporary folder made.
+    A session that runs in one process may name none and gets a temporary folder; on a
+    cluster that would be another disk on every machine, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
@@ -54,12 +56,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` spread over all cores if it is read in fewer splits than there are cores.
-
-    For work that is heavy per row on a small table; a table of many splits stays
-    as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -9,55 +9,98 @@ from segmentlab.functions import text
 from segmentlab.operators import blocks
 from segmentlab.session import written
 
-_LINE = "array<struct<start:double,`end`:double,text:string,speaker:string,translated:string>>"
-EXPORT_ROWS = 10_000
+# All as text, so that a number in quotes or a text without them is no reason to lose a document.
+_LINE = "array<struct<start:string,`end`:string,text:string,speaker:string,translated:string>>"
+_BROKEN = "_broken"
 BUCKETS = 1024
 
 
+def _read(documents: DataFrame, col: str) -> DataFrame:
+    """Adds ``_lines`` and ``reject_reason`` (NULL where the document is readable)."""
+    body = F.regexp_replace(F.substring(F.col(col), 1, 100), r"^[\s\ufeff]+", "")
+    as_list = F.from_json(F.when(body.startswith("["), F.col(col)), _LINE)
+    as_object = F.from_json(F.when(body.startswith("{"), F.col(col)), f"segments {_LINE}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    parsed = documents.withColumn("_list", as_list).withColumn("_object", as_object)
+    lines = F.coalesce("_list", F.when(F.col(f"_object.{_BROKEN}").isNull(), F.col("_object.segments")))
+    reason = (
+        F.when(F.col(col).isNull() | (body == ""), "empty").when(F.col("_lines").isNotNull(), None)
+        .when(F.col("_object").isNotNull() & F.col(f"_object.{_BROKEN}").isNull(), "no segments").otherwise("not readable as JSON"))
+    return parsed.withColumn("_lines", lines).withColumn("reject_reason", reason).drop("_list", "_object")
+
+
 def parse_transcripts(documents: DataFrame, col: str = "document") -> DataFrame:
     """Transcript documents, one per row with its ``job_id``, as segments.
 
     A document is ``{"segments": [...]}`` or a bare list. Missing times are 0,
-    blank lines are dropped, texts trimmed; ``seq`` counts the lines that stay.
+    blank lines are dropped, texts trimmed; ``seq`` counts the lines that stay. Documents that
+    cannot be read have no rows here and one in :func:`transcript_rejects`.
     """
-    parsed = documents.withColumn("_v", F.try_parse_json(F.col(col)))
-    lines = F.coalesce(F.expr(f"try_variant_get(_v, '$.segments', '{_LINE}')"), F.expr(f"try_variant_get(_v, '$', '{_LINE}')"))
     kept = F.filter(F.col("_lines"), lambda s: text.strip(F.coalesce(s["text"], F.lit(""))) != "")
-    rows = parsed.withColumn("_lines", lines).select("job_id", F.posexplode_outer(kept).alias("seq", "_s")).filter("seq IS NOT NULL")
+    rows = _read(documents, col).select("job_id", F.posexplode_outer(kept).alias("seq", "_s")).filter("seq IS NOT NULL")
     return rows.select(
         "job_id", F.col("seq").cast("bigint").alias("seq"),
-        F.coalesce("_s.start", F.lit(0.0)).alias("start_time"), F.coalesce("_s.end", F.lit(0.0)).alias("end_time"),
+        F.coalesce(F.col("_s.start").try_cast("double"), F.lit(0.0)).alias("start_time"),
+        F.coalesce(F.col("_s.end").try_cast("double"), F.lit(0.0)).alias("end_time"),
         text.strip(F.col("_s.text")).alias("original_text"), F.col("_s.translated").alias("translated_text"),
         F.col("_s.speaker").alias("speaker"))
 
 
-def read_transcripts(spark: SparkSession, path: str, job_id: Column | None = None) -> DataFrame:
-    """Transcript files, one document each; the job is the file's folder unless told otherwise."""
+def transcript_rejects(documents: DataFrame, col: str = "document") -> DataFrame:
+    """Documents that give no list of lines, with the reason: ``job_id``, other columns, ``reject_reason``."""
+    return _read(documents, col).filter("reject_reason IS NOT NULL").drop(col, "_lines")
+
+
+def _documents(spark: SparkSession, path: str, job_id: Column | None) -> DataFrame:
     files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
     # The path is encoded as in a URI, where a plus is a plus.
     place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     folder = F.substring_index(F.substring_index(place, "/", -2), "/", 1)
-    documents = files.select((folder if job_id is None else job_id).alias("job_id"), F.col("value").alias("document"))
-    return parse_transcripts(documents)
+    return files.select((folder if job_id is None else job_id).alias("job_id"), place.alias("path"), F.col("value").alias("document"))
+
+
+def read_transcripts(spark: SparkSession, path: str, job_id: Column | None = None) -> DataFrame:
+    """Transcript files, one document each; the job is the file's folder unless told otherwise."""
+    return parse_transcripts(_documents(spark, path, job_id))
+
+
+def read_rejects(spark: SparkSession, path: str, job_id: Column | None = None) -> DataFrame:
+    """The files that :func:`read_transcripts` cannot use: ``job_id, path, reject_reason``."""
+    return transcript_rejects(_documents(spark, path, job_id))
 
 
-def transcript_parts(segments: DataFrame, rows: int = EXPORT_ROWS) -> DataFrame:
-    """Segments as JSON arrays, ``job_id, part, n_lines, document``.
+def transcript_lines(segments: DataFrame) -> DataFrame:
+    """Segments as JSON, one per line: ``job_id, seq, line``."""
+    line = F.struct(F.col("job_id"), F.col("seq"), F.col("start_time").alias("start"), F.col("end_time").alias("end"),
+                    F.col("original_text").alias("text"), F.col("translated_text").alias("translated"), "speaker")
+    return segments.select("job_id", "seq", F.to_json(line, {"ignoreNullFields": "false"}).alias("line"))
 
-    A job of up to ``rows`` lines is one array, as it was read. A longer one is
-    numbered arrays that follow each other, so no task holds a whole long job.
+
+def export_transcripts(segments: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Lines of :func:`transcript_lines` as text files, in order of job and number, in folders by bucket of the job.
+
+    The form is the same for every size; a long job is several files of its bucket.
     """
+    lines = transcript_lines(segments).withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
+    placed = lines.repartition("job_bucket", blocks.block_of(F.col("seq"))).sortWithinPartitions("job_bucket", "job_id", "seq")
+    placed.select("job_bucket", "line").write.mode("overwrite").partitionBy("job_bucket").text(path)
+
+
+def read_export(spark: SparkSession, path: str, job_type: str = "string") -> DataFrame:
+    """Exported lines as segments again."""
+    schema = f"job_id {job_type}, seq bigint, start double, `end` double, text string, translated string, speaker string"
+    rows = spark.read.schema("value string, job_bucket int").text(path).select(F.from_json("value", schema).alias("_s")).select("_s.*")
+    return rows.select("job_id", "seq", F.col("start").alias("start_time"), F.col("end").alias("end_time"), F.col("text").alias("original_text"),
+                       F.col("translated").alias("translated_text"), "speaker")
+
+
+def transcript_arrays(segments: DataFrame) -> DataFrame:
+    """Whole jobs as one JSON array each, for callers that need one: ``job_id, n_lines, document``. A job is one row then."""
     line = F.struct(
         "seq", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("original_text").alias("text"),
         F.col("translated_text").alias("translated"), "speaker")
-    grouped = segments.groupBy("job_id", blocks.block_of(F.col("seq"), rows).alias("part")).agg(
-        F.sort_array(F.collect_list(line)).alias("_lines"), F.count("*").alias("n_lines"))
+    grouped = segments.groupBy("job_id").agg(F.sort_array(F.collect_list(line)).alias("_lines"), F.count("*").alias("n_lines"))
     bare = F.transform("_lines", lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "text", "translated", "speaker")]))
-    return grouped.select("job_id", "part", "n_lines", F.to_json(bare, {"ignoreNullFields": "false"}).alias("document"))
-
-
-def export_transcripts(segments: DataFrame, path: str, rows: int = EXPORT_ROWS) -> None:
-    transcript_parts(segments, rows).write.mode("overwrite").json(path)
+    return grouped.select("job_id", "n_lines", F.to_json(bare, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def segments_for_jobs(segments: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -70,8 +113,10 @@ def job_bucket(job: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(job), F.lit(buckets)).cast("int")
 
 
-def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace all rows of the jobs in ``segments``; other jobs stay as they are.
+def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS, jobs: DataFrame | None = None) -> None:
+    """Replace all rows of ``jobs`` (of the jobs in ``segments`` if not given); other jobs stay as they are.
+
+    A job of ``jobs`` without rows in ``segments`` is emptied.
 
     The table is partitioned by a hash bucket of the job, so any number of jobs
     means a fixed number of folders. Only buckets that hold a written job are
@@ -80,8 +125,13 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
     """
     spark = segments.sparkSession
     fresh = segments.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
-    if _exists(spark, path):
-        touched = fresh.select("job_id", "job_bucket").distinct()
+    had = _exists(spark, path)
+    if had:
+        touched = fresh.select("job_id", "job_bucket")
+        if jobs is not None:
+            touched = touched.unionByName(jobs.select("job_id", job_bucket(F.col("job_id"), buckets).alias("job_bucket")))
+        # Read below while the table is being written.
+        touched = written(touched.distinct(), "touched")
         buckets_touched = touched.select("job_bucket").distinct()
         old = blocks.lookup(spark.read.parquet(path), buckets_touched, ["job_bucket"], ["job_id", "seq"], "left_semi")
         kept = blocks.lookup(old, touched.select("job_id"), ["job_id"], "seq", "left_anti")
@@ -89,16 +139,27 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS) -> No
     ready = written(fresh, "segments").repartition("job_bucket", blocks.block_of(F.col("seq")))
     (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job_bucket").parquet(path))
+    if had and jobs is not None:
+        _drop_empty(spark, path, ready, touched)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and its path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
+    system, place = _folder(spark, path)
+    return system.exists(place)
+
 
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def _drop_empty(spark: SparkSession, path: str, ready: DataFrame, touched: DataFrame) -> None:
+    """Buckets of which nothing is left: a dynamic overwrite does not touch them. At most one row per bucket."""
+    left = touched.select("job_bucket").distinct().join(ready.select("job_bucket").distinct(), "job_bucket", "left_anti")
+    for row in left.collect():
+        system, place = _folder(spark, f"{path}/job_bucket={row.job_bucket}")
+        system.delete(place, True)
 
 
 def read_segments(spark: SparkSession, path: str, jobs: list | None = None, buckets: int = BUCKETS) -> DataFrame:

@@ -37,6 +37,17 @@ def test_read_transcripts(spark, tmp_path):
         (tmp_path / job / "transcribe.json").write_text(json.dumps(document) if document != "broken" else "{", encoding="utf-8")
     got = sorted(tuple(r) for r in transcripts.read_transcripts(spark, str(tmp_path)).collect())
     assert got == [("j+ 2", 0, 1.0, 2.0, "x", "y", None), ("j1", 0, 0.0, 1.5, "one", None, "A"), ("j1", 1, 0.0, 0.0, "two", None, None)]
+    rejects = {(r.job_id, r.reject_reason) for r in transcripts.read_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("j3", "no segments"), ("j4", "not readable as JSON")}
+
+
+def test_a_large_document_is_read_whole(spark):
+    from pyspark.sql import functions as F
+
+    lines = F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.struct(i.cast("double").alias("start"), F.repeat(F.lit("long line "), 80).alias("text")))
+    documents = spark.range(1).select(F.col("id").alias("job_id"), F.to_json(F.struct(lines.alias("segments"))).alias("document"))
+    assert transcripts.parse_transcripts(documents).count() == 200_000
+    assert transcripts.transcript_rejects(documents).count() == 0
 
 
 def test_write_replaces_only_the_written_jobs(spark, tmp_path):
@@ -50,15 +61,21 @@ def test_write_replaces_only_the_written_jobs(spark, tmp_path):
         got.setdefault(r.job_id, []).append(r.original_text)
     assert got == {**{f"j{j}": ["old"] * 3 for j in (0, 2, 3, 4, 5)}, "j1": ["new"], "j9": ["new"]}
     assert transcripts.read_segments(spark, path, ["j2", "j9"], buckets=4).count() == 4
+    emptied = spark.createDataFrame([("j2",), ("j3",), ("j4",), ("j5",), ("j0",)], "job_id string")
+    transcripts.write_segments(first.limit(0), path, buckets=4, jobs=emptied)
+    assert {r.job_id for r in transcripts.read_segments(spark, path).collect()} == {"j1", "j9"}
 
 
 def test_export_and_read_back(spark, tmp_path):
-    rows = [("j", i, float(i), i + 0.5, f"line {i}", None if i % 2 else "dịch", "A") for i in range(5)]
-    transcripts.export_transcripts(spark.createDataFrame(rows, SEGMENT), str(tmp_path / "out"), rows=3)
-    parts = spark.read.json(str(tmp_path / "out"))
-    assert sorted((r.part, r.n_lines) for r in parts.collect()) == [(0, 3), (1, 2)]
-    back = transcripts.parse_transcripts(parts)
-    assert sorted(r.original_text for r in back.collect()) == [f"line {i}" for i in range(5)]
+    rows = [("j", i, float(i), i + 0.5, f"line {i}", None if i % 2 else "dịch", "A") for i in range(5)] + [("k", 0, 1.0, 2.0, 'a "b"\nc', None, None)]
+    df = spark.createDataFrame(rows, SEGMENT)
+    transcripts.export_transcripts(df, str(tmp_path / "out"), buckets=4)
+    back = transcripts.read_export(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    arrays = transcripts.transcript_arrays(df)
+    assert sorted((r.job_id, r.n_lines) for r in arrays.collect()) == [("j", 5), ("k", 1)]
+    again = transcripts.parse_transcripts(arrays)
+    assert sorted(r.original_text for r in again.collect()) == ['a "b"\nc', *(f"line {i}" for i in range(5))]
 
 
 def test_voices(spark, tmp_path):

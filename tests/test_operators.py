@@ -167,9 +167,19 @@ def test_upsert_replaces_whole_rows(spark):
     at = dt.datetime(2024, 1, 1)
     df = _job(spark, ("a", "f", "FAILED", at, at, "{}", "bad"), ("b", "g", "QUEUED", at, at))
     incoming = spark.createDataFrame([("a", "f", "QUEUED", at)], "job_id string, filename string, status string, updated_at timestamp")
-    got = {r.job_id: r for r in jobs.upsert_jobs(df, incoming).collect()}
-    assert got["a"].status == "QUEUED" and got["a"].error is None and got["a"].results is None and got["a"].created_at is None
-    assert got["b"].status == "QUEUED"
+    now = dt.datetime(2024, 2, 2)
+    got = {r.job_id: r for r in jobs.upsert_jobs(df, incoming, now=F.lit(now)).collect()}
+    assert got["a"].status == "QUEUED" and got["a"].error is None and got["a"].results is None and got["a"].created_at == now
+    assert got["b"].status == "QUEUED" and got["b"].created_at == at
+
+
+def test_a_job_put_in_again_is_the_latest(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = _job(spark, ("a", "f", "FAILED", at, at), ("b", "f", "FAILED", at + dt.timedelta(1), at))
+    incoming = spark.createDataFrame([("a", "f", "QUEUED", at, "plain")], "job_id string, filename string, status string, updated_at timestamp, style string")
+    after = jobs.upsert_jobs(df, incoming)
+    assert after.columns == [*df.columns, "style"]
+    assert [(r.job_id, r.status, r.style) for r in jobs.latest_job(after).collect()] == [("a", "QUEUED", "plain")]
 
 
 def _results(**phases):
