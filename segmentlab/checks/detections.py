@@ -322,13 +322,20 @@ def _plan(v):
 @query("region_plan", PLAN + """
 SELECT video_id, region_id, x, y, w, h, greatest(1, least(22, least(w, h) // 4 - 1))::BIGINT AS radius, always, spread, n_frames::BIGINT AS n_frames FROM best""")
 def _(v):
-    return _plan(v)[0]
+    return _plan(v).regions
 
 
 @query("region_plan_active", PLAN + """
 SELECT a.video_id, 'row_' || row_id AS region_id, frame_idx FROM allowed a JOIN best b ON b.video_id = a.video_id AND b.region_id = 'row_' || row_id""")
 def _(v):
-    return _plan(v)[1]
+    return _plan(v).active
+
+
+@query("region_plan_windows", PLAN + ", band_rows_on AS (SELECT a.video_id, a.row_id, frame_idx FROM allowed a "
+       "JOIN best b ON b.video_id = a.video_id AND b.region_id = 'row_' || a.row_id)," + WINDOWS.replace("band_rows r", "band_rows_on r").replace(
+           "cast(row_id AS VARCHAR)", "'row_' || row_id") + "SELECT * FROM windows")
+def _(v):
+    return _plan(v).windows
 
 
 _SCORED = "SELECT event_id AS box_id, value, (event_id * 31 % 1000) / 1000e0 AS score FROM events"

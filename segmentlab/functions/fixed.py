@@ -89,3 +89,11 @@ MIN_SCORE = 0.7
 # Quality limits.
 SILENCE_RMS = 0.001
 MAX_STRETCH = 1.5
+
+# Columns of the voice catalogue that are public.
+PUBLIC_VOICE_FIELDS = ["id", "name", "country", "flag", "lang", "gender"]
+
+# Words read out for signs, and time words that are not said twice.
+VI_DONG, VI_PLUS, VI_EQUALS, VI_PERCENT, VI_DOLLARS, VI_AND = "đồng", "cộng", "bằng", "phần trăm", "đô la", "và"
+EN_PERCENT, EN_DOLLARS, EN_AND = "percent", "dollars", "and"
+VI_TIME_WORDS = ["ngày", "tháng", "năm", "giờ"]

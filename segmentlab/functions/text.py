@@ -161,24 +161,24 @@ def _fold(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 VI_EARLY = [
-    (rf"{_AMOUNT}{SPACE}*[đ₫](?![\p{{L}}\p{{N}}_À-ỹ])", "$1 đồng"),
-    (rf"(?i){_AMOUNT}{SPACE}*VND{EDGE}", "$1 đồng"),
-    (rf"({DIGIT}){SPACE}*\+{SPACE}*(?={DIGIT})", "$1 cộng "),
-    (rf"({DIGIT}){SPACE}*={SPACE}*(?={DIGIT})", "$1 bằng "),
+    (rf"{_AMOUNT}{SPACE}*[đ₫](?![\p{{L}}\p{{N}}_À-ỹ])", f"$1 {fixed.VI_DONG}"),
+    (rf"(?i){_AMOUNT}{SPACE}*VND{EDGE}", f"$1 {fixed.VI_DONG}"),
+    (rf"({DIGIT}){SPACE}*\+{SPACE}*(?={DIGIT})", f"$1 {fixed.VI_PLUS} "),
+    (rf"({DIGIT}){SPACE}*={SPACE}*(?={DIGIT})", f"$1 {fixed.VI_EQUALS} "),
 ]
 VI_LATE = [
-    (rf"({DIGIT}){SPACE}*%", "$1 phần trăm"),
-    (rf"\${SPACE}*{_AMOUNT}", "$1 đô la"),
-    (rf"{_AMOUNT}{SPACE}*\$", "$1 đô la"),
-    (rf"({DIGIT}){SPACE}*[₫đ](?={EDGE})", "$1 đồng"),
-    (rf"{_AMOUNT}{SPACE}*VND{EDGE}", "$1 đồng"),
-    (rf"{SPACE}*+&{SPACE}*", " và "),
+    (rf"({DIGIT}){SPACE}*%", f"$1 {fixed.VI_PERCENT}"),
+    (rf"\${SPACE}*{_AMOUNT}", f"$1 {fixed.VI_DOLLARS}"),
+    (rf"{_AMOUNT}{SPACE}*\$", f"$1 {fixed.VI_DOLLARS}"),
+    (rf"({DIGIT}){SPACE}*[₫đ](?={EDGE})", f"$1 {fixed.VI_DONG}"),
+    (rf"{_AMOUNT}{SPACE}*VND{EDGE}", f"$1 {fixed.VI_DONG}"),
+    (rf"{SPACE}*+&{SPACE}*", f" {fixed.VI_AND} "),
 ]
 EN_RULES = [
-    (rf"({DIGIT}){SPACE}*%", "$1 percent"),
-    (rf"\${SPACE}*{_AMOUNT}", "$1 dollars"),
-    (rf"{_AMOUNT}{SPACE}*\$", "$1 dollars"),
-    (rf"{SPACE}*+&{SPACE}*", " and "),
+    (rf"({DIGIT}){SPACE}*%", f"$1 {fixed.EN_PERCENT}"),
+    (rf"\${SPACE}*{_AMOUNT}", f"$1 {fixed.EN_DOLLARS}"),
+    (rf"{_AMOUNT}{SPACE}*\$", f"$1 {fixed.EN_DOLLARS}"),
+    (rf"{SPACE}*+&{SPACE}*", f" {fixed.EN_AND} "),
 ]
 
 
@@ -196,7 +196,7 @@ def en_symbols(text: Column) -> Column:
 
 def dedupe_time_words(text: Column) -> Column:
     """``ngày ngày`` -> ``ngày`` and the same for month, year and hour words."""
-    pattern = rf"(?iu){EDGE}(ngày|tháng|năm|giờ){SPACE}+\1{EDGE}"
+    pattern = rf"(?iu){EDGE}({"|".join(fixed.VI_TIME_WORDS)}){SPACE}+\1{EDGE}"
     return squeeze(F.regexp_replace(text, pattern, "$1"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,23 @@ from segmentlab.operators.blocks import lookup
 from segmentlab.session import written
 
 
-def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(regions, active)``: the chosen regions and the frames each banded one is on.
+class RegionPlan(NamedTuple):
+    """The chosen regions, the frames each banded one is on, and these frames as windows ``t0, t1`` in seconds."""
+
+    regions: DataFrame
+    active: DataFrame
+    windows: DataFrame
+
+
+def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) -> RegionPlan:
+    """Regions, active frames and time windows of every video, from one run.
 
     Static boxes are always on. Text elsewhere becomes horizontal bands that are
     on only at their frames, and at no frame is more than the budget covered.
 
-    Four results are read by several later steps and are written to the shared
+    Runs Spark jobs: five results are read by several later steps and are written to the shared
     folder: the static boxes and the bands (few per video), the rows with text per
-    frame, and the frames of the bands. The detections are read three times in all.
+    frame, and the frames of the bands before and after the budget. The detections are read three times in all.
     ``videos`` is read by most steps and should be a stored table.
     """
     found = written(d.oversize_filter(d.static_boxes(detections, frames), videos), "static")
@@ -43,7 +53,7 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
     sized = bands.join(spread, ["video_id", "row_id"])
     weighed = lookup(on, sized.select(
         "video_id", "row_id", "spread", "n_frames", (F.col("w") * F.col("h")).alias("area")), ["video_id", "row_id"], "frame_idx")
-    allowed = d.instant_budget(weighed, statics, videos)
+    allowed = written(d.instant_budget(weighed, statics, videos).select("video_id", "row_id", "frame_idx"), "allowed")
     active = allowed.select("video_id", F.concat(F.lit("row_"), F.col("row_id").cast("string")).alias("region_id"), "frame_idx")
     left = allowed.groupBy("video_id", "row_id").agg(F.count("*").alias("left_frames"))
 
@@ -55,4 +65,5 @@ def region_plan(videos: DataFrame, frames: DataFrame, detections: DataFrame) ->
         "video_id", F.concat(F.lit("row_"), F.col("row_id").cast("string")).alias("region_id"), *shape,
         F.lit(False).alias("always"), "spread", F.col("left_frames").alias("n_frames"))
     regions = d.top_regions(always_on.unionByName(banded))
-    return regions, lookup(active, regions.select("video_id", "region_id"), ["video_id", "region_id"], "frame_idx", "left_semi")
+    active = lookup(active, regions.select("video_id", "region_id"), ["video_id", "region_id"], "frame_idx", "left_semi")
+    return RegionPlan(regions, active, d.time_windows(active, videos))

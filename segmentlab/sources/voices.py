@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PUBLIC = ["id", "name", "country", "flag", "lang", "gender"]
+from segmentlab.functions import fixed
+
 _TYPE = ("voices array<struct<id:string,name:string,country:string,flag:string,lang:string,"
          "gender:string,file:string,ref_text:string,source:string>>")
 
@@ -17,7 +18,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_voices(spark: SparkSession, path: str) -> DataFrame:
     """Public columns only."""
-    return read_catalogue(spark, path).select(*PUBLIC)
+    return read_catalogue(spark, path).select(*fixed.PUBLIC_VOICE_FIELDS)
 
 
 def usable_presets(catalogue: DataFrame, listing: DataFrame) -> DataFrame:
