@@ -86,6 +86,21 @@ def _(v):
     return v.spark.read.parquet(f"{out}/merged").drop("batch").unionByName(s.open_segments(v.spark, state, 2))
 
 
+# The same in two parts, where odd jobs end with the first one; their early lines come once more and are late.
+@query("segment_stream_late", with_views("lines") + """
+SELECT job_id, seq FROM lines WHERE job_id % 2 = 1 AND seq <= (SELECT max(seq) FROM lines) // 2""")
+def _(v):
+    inbox, out, state, checkpoint = (_folder(v, n) for n in ("inbox", "out", "state", "checkpoint"))
+    half = F.floor(v.lines.agg(F.max("seq")).first()[0] / F.lit(2))
+    odd = v.lines.filter("job_id % 2 = 1").filter(F.col("seq") <= half)
+    last = odd.groupBy("job_id").agg(F.max("seq").alias("last"))
+    for part in (odd.join(last, "job_id").withColumn("is_last", F.col("seq") == F.col("last")).drop("last"), odd.withColumn("is_last", F.lit(False))):
+        part.write.mode("append").parquet(inbox)
+        stream = v.spark.readStream.schema(part.schema).parquet(inbox)
+        s.segment_stream(stream, out, state, checkpoint).awaitTermination()
+    return v.spark.read.parquet(f"{out}/late").select("job_id", "seq")
+
+
 @query("edit_stream", EDITED + """
 SELECT s.job_id, s.id, CASE WHEN e.id IS NULL THEN s.translated_text ELSE e.translated_text END AS translated_text, e.id IS NOT NULL AS is_edited
 FROM segments s LEFT JOIN last_edits e ON e.job_id = s.job_id AND e.id = s.id""")

@@ -12,6 +12,7 @@ from segmentlab.functions import fixed
 from segmentlab.operators.ingest import has_media_extension
 
 HEADER_BYTES = 12
+STORE_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -20,34 +21,42 @@ def file_name(path: Column) -> Column:
 
 
 def scan_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Media files under ``folder``; the content column is never read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """Media files in ``folder`` itself, not in folders below; the content column is never read."""
+    listing = spark.read.format("binaryFile").load(folder)
     named = listing.select("path", file_name(F.col("path")).alias("filename"),
                            F.col("modificationTime").alias("modified_at"), "length")
     return named.filter(has_media_extension(F.col("filename")))
 
 
 def with_header(media: DataFrame) -> DataFrame:
-    """Adds ``head``, the first bytes of each file. Tasks open the files of their
+    """Adds ``head``, the first bytes of each file, or ``read_error``. Tasks open the files of their
     own rows and read a few bytes of each, however large it is."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import quote
 
         from pyarrow import fs
 
-        def first_bytes(path: str) -> bytes:
-            if path.startswith("file:"):
-                system, inner = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-            else:
-                system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-            with system.open_input_stream(inner) as stream:
-                return stream.read(HEADER_BYTES)
+        def first_bytes(path: str) -> tuple[bytes | None, str | None]:
+            # Spark's names of object stores that have another one here.
+            for theirs, ours in STORE_SCHEMES.items():
+                if path.startswith(theirs):
+                    path = ours + path[len(theirs):]
+            try:
+                if path.startswith("file:"):
+                    system, inner = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+                else:
+                    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                with system.open_input_stream(inner) as stream:
+                    return stream.read(HEADER_BYTES), None
+            except (OSError, ValueError) as problem:
+                return None, str(problem)
 
         for batch in batches:
-            yield batch.assign(head=[first_bytes(p) for p in batch["path"]])
+            heads, errors = zip(*map(first_bytes, batch["path"])) if len(batch) else ((), ())
+            yield batch.assign(head=list(heads), read_error=list(errors))
 
     slim = media.select("path", "filename", "length")
-    return slim.mapInPandas(read, "path string, filename string, length bigint, head binary")
+    return slim.mapInPandas(read, "path string, filename string, length bigint, head binary, read_error string")
 
 
 def validate_media(headers: DataFrame, max_bytes: int = fixed.MAX_MEDIA_BYTES) -> DataFrame:
@@ -58,8 +67,9 @@ def validate_media(headers: DataFrame, max_bytes: int = fixed.MAX_MEDIA_BYTES) -
     matroska = F.substring(head, 1, 4) == F.unhex(F.lit(fixed.EBML_MAGIC))
     avi = (F.substring(head, 1, 4) == F.lit(bytearray(b"RIFF"))) & (F.substring(head, 9, 4) == F.lit(bytearray(b"AVI ")))
     known = (F.length(head) >= HEADER_BYTES) & (mp4 | matroska | avi)
+    unread = F.col("read_error").isNotNull() if "read_error" in headers.columns else F.lit(False)
     reason = (
-        F.when(~has_media_extension(F.col("filename")), "unsupported extension")
+        F.when(~has_media_extension(F.col("filename")), "unsupported extension").when(unread, "not readable")
         .when(~F.coalesce(known, F.lit(False)), "not a known container")
         .when(F.col("length") > max_bytes, "too large")
     )

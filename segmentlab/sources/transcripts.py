@@ -125,7 +125,7 @@ def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS, jobs:
     """
     spark = segments.sparkSession
     fresh = segments.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
-    had = _exists(spark, path)
+    had = exists(spark, path)
     if had:
         touched = fresh.select("job_id", "job_bucket")
         if jobs is not None:
@@ -149,7 +149,7 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     system, place = _folder(spark, path)
     return system.exists(place)
 

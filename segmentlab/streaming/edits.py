@@ -7,19 +7,32 @@ read, so an edit costs its own size and not that of the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from segmentlab.operators.jobs import apply_edits, last_edits, rejected_edits
+from segmentlab.operators.jobs import apply_edits, last_edits
+from segmentlab.sources.transcripts import BUCKETS, job_bucket
 
 
 def edit_stream(edits: DataFrame, segments: DataFrame, log: str, checkpoint: str,
-                trigger: dict | None = None) -> StreamingQuery:
+                trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """``edits``: ``job_id, id, seq, translated_text``. Edits of lines their job does
-    not have go to ``log/rejected``, the last one per line of each batch to ``log/accepted``."""
+    not have go to ``log/rejected``, the last one per line of each batch to ``log/accepted``.
+
+    Every batch reads the segments once; of a table with ``job_bucket`` folders only those of the edited jobs.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        known = batch.join(segments.select("job_id", "id"), ["job_id", "id"], "left_semi")
-        last_edits(known).write.mode("overwrite").parquet(f"{log}/accepted/batch={batch_id}")
-        rejected_edits(segments, batch).write.mode("overwrite").parquet(f"{log}/rejected/batch={batch_id}")
+        lines = segments
+        if "job_bucket" in segments.columns:
+            touched = batch.select(job_bucket(F.col("job_id"), buckets).alias("job_bucket")).distinct()
+            lines = segments.join(touched, "job_bucket", "left_semi")
+        lines = lines.join(batch.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "id", F.lit(True).alias("_known"))
+        judged = batch.join(lines, ["job_id", "id"], "left").persist()
+        try:
+            last_edits(judged.filter("_known")).write.mode("overwrite").parquet(f"{log}/accepted/batch={batch_id}")
+            judged.filter("_known IS NULL").select(*batch.columns).write.mode("overwrite").parquet(f"{log}/rejected/batch={batch_id}")
+        finally:
+            judged.unpersist()
 
     return (
         edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -25,9 +25,6 @@ def job_state_stream(events: DataFrame, hours: int = 2, lateness: str = "10 minu
     later, a new session begins. Events more than ``lateness`` behind are dropped by
     the watermark and counted in the query's progress.
     """
-    spark = events.sparkSession
-    # Sessions of one job are merged inside each input partition before the shuffle.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = events.withWatermark("updated_at", lateness)
     sessions = timed.groupBy("job_id", F.session_window("updated_at", f"{hours} hours").alias("_w")).agg(
         F.max_by("status", F.struct("updated_at", "seq")).alias("_last"),

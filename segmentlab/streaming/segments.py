@@ -8,7 +8,6 @@ operator, so a job with most of the lines is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,13 +16,20 @@ from segmentlab.functions import fixed
 from segmentlab.operators import transcripts as t
 from segmentlab.operators.blocks import lookup
 from segmentlab.session import written
+from segmentlab.sources.transcripts import exists
 
 
 def _open_runs(spark: SparkSession, state: str, version: int, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(f"{state}/version={version}")
-    except AnalysisException:
+    """The runs open before this batch. Only the first batch has none; a version that is gone is an error."""
+    return spark.read.schema(like.schema).parquet(f"{state}/version={version}") if version >= 0 else like.limit(0)
+
+
+def _ended(spark: SparkSession, state: str, before: int, like: DataFrame) -> DataFrame:
+    """Jobs whose end was seen before this batch, with their last line."""
+    path = f"{state}/ended"
+    if before == 0 or not exists(spark, path):
         return like.limit(0)
+    return spark.read.parquet(path).filter(F.col("batch") < before).select(*like.columns)
 
 
 def merge_batch(lines: DataFrame, batch_id: int, out: str, state: str, max_gap: float = fixed.MAX_GAP) -> None:
@@ -32,6 +38,7 @@ def merge_batch(lines: DataFrame, batch_id: int, out: str, state: str, max_gap:
     fresh = t.open_pieces(lines, "is_last").withColumn("ends", F.coalesce("is_last", F.lit(False))).drop("is_last")
     held = _open_runs(spark, state, batch_id - 1, fresh.drop("ends"))
     seen = held.select("job_id", F.col("last_seq").alias("_seen"))
+    seen = seen.unionByName(_ended(spark, state, batch_id, seen)).groupBy("job_id").agg(F.max("_seen").alias("_seen"))
     placed = written(lookup(fresh, seen, ["job_id"], "seq", "left").withColumn(
         "_late", F.coalesce(F.col("seq") <= F.col("_seen"), F.lit(False))).drop("_seen"), "lines")
     on_time = placed.filter("NOT _late").drop("_late")
@@ -45,6 +52,8 @@ def merge_batch(lines: DataFrame, batch_id: int, out: str, state: str, max_gap:
     untouched = held.join(touched, "job_id", "left_anti")
     closed = runs.join(last, ["job_id", "seq"], "left_anti")
     t.close_pieces(closed).write.mode("overwrite").parquet(f"{out}/merged/batch={batch_id}")
+    ended = on_time.join(touched.filter("_ended"), "job_id", "left_semi").groupBy("job_id").agg(F.max("last_seq").alias("_seen"))
+    ended.write.mode("overwrite").parquet(f"{state}/ended/batch={batch_id}")
     placed.filter("_late").select("job_id", "seq").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
     still_open.unionByName(untouched).select(*held.columns).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
 
@@ -54,7 +63,7 @@ def segment_stream(lines: DataFrame, out: str, state: str, checkpoint: str, max_
     """Segments arriving in order per job -> merged segments under ``out/merged``.
 
     A run is written once a line breaks it or ``is_last`` ends the job. Lines at or
-    before the last one of their job's open run are late; they go to ``out/late``.
+    before the last one of their job's open run, or of a job that has ended, are late; they go to ``out/late``.
     """
     return (
         lines.writeStream.foreachBatch(lambda df, n: merge_batch(df, n, out, state, max_gap))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from segmentlab.operators.ingest import watch_eligible
 from segmentlab.sources.media import LISTING, scan_media
+from segmentlab.sources.transcripts import exists
 
 JOB_ROW = "job_id string, filename string, status string, created_at timestamp, updated_at timestamp"
 INTERVAL = "20 seconds"
@@ -16,10 +16,7 @@ INTERVAL = "20 seconds"
 
 def job_log(spark: SparkSession, path: str) -> DataFrame:
     """All job rows written so far; empty before the first."""
-    try:
-        return spark.read.schema(JOB_ROW).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], JOB_ROW)
+    return spark.read.schema(JOB_ROW).parquet(path) if exists(spark, path) else spark.createDataFrame([], JOB_ROW)
 
 
 def new_jobs(files: DataFrame, jobs: DataFrame, copies: DataFrame, now: Column, settle: float = 5.0) -> DataFrame:

@@ -20,12 +20,16 @@ def test_media(spark, tmp_path):
              "e.mp4": b"short", "f.mov": b"\xff\xd8\xff\xe0" + b"\0" * 20, "g.txt": b"\0\0\0\x20ftypisom", "ü+%.webm": b"\x1a\x45\xdf\xa3" + b"\0" * 20}
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.MKV").write_bytes(b"")
     listed = media.scan_media(spark, str(tmp_path))
     assert {r.filename for r in listed.collect()} == set(files) - {"g.txt"}
     assert "content" not in str(listed._jdf.queryExecution().executedPlan())
     checked = media.validate_media(media.with_header(listed))
     assert {r.filename: r.reject_reason for r in checked.collect()} == {
         "a b.mp4": None, "c.MKV": None, "d.avi": None, "e.mp4": "not a known container", "f.mov": "not a known container", "ü+%.webm": None}
+    gone = spark.createDataFrame([(f"file:{tmp_path}/gone.mp4", "gone.mp4", 10), ("nowhere://x/y.mp4", "y.mp4", 10)], "path string, filename string, length long")
+    assert {r.reject_reason for r in media.validate_media(media.with_header(gone)).collect()} == {"not readable"}
 
 
 def test_read_transcripts(spark, tmp_path):
