@@ -9,11 +9,11 @@ hash. Documents with equal shingle sets are one class. The order serves twice:
   in each fragment separately, by a join on class and fragment, and the counts are summed per
   pair. No task ever holds a whole set, however long the document.
 
-Hot shingles. A first pass counts prefix shingles; those in over ``HOT`` documents are marked in a
+Hot shingles. A first pass counts all shingles of all documents; those of over ``HOT`` documents are marked in a
 bitmap of fixed size and moved to the end of the order (a bit set by another shingle moves more of them, which
-changes no result). A bucket that stays large is a group of near copies: there, each
-class is only paired with a few classes of the bucket that come first by class number, the same in all
-buckets of a group. Once these links are known, classes of the bucket that are still in
+changes no result). So what is rare about a copy comes first, and copies that differ too much never meet. A
+bucket that stays large is a group of near copies: there, each class is only paired with the few in which the shingle comes
+first, the least changed ones. Once these links are known, classes of the bucket that are still in
 different components are paired in a second round, so that no link between components is lost.
 
 Absent texts and texts without words have empty sets and link with nothing. Rows that repeat are
@@ -36,20 +36,23 @@ from segmentlab.llm.shingles import mixed, shingles
 from segmentlab.session import written
 
 WORDS, PERCENT = 4, 85
-#: Documents of a prefix shingle beyond which it goes to the end of the order, and classes of a bucket that are paired freely.
-HOT = 48
-#: Classes of a larger bucket with which all its others are paired.
+#: Documents of a shingle beyond which it goes to the end of the order, and classes of a bucket that are all paired.
+HOT, FREE = 16, 16
+#: Classes of a larger bucket, those least changed, with which all its others are paired.
 PIVOTS = 4
-#: Bits of the bitmaps (2 MiB each), and fragments of the order.
-BITS, FRAGMENTS = 24, 4
+#: Bits of the bitmaps (8 MiB each), fragments of the order, and ranges in which shingles are counted.
+BITS, FRAGMENTS, RANGES = 26, 4, 1024
 
 
 def sets(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """Sorted distinct shingles of each text."""
-    hashes, first, _ = shingles(texts, size)
-    order = np.lexsort((hashes, np.repeat(np.arange(len(texts)), np.diff(first))))
-    hashes = hashes[order]
-    return [h[np.diff(h, prepend=~h[:1]) != 0] if len(h) else h for h in np.split(hashes, first[1:-1])]
+    """Sorted distinct shingles of each text; a few texts at a time, as hashing takes many times their bytes."""
+    found: list[np.ndarray] = []
+    for at in range(0, len(texts), 100):
+        part = texts[at:at + 100]
+        hashes, first, _ = shingles(part, size)
+        hashes = hashes[np.lexsort((hashes, np.repeat(np.arange(len(part)), np.diff(first))))]
+        found += [h[np.diff(h, prepend=~h[:1]) != 0] if len(h) else h for h in np.split(hashes, first[1:-1])]
+    return found
 
 
 def class_of(one: np.ndarray, salt: int) -> int:
@@ -80,18 +83,47 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype("uint64")) & np.uint64(1) != 0
 
 
-def _first_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(h, docs): prefix shingles in hash order, counted per batch of texts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """(h): the shingles of over ``HOT`` documents, of all shingles of all documents, by their first 32 bits.
+
+    A batch sends its hashes sorted, as differences in byte planes, of which the upper ones are nearly all zero: about
+    two bytes a shingle after the shuffle's own compression.
+    """
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                found = sets(batch.slice(at, 1000).column(0).to_pylist(), size)
-                parts = [s[:prefix_length(len(s), percent)] for s in found if len(s)]
-                if parts:
-                    h, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(n.astype("int32"))], ["h", "docs"])
+                found = [s for s in sets(batch.slice(at, 1000).column(0).to_pylist(), size) if len(s)]
+                if not found:
+                    continue
+                values = np.sort((np.concatenate(found) >> np.uint64(32)).astype("uint32"))
+                span = values // np.uint32(2**32 // RANGES)
+                first = np.flatnonzero(np.diff(span.astype("int64"), prepend=-1))
+                step = np.diff(values, prepend=np.uint32(0))
+                step[first] = values[first] - span[first] * np.uint32(2**32 // RANGES)
+                blobs = [part.view("uint8").reshape(-1, 4).T.tobytes() for part in np.split(step, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(span[first].astype("int32")), pa.array(blobs, pa.binary())], ["span", "blob"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "h long, docs int")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                values, n = np.unique(np.concatenate(held), return_counts=True)
+                hot = (values[n > HOT].astype("uint64") + np.uint64(span * (2**32 // RANGES))) << np.uint64(32)
+                if len(hot):
+                    yield pa.RecordBatch.from_arrays([pa.array(hot.view("int64"))], ["h"])
+
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s != span:
+                    yield from close()
+                    span, held = s, []
+                planes = np.frombuffer(blob.as_buffer(), "uint8").reshape(4, -1)
+                held.append(np.cumsum(np.ascontiguousarray(planes.T).view("uint32").ravel(), dtype="uint32"))
+        yield from close()
+
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "span int, blob binary")
+    return sent.repartition("span").sortWithinPartitions("span").mapInArrow(count, "h long")
 
 
 def _prefixes(docs: DataFrame, hot, salt: int, size: int, percent: int) -> DataFrame:
@@ -120,54 +152,62 @@ def _prefixes(docs: DataFrame, hot, salt: int, size: int, percent: int) -> DataF
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "h long, cid long, n int, at int")
 
 
-def possible(na, nb, at_a, at_b, percent: int):
-    """Whether sets of these sizes can be similar if their first common shingle is at these places."""
-    need = -(-(na + nb) * percent // (100 + percent))
-    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (np.minimum(na - at_a, nb - at_b) >= need)
+def long_enough(n, m, percent: int):
+    """Whether sets of these sizes can be similar at all."""
+    return np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
 
 
-def _meet(entries: DataFrame, percent: int) -> DataFrame:
-    """From prefixes: rows (x, y) for candidate pairs; rows (h, x, n, at) with y null for members of large buckets."""
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
-        held = None  # of the run that may go on: its first entries, and its size so far
-
-        def close(cid, n, at, rank):
-            """Pairs within small runs, by the distance of their places in the run."""
-            xs, ys = [], []
-            for d in range(1, int(rank.max(initial=0)) + 1):
-                i = np.flatnonzero(rank >= d)
-                j = i - d
-                ok = possible(n[i], n[j], at[i], at[j], percent)
-                xs.append(cid[j[ok]])
-                ys.append(cid[i[ok]])
-            return xs, ys
-
-        def rows(xs, ys, extra):
-            x, y = (np.concatenate(v) if v else np.zeros(0, "int64") for v in (xs, ys))
-            if len(x):
-                low, high = np.minimum(x, y), np.maximum(x, y)
-                one = np.unique(np.stack([low, high], 1), axis=0)
-                none = pa.nulls(len(one), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(one[:, 0]), pa.array(one[:, 1]), pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.int32())], schema=schema)
-            if len(extra[0]):
-                h, x, n, at = map(pa.array, extra)
-                yield pa.RecordBatch.from_arrays([h, x, pa.nulls(len(h), pa.int64()), n.cast(pa.int32()), at.cast(pa.int32())], schema=schema)
-
-        def handled(h, cid, n, at):
-            starts = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-            size = np.diff(np.append(starts, len(h)))
-            large = np.repeat(size > HOT, size)
-            rank = np.arange(len(h)) - np.repeat(starts, size)
-            xs, ys = close(*(v[~large] for v in (cid, n, at, rank)))
-            for a, z in zip(starts[size > HOT], size[size > HOT]):
-                for p in range(a, a + PIVOTS):
-                    r = np.arange(p + 1, a + z)
-                    r = r[possible(n[r], n[p], at[r], at[p], percent)]
-                    xs.append(np.full(len(r), cid[p]))
-                    ys.append(cid[r])
-            yield from rows(xs, ys, tuple(v[large] for v in (h, cid, n, at)))
+def early_enough(n, m, at_n, at_m, percent: int):
+    """Whether they can be if their first common shingle is at these places; true of a similar pair at its first one."""
+    return np.minimum(n - at_n, m - at_m) >= -(-(n + m) * percent // (100 + percent))
+
+
+MET = "h long, x long, y long, n int, m int, at int, times int, large boolean"
 
+
+def _meet(entries: DataFrame, percent: int) -> DataFrame:
+    """From prefixes, per run of one shingle: pairs x < y of sizes n and m with their number of meetings, and the members
+    (h, x, n, at; y null) of large buckets."""
+    def rows(h, x, y, n, m, at, times, large) -> Iterator[pa.RecordBatch]:
+        if len(x):
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.bool_()]
+            columns = [pa.nulls(len(x), k) if v is None else pa.array(v).cast(k) for v, k in zip((h, x, y, n, m, at, times), kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(x), large))], ["h", "x", "y", "n", "m", "at", "times", "large"])
+
+    def paired(parts: list, large: bool) -> Iterator[pa.RecordBatch]:
+        """One row per pair of places (cid, n, cid, n), with how often it was met."""
+        if not parts:
+            return
+        x, n, y, m = (np.concatenate(v) for v in zip(*parts))
+        turn = x > y
+        x, n, y, m = np.where(turn, y, x), np.where(turn, m, n), np.where(turn, x, y), np.where(turn, n, m)
+        order = np.lexsort((y, x))
+        x, n, y, m = x[order], n[order], y[order], m[order]
+        first = np.flatnonzero((np.diff(x, prepend=~x[:1]) != 0) | (np.diff(y, prepend=~y[:1]) != 0))
+        yield from rows(None, x[first], y[first], n[first], m[first], None, np.diff(np.append(first, len(x))), large)
+
+    def handled(h, cid, n, at) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+        size = np.diff(np.append(starts, len(h)))
+        large = np.repeat(size > FREE, size)
+        c, k, rank = cid[~large], n[~large], (np.arange(len(h)) - np.repeat(starts, size))[~large]
+        parts = []
+        for d in range(1, int(rank.max(initial=0)) + 1):
+            i = np.flatnonzero(rank >= d)
+            i = i[long_enough(k[i], k[i - d], percent)]
+            parts.append((c[i - d], k[i - d], c[i], k[i]))
+        yield from paired(parts, False)
+        parts = []
+        for a, z in zip(starts[size > FREE], size[size > FREE]):
+            for p in range(a, a + PIVOTS):
+                r = np.arange(p + 1, a + z)
+                r = r[long_enough(n[r], n[p], percent) & early_enough(n[r], n[p], at[r], at[p], percent)]
+                parts.append((np.full(len(r), cid[p]), np.full(len(r), n[p]), cid[r], n[r]))
+        yield from paired(parts, True)
+        yield from rows(h[large], cid[large], None, n[large], None, at[large], None, True)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # of the run that may go on
         for batch in batches:
             h, cid, n, at = (batch.column(i).to_numpy(zero_copy_only=False).astype("int64") for i in range(4))
             if held is not None:
@@ -180,7 +220,7 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
             if cut == 0 and len(h) > 50_000:
                 # One run alone fills the batches: its first entries stay as partners for those to come.
                 yield from handled(h, cid, n, at)
-                held = tuple(v[:HOT + 1] for v in (h, cid, n, at))
+                held = tuple(v[:FREE + 1] for v in (h, cid, n, at))
                 continue
             if cut:
                 yield from handled(h[:cut], cid[:cut], n[:cut], at[:cut])
@@ -188,24 +228,54 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from handled(*held)
 
-    ordered = entries.repartition("h").sortWithinPartitions("h", "cid")
-    return ordered.mapInArrow(pairs, "h long, x long, y long, n int, at int")
+    return entries.repartition("h").sortWithinPartitions("h", "at", "cid").mapInArrow(meet, MET)
+
+
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that their meetings leave possible.
+
+    Beyond the shorter prefix, two sets share no more than what one of them has left; so too few
+    meetings rule a pair out. Meetings in large buckets are not all known: as many as both have there count as met.
+    Pairs from pivots are all taken.
+    """
+    in_large = met.where("y IS NULL").groupBy("x").agg(F.count("*").alias("hidden"))
+    pairs = met.where("y IS NOT NULL").groupBy("x", "y", "n", "m").agg(
+        F.sum(F.when(~F.col("large"), F.col("times")).otherwise(0)).alias("times"), F.max("large").alias("large"))
+    known = pairs.join(in_large, "x", "left").join(in_large.select(F.col("x").alias("y"), F.col("hidden").alias("other")), "y", "left")
+    met_ = F.col("times") + F.least(F.coalesce("hidden", F.lit(0)), F.coalesce("other", F.lit(0)))
+    left = F.ceil(F.greatest("n", "m") * percent / 100) - 1
+    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    return known.where(F.col("large") | (met_ + left >= need)).select("x", "y")
+
+
+def _sign(cid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """One number for a class and the document that stands for it."""
+    return mixed(cid.view("uint64") ^ mixed(doc_id.view("uint64")))
+
+
+def _signs(classes: DataFrame) -> DataFrame:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid, doc_id = (batch.column(i).to_numpy(zero_copy_only=False).astype("int64") for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_sign(cid, doc_id).view("int64"))], ["h"])
+
+    return classes.select("cid", F.coalesce("least", F.lit(0)).alias("least")).mapInArrow(sign, "h long")
 
 
 def _segments(docs: DataFrame, wanted, salt: int, size: int) -> DataFrame:
-    """(cid, f, n, part): the sets of the wanted classes, cut into fragments of the order."""
+    """(cid, f, n, part): the sets of the wanted classes, cut into fragments of the order; seldom a class twice."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bits, cuts = wanted.value, np.array([2**64 * k // FRAGMENTS for k in range(1, FRAGMENTS)], "uint64")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                found = [(class_of(s, salt), s) for s in sets(batch.slice(at, 1000).column(0).to_pylist(), size) if len(s)]
-                if not found:
-                    continue
-                cids = np.array([c for c, _ in found], "int64")
+                rows = batch.slice(at, 1000)
+                found = sets(rows.column(1).to_pylist(), size)
+                cids = np.array([class_of(s, salt) for s in found], "int64")
+                ids = rows.column(0).to_numpy(zero_copy_only=False).astype("int64")
                 cid, f, n, parts = [], [], [], []
-                for i in np.flatnonzero(marked(bits, mixed(cids.view("uint64")))):
-                    c, one = found[i]
+                for i in np.flatnonzero(marked(bits, _sign(cids, ids))):
+                    c, one = int(cids[i]), found[i]
                     if c in seen:
                         continue
                     seen.add(c)
@@ -220,35 +290,29 @@ def _segments(docs: DataFrame, wanted, salt: int, size: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int32()), lists], ["cid", "f", "n", "part"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "cid long, f int, n int, part array<long>")
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(emit, "cid long, f int, n int, part array<long>")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(x, y, nx, ny, both): overlaps counted per fragment and summed per pair."""
     first = pairs.join(segments.select(F.col("cid").alias("y"), "f", F.col("n").alias("ny"), F.col("part").alias("b")), "y")
     each = first.join(segments.select(F.col("cid").alias("x"), "f", F.col("n").alias("nx"), F.col("part").alias("a")), ["x", "f"])
-    return each.groupBy("x", "y", "nx", "ny").agg(F.sum(F.size(F.array_intersect("a", "b"))).cast("long").alias("both"))
+    # A class that two tasks have cut has equal segments, which count once.
+    part = each.groupBy("x", "y", "nx", "ny", "f").agg(F.max(F.size(F.array_intersect("a", "b"))).cast("long").alias("both"))
+    return part.groupBy("x", "y", "nx", "ny").agg(F.sum("both").alias("both"))
 
 
-def links_among(docs: DataFrame, pairs: DataFrame, salt: int, size: int, percent: int) -> DataFrame:
+def links_among(docs: DataFrame, pairs: DataFrame, per_class: DataFrame, salt: int, size: int, percent: int) -> DataFrame:
     """The candidate ``pairs`` (x, y) that are similar enough, written."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(_mixed_column(ends)))
+    ends = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(_signs(per_class.join(ends, "cid", "left_semi"))))
     segments = written(_segments(docs, wanted, salt, size), "segments")
     found = overlaps(pairs, segments)
     union = F.col("nx") + F.col("ny") - F.col("both")
     return written(found.where(F.col("both") * 100 >= union * percent).select("x", "y"), "similar")
 
 
-def _mixed_column(ends: DataFrame) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(c.view("uint64")).view("int64"))], ["h"])
-    return ends.mapInArrow(spread, "h long")
-
-
 def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in one large bucket that are in different components."""
     placed = members.join(roots, members["x"] == roots["node"], "left").select("h", "x", "n", "at", F.coalesce("root", "x").alias("root"))
@@ -267,8 +331,7 @@ def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest doc_id)."""
     spark, salt = docs.sparkSession, 0
-    counted = _first_of_each(docs, size, percent).groupBy("h").agg(F.sum("docs").alias("docs")).where(F.col("docs") > HOT)
-    hot = spark.sparkContext.broadcast(bitmap(counted))
+    hot = spark.sparkContext.broadcast(bitmap(_hot_shingles(docs, size)))
 
     def classes(salt: int) -> DataFrame:
         return written(per_text(docs, "n_shingles long, cid long, full binary", lambda: lambda texts: list(zip(*(
@@ -279,16 +342,16 @@ def ngram_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Da
     while not members.groupBy("cid").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a <> b").isEmpty():
         salt += 1
         members = classes(salt)
+    per_class = written(members.groupBy("cid").agg(F.min("doc_id").alias("least")), "per-class")
     met = written(_meet(_prefixes(docs, hot, salt, size, percent), percent), "met")
-    pairs = written(met.where("y IS NOT NULL").select("x", "y").distinct(), "pairs")
-    similar = links_among(docs, pairs, salt, size, percent)
+    pairs = written(candidates(met, percent), "pairs")
+    similar = links_among(docs, pairs, per_class, salt, size, percent)
     roots = components(similar)
     large = met.where("y IS NULL").select("h", "x", "n", "at")
     if not large.isEmpty():
         more = written(_left_over(large, roots, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
         if not more.isEmpty():
-            roots = components(similar.unionByName(links_among(docs, more, salt, size, percent)))
-    per_class = members.groupBy("cid").agg(F.min("doc_id").alias("least"))
+            roots = components(similar.unionByName(links_among(docs, more, per_class, salt, size, percent)))
     per_class = per_class.join(roots, per_class["cid"] == roots["node"], "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     per_root = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = per_class.join(per_root, "root").select("cid", "component_id")
