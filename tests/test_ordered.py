@@ -175,7 +175,9 @@ def test_a_job_with_a_third_of_the_lines_is_spread(spark, monkeypatch, limit):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:
-        for df in (t.merge_segments(lines), t.chunk_segments(lines), blocks.lookup(lines, tracks, ["job_id"], "seq")):
+        by_job = lines.repartition("job_id")
+        for df in (t.merge_segments(lines), t.chunk_segments(lines), blocks.lookup(lines, tracks, ["job_id"], "seq"),
+                   t.merge_segments(by_job), t.chunk_segments(by_job)):
             sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
             assert sum(sizes) == 6000 and max(sizes) < 6000 / 5
     finally:
