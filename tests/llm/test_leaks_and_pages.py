@@ -77,7 +77,7 @@ def page(body, article="<article><h1>Head &amp; line</h1><p>First  para<br>more\
 
 EXTRAS = ["<aside>side</aside>", "<div class='sidebar'><p>side</p></div>", "<div id='cookie-notice'>We use cookies</div>", "<form>Name <input></form>",
           "<section class=comments><article class='comment'><p>Nice!</p></article></section>", "<div class=\"ad\">Buy</div>", "<!-- hidden > note -->",
-          "<noscript>No</noscript>", "<header>Site</header>", "<div hidden>gone</div>"]
+          "<noscript>No</noscript>", "<header>Site</header>", "<div hidden>gone</div>", "<div class='readerComments'>So true</div>", "<ul id=sideBar><li>x</ul>", "<p class='site-notice'>Closed</p>"]
 WANT = "Head & line\nFirst para more text\nSecond bold one"
 
 
