@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,39 @@ def per_text(docs: DataFrame, columns: str, maker: Callable[[], Callable[[list[s
     wanted = to_arrow_schema(_parse_datatype_string(schema))
     names, types = wanted.names, list(wanted.types)[1:]
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+
+
+#: Words of 64 bits in one row of a bitmap on its way to the driver.
+_WORDS = 4096
+
+
+def bitmap(found: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits with those set that the first ``bits`` bits of the column ``h`` name.
+
+    It comes to the driver as blocks of 32 KiB, so its size is fixed whatever the input.
+    """
+    bit = f"shiftrightunsigned(h, {64 - bits})"
+    words = found.groupBy(F.expr(f"cast(shiftright({bit}, 6) as int)").alias("w")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({bit} & 63 as int)))").alias("b"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            w, b = (batch.column(i).to_numpy(zero_copy_only=False).astype("int64") for i in (0, 1))
+            for k in np.unique(w // _WORDS).tolist():
+                own = w // _WORDS == k
+                blocks.setdefault(k, np.zeros(_WORDS, "int64"))[w[own] % _WORDS] = b[own]
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([*blocks], pa.int32()), pa.array([v.tobytes() for v in blocks.values()], pa.binary())], ["k", "block"])
+
+    packed = words.repartition(F.expr(f"w div {_WORDS}")).mapInArrow(pack, "k int, block binary")
+    out = np.zeros(max(1 << (bits - 6), _WORDS), "int64")
+    for row in packed.collect():
+        out[row.k * _WORDS:(row.k + 1) * _WORDS] = np.frombuffer(row.block, "int64")
+    return out.view("uint64")
+
+
+def marked(words: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the hashes have their bit set."""
+    at = (hashes >> np.uint64(64 - bits)).astype("int64")
+    return (words[at >> 6] >> (at & 63).astype("uint64")) & np.uint64(1) != 0

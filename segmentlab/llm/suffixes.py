@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segmentlab.llm.common import bitmap, marked
 from segmentlab.llm.shingles import _BYTE, _power_tables, mixed
 from segmentlab.session import written
 
@@ -76,9 +77,10 @@ class Stretch:
         # A seed's places: those where it is the least of some whole window.
         most = np.where(whole, seeds, 0)
         most = _sliding(np.concatenate((np.zeros(width - 1, "uint64"), most, np.zeros(width - 1, "uint64"))), width, np.maximum)
-        self.marks = hashes[(most == hashes) & (most > 0)]
+        # Least hashes are small numbers; mixed again, they fill the bitmap and the partitions evenly.
+        self.marks = mixed(hashes[(most == hashes) & (most > 0)] + np.uint64(1))
         self.at = np.flatnonzero(whole)
-        self.seeds = seeds[self.at]
+        self.seeds = mixed(seeds[self.at] + np.uint64(1))
 
     def pieces(self, wanted) -> Iterator[tuple[int, int, int, int, int]]:
         """(seed, text, offset in the text, place in the bytes, windows) of the pieces with a wanted seed."""
@@ -113,21 +115,6 @@ def stretches(rows: list[tuple[int, bytes]]) -> Iterator[Stretch]:
         yield Stretch(parts)
 
 
-def _marked(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    at = (seeds >> np.uint64(64 - BITS)).astype("int64")
-    return (bits[at >> 6] >> (at & 63).astype("uint64")) & np.uint64(1) != 0
-
-
-def _bitmap(found: DataFrame) -> np.ndarray:
-    """Bits set for the column ``h``; at most 2**BITS / 64 rows reach the driver, whatever the input."""
-    bit = f"shiftrightunsigned(h, {64 - BITS})"
-    got = found.groupBy(F.expr(f"cast(shiftright({bit}, 6) as int)").alias("w")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast({bit} & 63 as int)))").alias("b")).toPandas()
-    bits = np.zeros(1 << (BITS - 6), "int64")
-    bits[got["w"].to_numpy("int64")] = got["b"].to_numpy("int64")
-    return bits.view("uint64")
-
-
 def _count_seeds(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +140,7 @@ def _pieces(texts: DataFrame, wanted) -> DataFrame:
             for s in stretches(rows):
                 best: dict[bytes, tuple] = {}
                 out: list[tuple] = []
-                for v, part, offset, at, r in s.pieces(lambda seeds: _marked(bits, seeds)):
+                for v, part, offset, at, r in s.pieces(lambda seeds: marked(bits, seeds, BITS)):
                     i, shift, _ = s.parts[part]
                     row = (v, ids[i], hashes[i], shift + offset, r)
                     piece = s.data[at:at + r + SIZE - 1]
@@ -179,75 +166,74 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """String, offset and common prefix with the one before, of all suffixes of a collection in their order.
 
     Round by round one symbol of every string is put in front of its last suffix. ``bwt`` holds the symbol before each suffix
-    (0: the whole string is in), in suffix order; only the new suffixes and those after them change their common prefix. Symbols are bytes plus one.
-    Equal suffixes of different strings follow the order of the strings, but may interleave by length of what is compared;
-    every common prefix is exact.
+    (0: the whole string is in), in suffix order; only the new suffixes and those after them change their common prefix.
+    Symbols are bytes plus one (UTF-8 has no bytes over 0xF4). Every common prefix is exact. Which suffix belongs to which
+    string is read off at the end, by going through the finished transform once.
     """
     m = len(strings)
     length = np.array([len(s) for s in strings])
-    data = np.append(np.frombuffer(b"".join(strings), "uint8").astype("uint16") + 1, np.uint16(0))
+    data = np.append(np.frombuffer(b"".join(strings), "uint8") + np.uint8(1), np.uint8(0))
     stop = np.cumsum(length)
     # The empty suffixes of all strings, in the order of the strings.
-    bwt = np.where(length > 0, data[np.maximum(stop - 1, 0)], 0).astype("uint16")
-    lcp = np.zeros(m, "int32")
-    who = np.arange(m)
-    size = np.zeros(m, "int32")
-    place = np.arange(m)  # of the last suffix of each active string
+    bwt = np.where(length > 0, data[np.maximum(stop - 1, 0)], 0).astype("uint8")
+    lcp = np.zeros(m, "int16" if length.max(initial=0) < 2**15 else "int32")
     active = np.flatnonzero(length > 0)
-    place = place[active]
+    place = active.copy()  # of the last suffix of each active string
     step = 0
     while len(active):
         step += 1
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1):]  # suffixes with a symbol before them
-        rank = np.empty(len(bwt), "int64")
-        rank[order] = np.arange(len(order))
+        # The suffixes of the next list that are not empty are those of this one with their symbol in front.
+        order = np.argsort(bwt, kind="stable").astype("int32")[np.count_nonzero(bwt == 0):]
+        rank = np.empty(len(bwt), "int32")
+        rank[order] = np.arange(len(order), dtype="int32")
         r = rank[place]
-        symbol = bwt[place]
-        # All suffixes of the next list that are not empty are those of this one with their symbol in front: r is a place there.
-        def shared(low, high):
-            """One more than the least common prefix over (low, high] for pairs of places; 0 where the symbols differ."""
-            same = (low >= 0) & (high >= 0)
-            same[same] = bwt[low[same]] == bwt[high[same]]
-            out = np.zeros(len(low), "int32")
-            if same.any():
-                a, b = low[same] + 1, high[same] + 1
-                cuts = np.stack([a, np.minimum(b, len(lcp) - 1)], 1).ravel()
-                least = np.minimum.reduceat(lcp, cuts)[::2]
-                # A range that reaches the end of the list lacks its last place.
-                tail = b >= len(lcp)
-                least = np.where(tail, np.minimum(np.where(a < len(lcp) - 1, least, lcp[-1]), lcp[-1]), least)
-                out[same] = least + 1
-            return out
-
+        turn = np.argsort(r, kind="stable")
+        r, place, active = r[turn], place[turn], active[turn]
         before = np.where(r > 0, order[np.maximum(r - 1, 0)], -1)
         after = np.where(r + 1 < len(order), order[np.minimum(r + 1, len(order) - 1)], -1)
-        own, next_ = shared(before, place), shared(place, after)
+        own, following = _shared(bwt, lcp, before, place), _shared(bwt, lcp, place, after)
         # Places in the next list, behind the m empty suffixes.
-        target = np.argsort(r, kind="stable")
-        r, own, next_, who_new, active = r[target], own[target], next_[target], active[target], active[target]
         spot = m + r
         total = len(bwt) + len(r)
         old = np.ones(total, bool)
         old[spot] = False
-        grown = [np.empty(total, a.dtype) for a in (bwt, lcp, who, size)]
-        following = stop[active] - step - 1
-        fresh = np.where(length[active] > step, data[np.maximum(following, 0)], 0)
-        for new, have, add in zip(grown, (bwt, lcp, who, size), (fresh, own, who_new, np.full(len(r), step))):
-            new[old] = have
-            new[spot] = add
-        bwt, lcp, who, size = grown
-        succ = spot + 1
-        inside = (succ < total)
+        grown_bwt, grown_lcp = np.empty(total, bwt.dtype), np.empty(total, lcp.dtype)
+        grown_bwt[old], grown_lcp[old] = bwt, lcp
+        grown_bwt[spot] = np.where(length[active] > step, data[np.maximum(stop[active] - step - 1, 0)], 0)
+        grown_lcp[spot] = own
+        bwt, lcp = grown_bwt, grown_lcp
         # The suffix after a new one has a new neighbour; where that is new too, it has its own value already.
-        fix = inside.copy()
-        fix[inside] = old[succ[inside]]
-        lcp[succ[fix]] = next_[fix]
+        fix = spot + 1 < total
+        fix[fix] = old[spot[fix] + 1]
+        lcp[spot[fix] + 1] = following[fix]
         go_on = length[active] > step
         active, place = active[go_on], spot[go_on]
+    who, size = np.empty(len(bwt), "int32"), np.empty(len(bwt), "int32")
+    order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0):]
+    rank = np.empty(len(bwt), "int64")
+    rank[order] = np.arange(len(order))
+    place, owner = np.arange(m), np.arange(m)
+    for n in range(int(length.max(initial=0)) + 1):
+        who[place], size[place] = owner, n
+        more = length[owner] > n
+        place, owner = m + rank[place[more]], owner[more]
     return who, length[who] - size, lcp
 
 
+def _shared(bwt: np.ndarray, lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One more than the least common prefix over (low, high] for pairs of places; 0 where their symbols differ."""
+    out = np.zeros(len(low), lcp.dtype)
+    same = np.flatnonzero((low >= 0) & (high >= 0) & (bwt[low] == bwt[high]))
+    if len(same):
+        a, b = low[same] + 1, high[same] + 1
+        cuts = np.stack([a, np.minimum(b, len(lcp) - 1)], 1).ravel()
+        least = np.minimum.reduceat(lcp, cuts)[::2]
+        # A range that reaches the end of the list lacks its last place.
+        least = np.where(b >= len(lcp), np.minimum(np.where(a < len(lcp) - 1, least, lcp[-1]), lcp[-1]), least)
+        out[same] = least + 1
+    return out
+
+
 def repeated_windows(rows: list[tuple]) -> list[tuple]:
     """Windows to remove, as (doc_id, h, start, r), among different pieces (piece, doc_id, h, start, r)."""
     rows = sorted(rows, key=lambda x: _order(*x[1:4]))
@@ -338,7 +324,7 @@ def _sorted_out(pieces: DataFrame) -> DataFrame:
 def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc_id, h, start, r): r windows in a row that also start earlier, from (doc_id, h, data)."""
     seeds = _count_seeds(texts).where("n > 1")
-    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(seeds, BITS))
     found = written(_sorted_out(_pieces(texts, wanted)), "repeats")
     plain = found.where("window IS NULL").drop("window")
     crowded = found.where("window IS NOT NULL")
