@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentlab.llm.common import per_text
-from segmentlab.llm.jaccard import bitmap, marked
+from segmentlab.llm.common import bitmap, marked, per_text
 from segmentlab.llm.shingles import shingles, window_hashes, words
 from segmentlab.session import written
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
 LEAST, COVERED = 5, 0.5
+#: Bits of the bitmap of seeds (8 MiB).
+BITS = 26
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 2**64))
@@ -117,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: fl
     seeds = seeded.select("key", "item_words", F.explode("seeds").alias("h"))
     seeds = seeds.groupBy("key", "item_words", "h").agg(F.count("*").alias("times"))
     sizes = sorted({min(least, r[0]) for r in seeded.where("item_words > 0").select(F.least("item_words", F.lit(least))).distinct().collect()})
-    wanted = spark.sparkContext.broadcast(bitmap(seeds.select("h")))
+    wanted = spark.sparkContext.broadcast(bitmap(seeds.select("h"), BITS))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -128,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: fl
                 hits: list[set[int]] = [set() for _ in texts]
                 for size in sizes:
                     h, first = _windows(texts, size, least)
-                    on = np.flatnonzero(marked(bits, h))
+                    on = np.flatnonzero(marked(bits, h, BITS))
                     for i, x in zip((np.searchsorted(first, on, "right") - 1).tolist(), h[on].view("int64").tolist()):
                         hits[i].add(x)
                 keep = [i for i, x in enumerate(hits) if x]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentlab.llm.common import per_text
+from segmentlab.llm.common import bitmap, marked, per_text
 from segmentlab.llm.components import components
 from segmentlab.llm.shingles import mixed, shingles
 from segmentlab.session import written
@@ -63,26 +63,6 @@ def prefix_length(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype("int64")
-
-
-def bitmap(found: DataFrame) -> np.ndarray:
-    """Bits set for the column ``h``; at most 2**BITS / 64 rows reach the driver, whatever the input."""
-    bit = F.shiftrightunsigned("h", 64 - BITS)
-    rows = found.groupBy(F.shiftright(bit, 6).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("b"))
-    words = np.zeros(1 << (BITS - 6), "int64")
-    got = rows.toPandas()
-    words[got["w"].to_numpy("int64")] = got["b"].to_numpy("int64")
-    return words.view("uint64")
-
-
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bit(hashes)
-    return (bits[at >> 6] >> (at & 63).astype("uint64")) & np.uint64(1) != 0
-
-
 def _hot_shingles(docs: DataFrame, size: int) -> DataFrame:
     """(h): the shingles of over ``HOT`` documents, of all shingles of all documents, by their first 32 bits.
 
@@ -138,7 +118,7 @@ def _prefixes(docs: DataFrame, hot, salt: int, size: int, percent: int) -> DataF
                     if not len(one) or (c := class_of(one, salt)) in seen:
                         continue
                     seen.add(c)
-                    last = marked(bits, one)
+                    last = marked(bits, one, BITS)
                     first = np.concatenate((one[~last], one[last]))[:prefix_length(len(one), percent)] if last.any() else one[:prefix_length(len(one), percent)]
                     h.append(first)
                     cid.append(np.full(len(first), c))
@@ -274,7 +254,7 @@ def _segments(docs: DataFrame, wanted, salt: int, size: int) -> DataFrame:
                 cids = np.array([class_of(s, salt) for s in found], "int64")
                 ids = rows.column(0).to_numpy(zero_copy_only=False).astype("int64")
                 cid, f, n, parts = [], [], [], []
-                for i in np.flatnonzero(marked(bits, _sign(cids, ids))):
+                for i in np.flatnonzero(marked(bits, _sign(cids, ids), BITS)):
                     c, one = int(cids[i]), found[i]
                     if c in seen:
                         continue
@@ -306,7 +286,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def links_among(docs: DataFrame, pairs: DataFrame, per_class: DataFrame, salt: int, size: int, percent: int) -> DataFrame:
     """The candidate ``pairs`` (x, y) that are similar enough, written."""
     ends = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(_signs(per_class.join(ends, "cid", "left_semi"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(_signs(per_class.join(ends, "cid", "left_semi")), BITS))
     segments = written(_segments(docs, wanted, salt, size), "segments")
     found = overlaps(pairs, segments)
     union = F.col("nx") + F.col("ny") - F.col("both")
@@ -331,7 +311,7 @@ def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest doc_id)."""
     spark, salt = docs.sparkSession, 0
-    hot = spark.sparkContext.broadcast(bitmap(_hot_shingles(docs, size)))
+    hot = spark.sparkContext.broadcast(bitmap(_hot_shingles(docs, size), BITS))
 
     def classes(salt: int) -> DataFrame:
         return written(per_text(docs, "n_shingles long, cid long, full binary", lambda: lambda texts: list(zip(*(
