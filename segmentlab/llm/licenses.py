@@ -2,7 +2,8 @@
 
 The rules are regular expressions in order of priority: identifiers, full grant texts, named
 licenses with versions, and loose mentions. Each rule is gated by keywords that must all
-occur in the text before its expression runs. Of overlapping detections, one that lies inside
+occur in the text before its expression runs; they are single words that no match can lack, so the
+gates change no result. Of overlapping detections, one that lies inside
 a detection of a rule with higher priority (or of the same rule set, but longer) is suppressed.
 
 Base: places where the words of a plain phrase stand consecutively, counted over words of
@@ -73,16 +74,17 @@ FAMILIES = (
     ("qpl", ("q public",), ("qpl",), ("1.0",)),
 )
 
-#: Wordings of grants and notices, with the label they show and the keywords that gate them.
+#: Wordings of grants and notices, with the label they show and the keywords that gate them:
+#: single words (a blank in the wording is any white space) that every match holds.
 GRANTS = (
-    ("mit", ("permission is hereby granted",), r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("mit", ("without restriction",), r"deal in the software without restriction"),
-    ("isc", ("permission to use",), r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose with or without fee"),
-    ("bsd", ("redistribution and use",), r"redistribution and use in source and binary forms,? with or without modification"),
-    ("bsd", ("neither the name",), r"neither the names? of .{1,80}? may be used to endorse or promote"),
-    ("gpl", ("free software", "redistribute"), r"free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("lgpl", ("free software", "lesser"), r"redistribute it and/or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", ("free software", "affero"), r"redistribute it and/or modify it under the terms of the gnu affero general public license"),
+    ("mit", ("permission", "hereby", "granted"), r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
+    ("mit", ("deal", "restriction"), r"deal in the software without restriction"),
+    ("isc", ("permission", "distribute"), r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose with or without fee"),
+    ("bsd", ("redistribution", "binary"), r"redistribution and use in source and binary forms,? with or without modification"),
+    ("bsd", ("neither", "endorse"), r"neither the names? of .{1,80}? may be used to endorse or promote"),
+    ("gpl", ("software", "redistribute", "gnu"), r"free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("lgpl", ("redistribute", "lesser"), r"redistribute it and/or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", ("redistribute", "affero"), r"redistribute it and/or modify it under the terms of the gnu affero general public license"),
     ("apache", ("apache", "license"), r"licensed under the apache license,? version 2\.0"),
     ("apache", ("apache.org",), r"https?://www\.apache\.org/licenses/license-2\.0"),
     ("mpl", ("mozilla.org",), r"https?://(?:www\.)?mozilla\.org/(?:en-us/)?mpl"),
@@ -97,18 +99,13 @@ GRANTS = (
     ("cc0", ("creativecommons.org",), r"creativecommons\.org/publicdomain/zero/[0-9.]+"),
     ("boost", ("boost.org",), r"boost\.org/license_1_0"),
     ("unlicense", ("unencumbered",), r"free and unencumbered software released into the public domain"),
-    ("public-domain", ("public domain",), r"(?:released|placed|dedicated|put|is) (?:in|into|to) the public domain"),
-    ("zlib", ("as-is", "express or implied"), r"this software is provided ['‘\"]as-is['’\"], without any express or implied warranty"),
-    ("wtfpl", ("do what the fuck",), r"do what the fuck you want to"),
-    ("proprietary", ("all rights reserved",), r"all rights reserved"),
+    ("public-domain", ("public", "domain"), r"(?:released|placed|dedicated|put|is) (?:in|into|to) the public domain"),
+    ("zlib", ("as-is", "implied"), r"this software is provided ['‘\"]as-is['’\"], without any express or implied warranty"),
+    ("wtfpl", ("fuck",), r"do what the fuck you want to"),
+    ("proprietary", ("rights", "reserved"), r"all rights reserved"),
     ("proprietary", ("confidential",), r"proprietary and confidential"),
     ("copyright", ("copyright",), r"copyright (?:\(c\)|©)? ?[12][0-9]{3}"),
 )
-#: Words of which one is in every text that any rule can match.
-GATES = (b"licen", b"copyright", b"spdx", b"public domain", b"permission", b"redistribut", b"creativecommons", b"gnu.org",
-         b"mozilla.org", b"boost.org", b"rights reserved", b"confidential", b"neither the name", b"unencumbered",
-         b"without restriction", b"express or implied", b"do what the")
-
 
 class Rule(NamedTuple):
     priority: int
@@ -130,23 +127,23 @@ def rules() -> tuple[Rule, ...]:
             words = re.escape(name).replace(r"\ ", r"\s+")
             for version in versions:
                 number = re.escape(version)
-                found.append((2, label, (name.split()[-1], version), rf"(?<!\w){words}(?:{gap}licen[cs]e)?{gap}(?:version\s+|v\.?\s*)?{number}(?![\w]|\.[0-9])", 0.9))
-            found.append((3, label, (name.split()[-1], "licen"), rf"(?<!\w){words}\s+licen[cs]e(?!\w)", 0.8))
-            found.append((3, label, (name.split()[-1], "licen"), rf"licen[cs]ed?\s+(?:is\s+)?(?:under|by|with)\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{words}(?!\w)", 0.8))
-            found.append((4, label, (name.split()[-1], "licen"), rf"licen[cs]e\s*[:=]\s*[\"']?{words}(?!\w)", 0.7))
+                found.append((2, label, (*name.split(), version), rf"(?<!\w){words}(?:{gap}licen[cs]e)?{gap}(?:version\s+|v\.?\s*)?{number}(?![\w]|\.[0-9])", 0.9))
+            found.append((3, label, (*name.split(), "licen"), rf"(?<!\w){words}\s+licen[cs]e(?!\w)", 0.8))
+            found.append((3, label, (*name.split(), "licen"), rf"licen[cs]ed?\s+(?:is\s+)?(?:under|by|with)\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{words}(?!\w)", 0.8))
+            found.append((4, label, (*name.split(), "licen"), rf"licen[cs]e\s*[:=]\s*[\"']?{words}(?!\w)", 0.7))
     order = sorted(found, key=lambda r: r[0])
-    return tuple(Rule(p, label, keys, re.compile(pattern), weight) for p, label, keys, pattern, weight in order)
+    return tuple(Rule(p, label, keys, re.compile(pattern, re.S), weight) for p, label, keys, pattern, weight in order)
 
 
-def detect(text: str) -> list[tuple[int, int, Rule]]:
-    """Detections (start, end, rule) in lower-cased text that no stronger one contains."""
+def detect(text: str, gated: bool = True) -> list[tuple[int, int, Rule]]:
+    """Detections (start, end, rule) in lower-cased text that no stronger one contains; the same without the gates."""
     found: list[tuple[int, int, Rule]] = []
     known: dict[str, bool] = {}
     for rule in rules():
         for word in rule.keywords:
             if word not in known:
                 known[word] = word in text
-        if all(known[w] for w in rule.keywords):
+        if not gated or all(known[w] for w in rule.keywords):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     kept: list[tuple[int, int, Rule]] = []
     # Stronger rules and, among equals, longer detections first; then a sweep by start is enough for containment.
@@ -182,7 +179,7 @@ def scan(texts: list[str | None]) -> list[list]:
         marks = np.frombuffer(b"\0" + data.translate(_IS_WORD), "int8")
         n_words = int(np.count_nonzero(np.diff(marks) == 1))
         places = base_places(data)
-        detections = detect(data.decode()) if any(g in data for g in GATES) else []
+        detections = detect(data.decode())
         base = {label for _, label in places}
         labels = base | {rule.label for _, _, rule in detections}
         doubt = 0.2 ** len(places)

@@ -96,6 +96,37 @@ def test_rules_and_suppression():
     assert {"mit", "bsd"} <= set(labels("MIT License or BSD license"))
 
 
+WORDINGS = ("Permission is hereby granted, free of charge, to any person obtaining a copy", "to deal in the Software without restriction",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee",
+            "Redistribution and use in source and binary forms, with or without modification",
+            "Neither the name of the holder nor the names of its contributors may be used to endorse or promote",
+            "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+            "redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+            "redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the Apache License, Version 2.0",
+            "https://www.apache.org/licenses/LICENSE-2.0", "https://www.mozilla.org/en-US/MPL", "https://www.gnu.org/licenses/gpl-3.0", "https://www.gnu.org/licenses/lgpl",
+            "https://www.gnu.org/licenses/agpl", "https://opensource.org/licenses/MIT", "https://opensource.org/licenses/BSD-3-Clause",
+            "creativecommons.org/licenses/by-sa/4.0", "creativecommons.org/licenses/by-nc/4.0", "creativecommons.org/licenses/by/4.0",
+            "creativecommons.org/publicdomain/zero/1.0", "boost.org/LICENSE_1_0", "free and unencumbered software released into the public domain",
+            "placed in the public domain", "This software is provided 'as-is', without any express or implied warranty", "do what the fuck you want to",
+            "All rights reserved", "proprietary and confidential", "Copyright (c) 2019")
+
+
+def test_gates_hide_no_rule():
+    samples = list(WORDINGS)
+    for _, names, ids, versions in licenses.FAMILIES:
+        samples += [f"SPDX-License-Identifier: {i}" for i in ids]
+        for name in names:
+            samples += [f"released under the {name} v{v}." for v in versions] + [f"the {name} license", f"licensed under the terms of the {name}", f"license: {name}"]
+    texts = samples + [t.replace(" ", "\n") for t in samples] + [t.replace(" ", " \r\n\t") for t in samples]
+    ungated = [",".join(f"{rule.label}:{s}:{e}" for s, e, rule in licenses.detect(t.lower(), gated=False)) for t in texts]
+    assert licenses.scan(texts)[7] == ungated and all(ungated)
+    met = {id(rule) for t in texts for rule in licenses.rules() if rule.pattern.search(t.lower())}
+    assert len(met) == len(licenses.rules())
+    for text, label in (("released under the GNU GPL v3.", "gpl"), ("CC BY-SA 4.0", "cc-by-sa"), ("Mozilla Public 2.0", "mpl"), ("Apache 2.0", "apache"),
+                        ("permission is hereby\ngranted, free of charge, to any person obtaining a copy", "mit"), ("all rights\nreserved", "proprietary")):
+        assert label in licenses.scan([text])[5][0].split(","), text
+
+
 # secrets
 
 def joined(spans, kinds):
