@@ -25,8 +25,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return radix.drop_copies(docs)
 
 
+#: Words of a shingle and least similarity in percent: near copies of the corpus, not op10's own contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard.ngram_join(docs)
+    joined = jaccard.ngram_join(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     return keep_rows(docs, joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct())
 
 

@@ -64,3 +64,13 @@ def test_pipeline_of_empty_tables(spark, planted, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
     assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_near_copies_are_cut_at_five_words_and_four_fifths(spark, docs):
+    words = [f"u{i}" for i in range(100)]
+    changed = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]
+    # 86 of 106 shingles of five words are shared, 0.811 (and 89 of 105 of four words); two words more make it 86 of 108, 0.796.
+    above = docs([(1, " ".join(words)), (2, " ".join(changed))], clashing=False)
+    below = docs([(1, " ".join(words)), (2, " ".join(changed + ["y0", "y1"]))], clashing=False)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, above, "").collect()] == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, below, "").collect()) == [1, 2]
