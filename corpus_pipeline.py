@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from segmentlab.llm import decontam, jaccard, mixing, radix, toxicity
-from segmentlab.llm.common import keep_rows, table
+from segmentlab.llm.common import table
 from segmentlab.session import written
 
 
@@ -30,8 +29,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard.ngram_join(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
-    return keep_rows(docs, joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct())
+    return jaccard.drop_near(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

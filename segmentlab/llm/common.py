@@ -24,10 +24,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def keep_rows(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is in the one column of ``keep``; absent keys match absent keys."""
-    wanted = keep.select(F.col(keep.columns[0]).alias("_keep_key"))
-    return docs.join(wanted, docs[key].eqNullSafe(wanted["_keep_key"]), "left_semi")
+def row_key(*parts: Column) -> Column:
+    """A name of a row made of its ``parts``, for rows whose doc_id is absent or repeated; never absent itself."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts)), 256)
+
+
+def keep_keys(docs: DataFrame, key: Column, keep: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in the one column of ``keep``; of rows of one key any one, if ``once``."""
+    wanted = keep.select(F.col(keep.columns[0]).alias("_row_key")).distinct()
+    kept = docs.withColumn("_row_key", key).join(wanted, "_row_key", "left_semi")
+    return (kept.dropDuplicates(["_row_key"]) if once else kept).select(*docs.columns)
 
 
 def per_text(docs: DataFrame, columns: str, maker: Callable[[], Callable[[list[str | None]], list]],

@@ -11,11 +11,12 @@ joined exactly, so the benchmark may have any size. Pairs that cannot reach the
 number of shared seeds are not tiled: every tile of n words holds n - LEAST + 1 seeds.
 
 Absent and empty items match nothing; absent and empty documents are clean. Rows that repeat are judged each; a
-row without doc_id is reported with an absent doc_id.
+row without doc_id is reported with an absent doc_id, an item without item_id with an absent item_id.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -94,17 +95,22 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[i
 
 
 def _coverage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "item_id", "item_words", "covered", "n_tiles"]
+    names = ["doc_id", "item_id", "item_words", "covered", "n_tiles", "text_sha256"]
     for batch in batches:
         for row in batch.to_pylist():
             hashes, begin = words([row["item"], row["text"]])
             found = tiles(hashes[:begin[1]], hashes[begin[1]:])
             values = (row["doc_id"], row["item_id"], int(begin[1]), sum(k for *_, k in found), len(found))
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in values), pa.array([hashlib.sha256(row["text"].encode()).hexdigest()])], names)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: float = COVERED) -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, item_words, covered (words), n_tiles, coverage."""
+    return _leaks(docs, benchmark, least, covered).drop("text_sha256")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, covered: float) -> DataFrame:
+    """:func:`leaks` with the digest of the document's text."""
     spark = docs.sparkSession
 
     def item_seeds(texts):
@@ -112,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: fl
         return [h.view("int64")[a:b].tolist() for a, b in zip(first[:-1], first[1:])], count
 
     items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
-                    .where(F.col("item_id").isNotNull()).dropDuplicates(["item_id", "item"])
+                    .dropDuplicates(["item_id", "item"])
                     .withColumn("key", F.monotonically_increasing_id()), "items")
     seeded = written(per_text(items, "seeds array<long>, item_words int", lambda: item_seeds, key="key", text="item"), "seeds")
     seeds = seeded.select("key", "item_words", F.explode("seeds").alias("h"))
@@ -145,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: fl
     enough = shared.where(F.col("shared") * F.least(F.lit(least), "item_words") >= F.col("item_words") * covered).select("rid", "key")
     # Pairs first take the short item, then the text, each by its own number.
     pairs = enough.join(items, "key").join(near.select("rid", "doc_id", "text"), "rid").select("doc_id", "item_id", "item", "text")
-    measured = pairs.mapInArrow(_coverage, "doc_id long, item_id long, item_words long, covered long, n_tiles long")
+    measured = pairs.mapInArrow(_coverage, "doc_id long, item_id long, item_words long, covered long, n_tiles long, text_sha256 string")
     return measured.withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= covered)
 
 
@@ -159,6 +165,7 @@ def _windows(texts, size: int, least: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: float = COVERED) -> DataFrame:
-    """``docs`` without the documents that an item contaminates."""
-    bad = leaks(docs, benchmark, least, covered).select(F.col("doc_id").alias("_bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_key"]), "left_anti")
+    """``docs`` without the rows whose text an item contaminates, whatever their doc_id."""
+    bad = _leaks(docs, benchmark, least, covered).select(F.col("text_sha256").alias("_bad_key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.withColumn("_text_key", F.sha2(text, 256)).join(bad, F.col("_text_key") == F.col("_bad_key"), "left_anti").select(*docs.columns)

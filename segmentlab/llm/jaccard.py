@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentlab.llm.common import bitmap, marked, per_text
+from segmentlab.llm.common import WORD, bitmap, keep_keys, marked, per_text, row_key, whole_text
 from segmentlab.llm.components import components
 from segmentlab.llm.shingles import mixed, shingles
 from segmentlab.session import written
@@ -310,12 +310,33 @@ def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its smallest doc_id)."""
+    return _joined(docs, size, percent).select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest doc_id, and all rows without words; all columns kept.
+
+    A row is found again by its doc_id and text together, so absent and repeated doc_ids do not matter.
+    """
+    joined = _joined(docs, size, percent)
+    best = joined.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")).alias("best"))
+    keep = best.select(row_key(F.col("best.doc_id"), F.col("best.text_sha256")).alias("key"))
+    text = whole_text()
+    words = text.rlike(WORD)
+    key = row_key(F.col("doc_id").cast("long"), F.sha2(text.cast("binary"), 256))
+    return keep_keys(docs.where(words), key, keep).unionByName(docs.where(~words))
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, text_sha256, root of its component, component_id."""
     spark, salt = docs.sparkSession, 0
     hot = spark.sparkContext.broadcast(bitmap(_hot_shingles(docs, size), BITS))
 
     def classes(salt: int) -> DataFrame:
-        return written(per_text(docs, "n_shingles long, cid long, full binary", lambda: lambda texts: list(zip(*(
-            (len(s), class_of(s, salt), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets(texts, size))))), "classes")
+        return written(per_text(docs, "n_shingles long, cid long, full binary, text_sha256 string", lambda: lambda texts: list(zip(*(
+            (len(s), class_of(s, salt), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
+             hashlib.sha256((t or "").encode()).hexdigest()) for s, t in zip(sets(texts, size), texts))))), "classes")
 
     members = classes(salt)
     # Class numbers of 64 bits must tell all classes apart; another salt is taken otherwise.
@@ -334,9 +355,8 @@ def ngram_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Da
             roots = components(similar.unionByName(links_among(docs, more, per_class, salt, size, percent)))
     per_class = per_class.join(roots, per_class["cid"] == roots["node"], "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     per_root = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = per_class.join(per_root, "root").select("cid", "component_id")
-    return members.join(named, "cid").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = per_class.join(per_root, "root").select("cid", "root", "component_id")
+    return members.join(named, "cid").select("doc_id", "n_shingles", "text_sha256", "root", "component_id")
 
 
 SQL = r"""

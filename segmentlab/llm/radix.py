@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentlab.llm.common import SPACE, keep_rows, whole_text
+from segmentlab.llm.common import SPACE, keep_keys, row_key, whole_text
 from segmentlab.session import written
 
 #: Bytes read in the first round, and the factor from round to round.
@@ -75,26 +75,31 @@ def radix_groups(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> D
 
 def exact_dedup(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(docs, width, growth).drop("n_points")
+
+
+def _judged(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> DataFrame:
     groups = radix_groups(docs, width, growth)
     single = groups.where("n = 1").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
     many = groups.where("n > 1")
     best = many.groupBy("r", "g", "p").agg(
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("doc"), (-F.col("rid")).alias("rid"))).alias("best"))
     copies = many.join(best, ["r", "g", "p"]).select(
         "doc_id", (-F.col("best.doc")).alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("rid") == -F.col("best.rid")).alias("kept"), "text_sha256")
+        (F.col("rid") == -F.col("best.rid")).alias("kept"), "text_sha256", "n_points")
     return single.unionByName(copies)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each set of equal texts, all columns kept.
 
-    Rows that repeat a kept row's doc_id and normalised text are dropped with it.
+    A row is found again by its doc_id, length and text together, so absent and repeated doc_ids do not matter.
     """
-    kept = keep_rows(docs, exact_dedup(docs).where("kept").select("doc_id").distinct())
-    norm = F.regexp_replace(whole_text(), SPACE + "+", "")
-    return kept.withColumn("_norm", norm).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
+    kept = _judged(docs).where("kept").select(row_key(F.col("doc_id"), F.col("n_points"), F.col("text_sha256")).alias("key"))
+    text = whole_text()
+    norm = F.sha2(F.regexp_replace(text, SPACE + "+", "").cast("binary"), 256)
+    return keep_keys(docs, row_key(F.col("doc_id").cast("long"), F.length(text), norm), kept)
 
 
 SQL = r"""

@@ -58,6 +58,25 @@ def test_stages_keep_the_columns_and_work_on_what_is_left(spark, planted):
     assert sizes == [len(rows) - 31, len(rows) - 35, len(rows) - 37, len(rows) - 38]
 
 
+def test_rows_without_or_with_repeated_doc_id(spark, docs, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    a, b, c, d, leak, lone = prose(60), prose(60), prose(60), prose(60), prose(30), prose(30)
+    rows = [(None, a), (None, a), (None, a.replace(" ", "  ", 2)), (None, b), (None, b + " tail"), (7, c), (7, d), (7, d + " tail"), (7, d), (8, c),
+            (None, prose(20) + " " + leak), (7, prose(20) + " " + leak), (9, prose(20) + " " + lone), (None, None), (None, " ")]
+    spark.createDataFrame([(1, leak), (None, lone)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    exact = corpus_pipeline.drop_exact_copies(spark, docs(rows), "")
+    want = [r for i, r in enumerate(rows) if i not in (0, 1, 8, 9, 13, 14)]
+    left = sorted((str(x), t) for x, t in want)
+    assert [x for x in got(exact) if x[1].strip()] == left and exact.count() == len(left) + 1
+    near = got(corpus_pipeline.drop_near_copies(spark, docs(rows), ""))
+    assert len([x for x in near if x[1].strip()]) == 7 and len(near) == 9
+    assert [x for x, t in near if t.split()[:10] == c.split()[:10]] == ["7"]
+    clean = corpus_pipeline.drop_leaks(spark, docs(rows), str(tmp_path))
+    assert clean.columns == docs(rows).columns and got(clean) == sorted((str(x), t or "") for i, (x, t) in enumerate(rows) if i not in (10, 11, 12))
+
+
 def test_pipeline_of_empty_tables(spark, planted, tmp_path):
     sf_dir, *_ = planted
     none = f"{tmp_path}/none"
