@@ -17,7 +17,7 @@ BUCKETS = 1024
 
 def _read(documents: DataFrame, col: str) -> DataFrame:
     """Adds ``_lines`` and ``reject_reason`` (NULL where the document is readable)."""
-    body = F.regexp_replace(F.substring(F.col(col), 1, 100), r"^[\s\ufeff]+", "")
+    body = F.regexp_extract(F.col(col), r"^[\s\ufeff]*+([^\s\ufeff])", 1)  # the first character that is no space
     as_list = F.from_json(F.when(body.startswith("["), F.col(col)), _LINE)
     as_object = F.from_json(F.when(body.startswith("{"), F.col(col)), f"segments {_LINE}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
     parsed = documents.withColumn("_list", as_list).withColumn("_object", as_object)

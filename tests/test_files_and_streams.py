@@ -134,3 +134,13 @@ def test_watch_stream(spark, tmp_path):
     watch_batch(spark, str(folder), str(taken), jobs_path, 2)
     assert {r.status for r in job_log(spark, jobs_path).collect()} == {"QUEUED"}
     assert job_log(spark, jobs_path).count() == 3
+
+
+def test_long_white_space_before_a_document(spark):
+    from segmentlab.sources.transcripts import parse_transcripts, transcript_rejects
+
+    lines = '[{"start": 1, "end": 2, "text": "hello"}]'
+    rows = [("a", " " * 100 + lines), ("b", "\n\t " * 500 + '{"segments": ' + lines + "}"), ("c", " " * 300), ("d", " " * 300 + "x")]
+    docs = spark.createDataFrame(rows, "job_id string, document string")
+    assert sorted((r.job_id, r.original_text) for r in parse_transcripts(docs).collect()) == [("a", "hello"), ("b", "hello")]
+    assert sorted((r.job_id, r.reject_reason) for r in transcript_rejects(docs).collect()) == [("c", "empty"), ("d", "not readable as JSON")]
