@@ -6,26 +6,28 @@ again, until nothing new appears; a layer seen before is not opened again, which
 Spans found in a layer are mapped back to the text: character by character through escapes, to
 the whole encoded word through base64. The base spans are those of the text itself.
 
-Absent texts count as empty and have no spans; rows that repeat are scanned each. The only
-limit is on the size of a decompressed layer (``LAYER``), against bombs: such a layer is not
-opened and is counted in ``oversize``.
+Absent texts count as empty and have no spans; rows that repeat are scanned each. A
+decompressed layer of any size is scanned in windows of ``LAYER`` bytes that end after a line; only a
+line longer than that is scanned in windows that overlap by half, and counted in ``oversize``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from segmentlab.llm.common import per_text
 
-#: Largest decompressed layer, in bytes.
+#: Largest part of a decompressed layer that is scanned at a time, in bytes, and bytes decompressed in one step.
 LAYER = 64 << 20
+_PIECE = 1 << 20
 KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -36,6 +38,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Heads of gzip, and of zlib without a dictionary; stretches of text that can hold the shortest secret.
+_COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_TEXT = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
 
 Span = tuple[int, int, str]
 
@@ -114,66 +119,148 @@ def _resolved(layer: Layer, pattern: re.Pattern, read) -> Layer | None:
     return Layer("".join(out), pieces, layer)
 
 
-def _decompressed(data: bytes) -> bytes | None:
-    """Bytes of a gzip or zlib stream; None if it is none; ValueError if it is too large."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    reader = zlib.decompressobj(47)
-    try:
-        plain = reader.decompress(data, LAYER)
-    except zlib.error:
-        return None
-    if reader.unconsumed_tail:
-        raise ValueError("layer too large")
-    return plain if reader.eof else None
-
-
-def _word(word: str) -> str | None:
-    """Text in a base64 word, through any compression; None if there is none."""
+def _inflated(data: bytes, rest: list[int]) -> Iterator[bytes]:
+    """Pieces of a gzip or zlib stream, of all members; none if it is none. ``rest`` gets the number of bytes behind it."""
+    while _COMPRESSED.match(data):
+        reader = zlib.decompressobj(47)
+        try:
+            while not reader.eof and (data or reader.unconsumed_tail):
+                if piece := reader.decompress(reader.unconsumed_tail or data, _PIECE):
+                    yield piece
+                data = b""
+        except zlib.error:
+            return
+        if not reader.eof:
+            return
+        data = reader.unused_data
+        rest[:] = [len(data)]
+
+
+def _opened(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The same pieces, decompressed once more as long as they are compressed."""
+    pieces = iter(pieces)
+    head = next(pieces, b"")
+    if not _COMPRESSED.match(head):
+        yield head
+        yield from pieces
+        return
+
+    def inner() -> Iterator[bytes]:
+        reader, empty = zlib.decompressobj(47), True
+        for piece in itertools.chain([head], pieces):
+            while piece:
+                if reader.eof:
+                    reader = zlib.decompressobj(47)
+                try:
+                    out = reader.decompress(piece, _PIECE)
+                except zlib.error:
+                    return
+                if out:
+                    empty = False
+                    yield out
+                piece = reader.unused_data if reader.eof else reader.unconsumed_tail
+        if empty:
+            yield b""
+
+    yield from _opened(inner())
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """Texts of at most about ``LAYER`` bytes, and whether a line was cut (told once).
+
+    A window ends after a line, as no secret crosses one; a line that is longer is scanned in halves that overlap.
+    """
+    held, told = b"", False
+    for piece in pieces:
+        held += piece
+        while len(held) > LAYER:
+            end = held.rfind(b"\n", 0, LAYER) + 1
+            yield held[:end or LAYER].decode(errors="replace"), not end and not told
+            told = told or not end
+            held = held[end or LAYER // 2:]
+    yield held.decode(errors="replace"), False
+
+
+def _decoded(core: str, at: int) -> bytes:
+    part = core[at:]
+    part = part[:len(part) - (len(part) % 4 == 1)]
+    return base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _words(word: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Texts in a base64 word, through any compression: text, start and end in the word, whether it was cut in a line.
+
+    Where the whole word is no text, each of the four alignments is read, so a payload glued to a path or a name is found too:
+    compressed streams wherever they begin, and stretches of text that are long enough for a secret.
+    """
     core = word.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(core + "=" * (-len(core) % 4))
-    except binascii.Error:
-        return None
-    while (plain := _decompressed(data)) is not None:
-        data = plain
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+    if len(core) % 4 != 1:
+        data = _decoded(core, 0)
+        if not _COMPRESSED.match(data):
+            try:
+                text = data.decode()
+            except UnicodeDecodeError:
+                text = ""
+            if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text):
+                yield text, 0, len(word), False
+                return
+    for at in range(min(4, len(core))):
+        data = _decoded(core, at)
+        here = 0
+        while m := _COMPRESSED.search(data, here):
+            here, rest, any_ = m.start() + 1, [0], False
+            first = at + m.start() * 4 // 3
+            for text, cut in _windows(_opened(_inflated(data[m.start():], rest))):
+                if text:
+                    any_ = True
+                    yield text, first, len(word), cut
+            if any_ and rest[0]:
+                here = len(data) - rest[0]
+            elif any_ and m.start() == 0 and at == 0:
+                return
+        for m in _TEXT.finditer(data):
+            yield m[0].decode(errors="replace"), at + m.start() * 4 // 3, min(len(word), at - (-m.end() * 4 // 3)), False
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> tuple[set[Span], int]:
-    """Spans of the text and of every layer below it, and the number of layers left closed for their size."""
+    """Spans of the text and of every layer below it, and the number of layers with a line too long to be scanned in one go."""
     found = set(base_spans(text) if base is None else base)
-    work, seen, oversize = [Layer(text, [], None)], {(text, (0, len(text)))}, 0
+    top, seen, oversize = Layer(text, [], None), {_key(text, (0, len(text)))}, 0
+    work: list[Iterator[tuple[Layer, bool]]] = [iter([(top, False)])]
     while work:
-        layer = work.pop()
-        if layer.above is not None:
-            found |= {(*layer.back(s, e), kind) for s, e, kind in base_spans(layer.text)}
-        below: list[Layer] = []
-        if "%" in layer.text:
-            below.append(_resolved(layer, _URL, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            below.append(_resolved(layer, _UNICODE, _unicode))
-        for m in _BASE64.finditer(layer.text):
-            try:
-                if plain := _word(m[0]):
-                    below.append(Layer(plain, [(0, m.start(), len(m[0]), False)], layer))
-            except ValueError:
-                oversize += 1
-        for new in filter(None, below):
+        # One window at a time; what is below it comes before the next.
+        if (entry := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, cut = entry
+        oversize += cut
+        if layer is not top:
             # The same word at two places is opened at both; a layer that comes back at its own place is a cycle.
-            key = (new.text, new.back(0, len(new.text)))
-            if key not in seen:
-                seen.add(key)
-                work.append(new)
+            key = _key(layer.text, layer.back(0, len(layer.text)))
+            if key in seen:
+                continue
+            seen.add(key)
+            found |= {(*layer.back(s, e), kind) for s, e, kind in base_spans(layer.text)}
+        work.append(_below(layer))
     return found, oversize
 
 
+def _key(text: str, place: tuple[int, int]) -> tuple[bytes, tuple[int, int]]:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest(), place
+
+
+def _below(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers one step below, and whether a line was cut for them."""
+    text = layer.text
+    if "%" in text and (new := _resolved(layer, _URL, _url)):
+        yield new, False
+    if ("\\" in text or "&#" in text) and (new := _resolved(layer, _UNICODE, _unicode)):
+        yield new, False
+    for m in _BASE64.finditer(text):
+        for plain, start, end, cut in _words(m[0]):
+            yield Layer(plain, [(0, m.start() + start, end - start, False)], layer), cut
+
+
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 

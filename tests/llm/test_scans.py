@@ -195,6 +195,24 @@ def test_bomb_is_reported(monkeypatch):
     assert secret_scan.all_spans(b64(zlib.compress(b"a" * 5000)))[1] == 1
 
 
+@pytest.mark.parametrize("glue", ["https://x.org/org/{}", "key-{}", "a_{}", "{}/tail", "ab/{}-name_x", "abc{}", "x/{}/y"])
+@pytest.mark.parametrize("wrap", [b64, lambda s: b64(zlib.compress(s.encode())), lambda s: b64(gzip.compress(s.encode(), mtime=0)), lambda s: b64(b64(s))])
+def test_glued_words(wrap, glue):
+    text = "see " + glue.format(wrap(SECRET).rstrip("=")) + " there"
+    assert any(k == "assign" and 4 <= s and e <= len(text) - 6 for s, e, k in secret_scan.all_spans(text)[0]), text
+
+
+def test_all_members_and_large_layers(monkeypatch):
+    two = gzip.compress(b"nothing here\n") + gzip.compress(SECRET.encode())
+    assert {k for *_, k in secret_scan.all_spans(b64(two))[0]} == {"assign"}
+    monkeypatch.setattr(secret_scan, "LAYER", 1000)
+    lines = "".join(f"line {i}\n" for i in range(2000)) + SECRET + "\n" + "more\n" * 2000
+    spans, oversize = secret_scan.all_spans(b64(gzip.compress(gzip.compress(lines.encode()))))
+    assert {k for *_, k in spans} == {"assign"} and oversize == 0
+    spans, oversize = secret_scan.all_spans(b64(zlib.compress((" " * 5000 + SECRET + " " * 5000).encode())))
+    assert {k for *_, k in spans} == {"assign"} and oversize > 0
+
+
 # personal data
 
 def brute_pii(text):
