@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentlab.llm import decontam, jaccard, licenses, mixing, pii, radix, secret_scan, suffixes, templates, toxicity
+from segmentlab.llm import bpe, decontam, jaccard, licenses, mixing, pii, radix, secret_scan, suffixes, templates, toxicity
 from segmentlab.llm.common import table
 
 
@@ -56,10 +57,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_suffix_dedup, op3_decontaminate, op4_extract_html, op5_toxicity, op6_license_scan, op7_secret_scan,
-        op8_pii, op9_exact_dedup, op10_ngram_join)}
+        op8_pii, op9_exact_dedup, op10_ngram_join, op11_bpe)}
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffixes.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL}
