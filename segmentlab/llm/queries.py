@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentlab.llm import bpe, decontam, jaccard, licenses, mixing, pii, radix, secret_scan, spelling, suffixes, templates, toxicity
+from segmentlab.llm import bpe, decontam, jaccard, licenses, mixing, pii, prefix_trie, radix, secret_scan, spelling, suffixes, templates, toxicity
 from segmentlab.llm.common import table
 
 
@@ -66,11 +66,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_suffix_dedup, op3_decontaminate, op4_extract_html, op5_toxicity, op6_license_scan, op7_secret_scan,
-        op8_pii, op9_exact_dedup, op10_ngram_join, op11_bpe, op12_spelling_variants)}
+        op8_pii, op9_exact_dedup, op10_ngram_join, op11_bpe, op12_spelling_variants, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffixes.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL,
-    "op12_spelling_variants": spelling.SQL}
+    "op12_spelling_variants": spelling.SQL, "op13_prefix_trie": prefix_trie.SQL}
