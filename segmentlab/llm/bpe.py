@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -50,13 +49,14 @@ class Merges:
     def __init__(self, ranks: bytes):
         self.rank = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line.strip())}
         self.token: list[bytes] = [b""] * (max(self.rank.values()) + 1)
-        self.pairs: dict[int, int] = {}
+        #: By left token: right token to rank.
+        self.pairs: list[dict[int, int]] = [{} for _ in self.token]
         for token, rank in self.rank.items():
             self.token[rank] = token
             for cut in range(1, len(token)):
                 left, right = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.pairs[left][right] = rank
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], "int64")
         #: Rank of each pair of single bytes, by both bytes; -1 for none.
         self.first = np.full(1 << 16, -1, "int64")
@@ -91,42 +91,42 @@ def replay(words: list[bytes], known: Merges) -> tuple[np.ndarray, np.ndarray]:
     index = _start_index(symbols, known)
     token = np.where(inside, known.byte[symbols.clip(0)], _GAP).tolist()
     after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-    pairs, ready = known.pairs.get, sorted(index)
+    pairs, ready, push = known.pairs, sorted(index), heapq.heappush
     while ready:
         rank = heapq.heappop(ready)
         spots = index.pop(rank)
         spots.sort()
+        further = pairs[rank].get
         for n, i in enumerate(spots):
             left = token[i]
             if left < 0:
                 continue
             j = after[i]
-            right = token[j]
-            if right < 0 or pairs(left << 32 | right) != rank:
+            if pairs[left].get(token[j]) != rank:
                 continue
             k, h, lower = after[j], before[i], False
             token[i], token[j], after[i], before[k] = rank, _GONE, k, i
-            if token[h] >= 0:
-                made = pairs(token[h] << 32 | rank)
+            left = token[h]
+            if left >= 0:
+                made = pairs[left].get(rank)
                 if made is not None:
                     lower = made < rank
                     if made in index:
                         index[made].append(h)
                     else:
                         index[made] = [h]
-                        heapq.heappush(ready, made)
-            if token[k] >= 0:
-                made = pairs(rank << 32 | token[k])
-                if made is not None:
-                    lower = lower or made < rank
-                    if made in index:
-                        index[made].append(i)
-                    else:
-                        index[made] = [i]
-                        heapq.heappush(ready, made)
+                        push(ready, made)
+            made = further(token[k])
+            if made is not None:
+                lower = lower or made < rank
+                if made in index:
+                    index[made].append(i)
+                else:
+                    index[made] = [i]
+                    push(ready, made)
             if lower:
                 index[rank] = spots[n + 1:]
-                heapq.heappush(ready, rank)
+                push(ready, rank)
                 break
     token = np.array(token, "int64")
     starts = np.concatenate([[0], ends[:-1]]) if len(words) else np.zeros(0, "int64")
@@ -145,16 +145,17 @@ class Encoder:
         memory = self.memory
         if len(memory) > REMEMBER:
             memory.clear()
-        fresh = list({w for words in lists for w in words if w not in memory})
+        fresh = list(set().union(*lists).difference(memory))
         self._learn(fresh)
-        flat, offsets = array("i"), [0]
+        flat: list[int] = []
+        offsets = [0]
         for words in lists:
             flat.extend(chain.from_iterable(map(memory.__getitem__, words)))
             offsets.append(len(flat))
         for word in fresh:
             if len(word) > LONGEST:
                 del memory[word]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, "int32") if flat else [], pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, "int32")))
 
     def _learn(self, words: list[str]) -> None:
         rank, whole = self.known.rank, [w.encode() for w in words]
@@ -200,7 +201,10 @@ def decode(encoded: DataFrame, ranks: bytes, key: str = "doc_id", ids: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = merges_of(ranks).token.__getitem__
         for batch in batches:
-            found = [b"".join(map(token, x.values.tolist())) if x.is_valid else b"" for x in batch.column(1)]
+            lists = batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            # The bytes of absent lists are none, as their offsets agree.
+            found = [b"".join(map(token, flat[low:high].tolist())) for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], [key, "ids", "bytes"])
 
     return encoded.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids")).mapInArrow(
