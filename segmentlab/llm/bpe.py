@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a block; words remembered by a task, and the longest of them.
-BLOCK, REMEMBER, LONGEST = 1 << 22, 400_000, 64
+BLOCK, REMEMBER, LONGEST = 1 << 21, 150_000, 64
+#: Rows of a block at most.
+ROWS = 1000
 #: Between two words; a symbol that went into the one before it.
 _GAP, _GONE = -1, -2
 
@@ -188,10 +190,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _blocks(texts):
-                keys = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([keys, encoder(texts[part])], [key, "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                texts = rows.column(1).to_pylist()
+                for part in _blocks(texts):
+                    keys = rows.column(0).slice(part.start, part.stop - part.start)
+                    yield pa.RecordBatch.from_arrays([keys, encoder(texts[part])], [key, "ids"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{key} long, ids array<int>")
 
