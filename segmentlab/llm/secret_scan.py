@@ -35,8 +35,9 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Maximal runs, so a minimum length in the pattern drops exactly the runs that are too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+# A sign that was escaped many times over ("%252525…", "&#38;#38;…") is read in one step, so a text of nothing else is not as many layers.
+_URL = re.compile(r"%(?:25){8,}|(?:%[0-9A-Fa-f]{2})+")
+_UNICODE = re.compile(r"\\u005c(?:u005c){8,}|\\x5c(?:x5c){8,}|&#38;(?:#38;){8,}|&#x26;(?:#x26;){8,}|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # Heads of gzip, and of zlib without a dictionary; stretches of text that can hold the shortest secret.
 _COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
@@ -65,16 +66,18 @@ class Layer:
         self.starts = [p[0] for p in pieces]
 
     def back(self, start: int, end: int) -> tuple[int, int]:
-        if self.above is None:
-            return start, end
-        at, there, _, same = self.pieces[bisect_right(self.starts, start) - 1]
-        first = there + start - at if same else there
-        at, there, length, same = self.pieces[bisect_right(self.starts, end - 1) - 1]
-        last = there + end - at if same else there + length
-        return self.above.back(first, last)
+        layer = self
+        while layer.above is not None:
+            at, there, _, same = layer.pieces[bisect_right(layer.starts, start) - 1]
+            first = there + start - at if same else there
+            at, there, length, same = layer.pieces[bisect_right(layer.starts, end - 1) - 1]
+            start, end, layer = first, there + end - at if same else there + length, layer.above
+        return start, end
 
 
 def _url(run: str) -> str | None:
+    if run.startswith("%25252525"):
+        return "%"
     try:
         return bytes.fromhex(run.replace("%", "")).decode()
     except UnicodeDecodeError:
@@ -82,6 +85,9 @@ def _url(run: str) -> str | None:
 
 
 def _unicode(run: str) -> str | None:
+    for escaped, plain in (("\\u005cu005c", "\\"), ("\\x5cx5c", "\\"), ("&#38;#38;", "&"), ("&#x26;#x26;", "&")):
+        if run.startswith(escaped):
+            return plain
     try:
         if run.startswith("\\u{"):
             return chr(int(run[3:-1], 16))
