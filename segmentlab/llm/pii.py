@@ -77,8 +77,10 @@ LABELLED = (
     "Zip 10115 Berlin, 75001 Paris and 90210 next.",
 )
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+# Begins where a run of digits does, and takes runs whole: a long run is looked at once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -99,11 +101,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[Span]:
+    """Leftmost non-overlapping addresses, found from each @ to both sides, so a long run is looked at once."""
+    found: list[Span] = []
+    free, at = 0, text.find("@")
+    while at >= 0:
+        # No address reaches back over another @.
+        before = text[free:at]
+        size = len(before) - len(before.rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if size else None
+        free = domain.end() if domain else at + 1
+        if domain:
+            found.append((at - size, free, "email"))
+        at = text.find("@", free)
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of the plain patterns, in the order of the kinds."""
     found: list[Span] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
+        found += _emails(text)
     if not _DIGIT.search(text):
         return found
     found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
