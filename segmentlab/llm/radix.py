@@ -84,9 +84,9 @@ def _judged(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> DataFr
         "doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
     many = groups.where("n > 1")
     best = many.groupBy("r", "g", "p").agg(
-        F.max(F.struct("n_points", (-F.col("doc_id")).alias("doc"), (-F.col("rid")).alias("rid"))).alias("best"))
+        F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("doc"), (-F.col("rid")).alias("rid"))).alias("best"))
     copies = many.join(best, ["r", "g", "p"]).select(
-        "doc_id", (-F.col("best.doc")).alias("keep_id"), F.col("n").alias("group_size"),
+        "doc_id", F.bitwise_not("best.doc").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("rid") == -F.col("best.rid")).alias("kept"), "text_sha256", "n_points")
     return single.unionByName(copies)
 
