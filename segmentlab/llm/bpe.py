@@ -8,7 +8,8 @@ length times a logarithm.
 
 The collection is that of a block of texts (``BLOCK`` characters), not of the whole corpus: giving the ids of a corpus-wide
 word table back to every occurrence would shuffle each occurrence of each word. Nothing is shuffled here.
-The words of earlier blocks are remembered up to ``REMEMBER`` of them; that changes the work only.
+The words of earlier blocks are remembered; beyond ``REMEMBER`` of them, those that the block at hand
+uses again. That changes the work only.
 
 A word that is a token itself becomes that token. Where a merge makes a pair of a lower rank, that one goes first, then
 the rest of the higher rank, each from left to right; so ids are those of merging word by word.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a block; words remembered by a task, and the longest of them.
-BLOCK, REMEMBER, LONGEST = 1 << 21, 150_000, 64
+BLOCK, REMEMBER, LONGEST = 1 << 21, 250_000, 64
 #: Rows of a block at most.
 ROWS = 1000
 #: Between two words; a symbol that went into the one before it.
@@ -144,10 +145,13 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> pa.ListArray:
         lists = [self.split(t) if t else [] for t in texts]
+        used = set().union(*lists)
+        if len(self.memory) > REMEMBER:
+            # What this block uses again is likely to come back.
+            self.memory = {w: self.memory[w] for w in used if w in self.memory}
         memory = self.memory
-        if len(memory) > REMEMBER:
-            memory.clear()
-        fresh = list(set().union(*lists).difference(memory))
+        fresh = list(used.difference(memory))
+        del used
         self._learn(fresh)
         flat: list[int] = []
         offsets = [0]
