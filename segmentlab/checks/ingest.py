@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from segmentlab.checks.registry import query
@@ -9,7 +11,11 @@ from segmentlab.checks.jobs import LATEST
 from segmentlab.checks.views import with_views
 from segmentlab.operators import quality as q
 from segmentlab.operators.ingest import watch_eligible, watch_summary
-from segmentlab.sources.media import validate_media
+from segmentlab.session import shared_dir
+from segmentlab.sources.media import scan_media, validate_media, with_content
+from segmentlab.sources.voices import read_voices
+from segmentlab.streaming.watch import _bucket as watch_bucket
+from segmentlab.streaming.watch import job_log, watch_batch
 
 _WATCHED = """SELECT filename, cast('1998-01-01 00:00:00' AS timestamp) + INTERVAL '1' SECOND * (n % 100 * 20) AS modified_at FROM files"""
 _COPIES = """SELECT filename, cast('1998-01-01 00:00:00' AS timestamp) + INTERVAL '1' SECOND * (n % 100 * 20 + n % 3 - 1) AS modified_at FROM files WHERE n % 4 = 1"""
@@ -88,3 +94,57 @@ def _(v):
     return q.gate_report(
         (q.file_valid(v.sql(_EXPECTED, "files"), v.sql(_LISTING, "files")), "file_valid"),
         (q.not_silent(v.series), "not_silent"), (q.stretch_within(v.sql(_PAIRS, "series")), "stretch_ok"))
+
+
+def _dropped(v, choice: str) -> tuple[str, str, str]:
+    """Small media files of the chosen names in a folder of their own, with places for copies and for the ledger. Files are written by tasks."""
+    root = f"{shared_dir(v.spark)}/watch-{uuid.uuid4().hex}"
+    names = v.sql(f"SELECT filename, n FROM files WHERE {choice}", "files")
+    with_content(names.select("filename", F.expr("unhex(repeat('00', cast(n % 5 + 1 AS int)))").alias("content")), f"{root}/folder")
+    return root, f"{root}/folder", f"{root}/copies"
+
+
+_SEEN = "SELECT filename, n FROM files WHERE n % 7 = 0"
+
+
+@query("scan_media", with_views("files") + f""", seen AS ({_SEEN})
+SELECT filename, n % 5 + 1 AS length FROM seen WHERE regexp_matches(lower(filename), '\\.(mp4|mkv|avi|mov|webm)$')""")
+def _(v):
+    _, folder, _ = _dropped(v, "n % 7 = 0")
+    return scan_media(v.spark, folder).select("filename", "length")
+
+
+# Three looks at one folder: nothing is settled yet; all is; and the second look once more, which changes nothing. Then half of the jobs have failed
+# and their files are newer than the copies; those are taken in again.
+@query("watch_stream", with_views("files") + f""", seen AS ({_SEEN}), media AS (SELECT * FROM seen WHERE regexp_matches(lower(filename), '\\.(mp4|mkv|avi|mov|webm)$')),
+twice AS (SELECT filename, 1 AS look FROM media UNION ALL SELECT filename, 3 FROM media WHERE n % 2 = 0)
+SELECT filename, 'QUEUED' AS status, 'Tiếng Việt' AS target_lang, 'Tiêu chuẩn' AS target_style, '16gb' AS vram_profile, false AS enable_lipsync, true AS enable_ocr, 'blur' AS ocr_mode,
+       'multi' AS voice_mode, '' AS voice_preset, true AS auto_resume, look FROM twice""")
+def _(v):
+    root, folder, copies = _dropped(v, "n % 7 = 0")
+    with_content(v.sql("SELECT filename FROM files WHERE n < 0", "files").withColumn("content", F.lit(b"")), copies)
+    log = f"{root}/jobs"
+    later = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    settings = {"enable_ocr": True}
+    watch_batch(v.spark, folder, copies, log, 0, settle=600, settings=settings)
+    for _ in range(2):
+        watch_batch(v.spark, folder, copies, log, 1, settle=600, settings=settings, now=later)
+    failed = job_log(v.spark, log).join(v.sql("SELECT filename FROM files WHERE n % 2 = 0", "files"), "filename", "left_semi")
+    failed = failed.select(*(c for c in job_log(v.spark, log).columns)).withColumn("status", F.lit("FAILED")).withColumn("created_at", later + F.expr("INTERVAL 1 HOUR"))
+    failed.withColumn("name_bucket", watch_bucket(F.col("filename"))).write.partitionBy("name_bucket").parquet(f"{log}/batch=2")
+    for _ in range(2):
+        watch_batch(v.spark, folder, copies, log, 3, settle=600, settings=settings, now=later + F.expr("INTERVAL 2 HOURS"))
+    rows = v.spark.read.parquet(log).filter("status = 'QUEUED'").withColumn("look", F.col("batch").cast("int"))
+    return rows.drop("name_bucket", "batch", "job_id", "created_at", "updated_at", "results", "error")
+
+
+# One voice per part, in one catalogue file.
+@query("read_voices", """SELECT concat('v', p_partkey) AS id, p_name AS name, p_brand AS country, NULL::VARCHAR AS flag,
+    CASE WHEN p_partkey % 2 = 0 THEN 'vi' ELSE 'en' END AS lang, 'f' AS gender FROM part""")
+def _(v):
+    root = f"{shared_dir(v.spark)}/voices-{uuid.uuid4().hex}"
+    voice = F.struct(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("country"),
+                     F.when(F.col("p_partkey") % 2 == 0, "vi").otherwise("en").alias("lang"), F.lit("f").alias("gender"), F.lit("x.wav").alias("file"), F.lit("said").alias("ref_text"))
+    # A catalogue is one small document by its nature; here it is made of a dimension table.
+    v.table("part").agg(F.to_json(F.struct(F.collect_list(voice).alias("voices"))).alias("value")).coalesce(1).write.text(root)
+    return read_voices(v.spark, root)

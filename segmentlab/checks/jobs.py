@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from segmentlab.checks.registry import query
@@ -9,6 +11,8 @@ from segmentlab.checks.views import with_views
 from segmentlab.functions import fixed
 from segmentlab.operators import jobs as j
 from segmentlab.operators.capacity import capacity_report, capacity_sweep, oversized_requests
+from segmentlab.session import shared_dir
+from segmentlab.sources.jobs import read_jobs
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -219,3 +223,22 @@ def _(v):
 @query("oversized_requests", with_views("reservations") + "SELECT pool, service, gb, acquired_us FROM reservations WHERE gb > 24")
 def _(v):
     return oversized_requests(v.reservations, 24.0).select("pool", "service", "gb", "acquired_us")
+
+
+# Three ages of the job table: before styles and flags, with flags as numbers, and of today.
+@query("jobs_over_versions", JOBS + """
+SELECT job_id, filename, CASE WHEN job_id % 3 = 2 AND job_id % 5 > 0 THEN 'style' ELSE 'Tiêu chuẩn' END AS target_style,
+    CASE WHEN job_id % 3 = 0 THEN false ELSE coalesce(enable_lipsync, false) END AS enable_lipsync, CASE WHEN job_id % 3 = 2 THEN job_id % 4 = 1 ELSE true END AS enable_ocr,
+    'blur' AS ocr_mode, CASE WHEN job_id % 3 = 2 THEN auto_resume ELSE false END AS auto_resume, 'multi' AS voice_mode,
+    CASE WHEN job_id % 3 = 2 THEN 'preset' ELSE '' END AS voice_preset FROM jobs""")
+def _(v):
+    root = f"{shared_dir(v.spark)}/jobs-{uuid.uuid4().hex}"
+    slim = v.jobs.select("job_id", "filename", "status", "enable_lipsync", "auto_resume")
+    oldest = slim.filter("job_id % 3 = 0").select("job_id", "filename", "status")
+    older = slim.filter("job_id % 3 = 1").select("job_id", "filename", "status", F.col("enable_lipsync").cast("int").alias("enable_lipsync"))
+    today = slim.filter("job_id % 3 = 2").withColumn("enable_ocr", F.col("job_id") % 4 == 1).withColumn("voice_preset", F.lit("preset")).withColumn(
+        "target_style", F.when(F.col("job_id") % 5 > 0, F.lit("style")))
+    oldest.write.parquet(f"{root}/now")
+    today.write.mode("append").parquet(f"{root}/now")
+    older.write.parquet(f"{root}/numbers")
+    return read_jobs(v.spark, f"{root}/now", f"{root}/numbers").select("job_id", "filename", *fixed.JOB_DEFAULTS)

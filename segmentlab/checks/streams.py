@@ -10,9 +10,10 @@ from segmentlab.checks.jobs import _EDITS, EDITED
 from segmentlab.checks.registry import query
 from segmentlab.checks.views import with_views
 from segmentlab.session import shared_dir
+from segmentlab.sources.transcripts import read_segments, write_segments
 from segmentlab.streaming import edits as e
 from segmentlab.streaming import segments as s
-from segmentlab.streaming.job_state import current_job_state, job_state_stream
+from segmentlab.streaming.job_state import current_job_state, ended_spells, job_state_stream, job_states, write_job_states
 
 
 def _folder(v, name: str) -> str:
@@ -38,20 +39,35 @@ _STATES = """states AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE even
     WHEN 'view' THEN 'AWAITING_REVIEW' WHEN 'error' THEN 'PROCESSING_PHASE2' ELSE 'COMPLETED' END AS status FROM events)"""
 
 
-@query("job_state_stream", f"""WITH {_STATES},
+_SPELLS = f"""{_STATES},
 opened AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM states),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY ts, seq) AS n FROM opened),
-sessions AS (SELECT job_id, last(status ORDER BY ts, seq) AS last_status, max(ts) AS ts, count(*) AS events FROM numbered GROUP BY job_id, n)
-SELECT job_id, CASE WHEN last_status LIKE 'PROCESSING%' THEN 'FAILED' WHEN last_status = 'CANCELLING' THEN 'CANCELLED' ELSE last_status END AS status,
-       CASE WHEN last_status LIKE 'PROCESSING%' THEN 'Job timed out' END AS error, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, events
-FROM sessions WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
-def _(v):
+sessions AS (SELECT job_id, last(status ORDER BY ts, seq) AS last_status, max(ts) AS ts, count(*) AS events FROM numbered GROUP BY job_id, n),
+judged AS (SELECT *, ts + INTERVAL 2 HOUR > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS is_open FROM sessions),
+named AS (SELECT job_id, CASE WHEN is_open THEN last_status WHEN last_status LIKE 'PROCESSING%' THEN 'FAILED' WHEN last_status = 'CANCELLING' THEN 'CANCELLED' ELSE last_status END AS status,
+       CASE WHEN last_status LIKE 'PROCESSING%' AND NOT is_open THEN 'Job timed out' END AS error, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, events, is_open, ts FROM judged)"""
+
+
+def _spell_stream(v) -> str:
     out = _folder(v, "sessions")
-    _run(job_state_stream(_events(v)), out, _folder(v, "checkpoint"))
-    done = v.spark.read.parquet(out)
+    write_job_states(job_state_stream(_events(v)), out, _folder(v, "checkpoint")).awaitTermination()
+    return out
+
+
+@query("job_state_stream", f"WITH {_SPELLS} SELECT job_id, status, error, updated_at, events FROM named WHERE NOT is_open")
+def _(v):
+    done = ended_spells(v.spark, _spell_stream(v)).drop("started_at")
     return done.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+# The same stream: running and timed-out jobs at one time.
+@query("job_states", f"""WITH {_SPELLS}
+SELECT job_id, status, error, updated_at, events, is_open FROM named QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC) = 1""")
+def _(v):
+    now = job_states(v.spark, _spell_stream(v)).drop("started_at")
+    return now.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("current_job_state", f"""WITH {_STATES}
 SELECT job_id, last(status ORDER BY ts, seq) AS status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM states GROUP BY job_id""")
 def _(v):
@@ -75,39 +91,46 @@ SELECT job_id, min(seq) AS seq, min(start_time) AS start_time, arg_max(end_time,
        string_agg(translated_text, ' ' ORDER BY seq) AS translated_text, max(speaker) AS speaker, count(*) AS n_lines
 FROM numbered GROUP BY job_id, run""")
 def _(v):
-    inbox, out, state, checkpoint = (_folder(v, n) for n in ("inbox", "out", "state", "checkpoint"))
+    inbox, out, checkpoint = (_folder(v, n) for n in ("inbox", "out", "checkpoint"))
     lines = v.lines.withColumn("is_last", F.lit(False))
     top = lines.agg(F.max("seq")).first()[0]
     for part in range(3):
         low, high = top * part // 3 - (part == 0), top * (part + 1) // 3
         lines.filter((F.col("seq") > low) & (F.col("seq") <= high)).write.mode("append").parquet(inbox)
         stream = v.spark.readStream.schema(lines.schema).parquet(inbox)
-        s.segment_stream(stream, out, state, checkpoint).awaitTermination()
-    return v.spark.read.parquet(f"{out}/merged").drop("batch").unionByName(s.open_segments(v.spark, state, 2))
+        s.segment_stream(stream, out, checkpoint).awaitTermination()
+    return s.merged_segments(v.spark, out).unionByName(s.open_segments(v.spark, out))
 
 
-# The same in two parts, where odd jobs end with the first one; their early lines come once more and are late.
-@query("segment_stream_late", with_views("lines") + """
-SELECT job_id, seq FROM lines WHERE job_id % 2 = 1 AND seq <= (SELECT max(seq) FROM lines) // 2""")
+# The same in two parts, where odd jobs end with the first one; the lines of their second half come after the end and are late. Even jobs go on.
+@query("segment_stream_late", with_views("lines") + """, half AS (SELECT max(seq) // 2 AS cut FROM lines),
+taken AS (SELECT * FROM lines, half WHERE job_id % 2 = 0 OR seq <= cut),
+flagged AS (SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND start_time - lag(end_time) OVER w <= 0.8::DOUBLE THEN 0 ELSE 1 END AS opens
+  FROM taken WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY seq) AS run FROM flagged)
+SELECT job_id, min(seq) AS seq, string_agg(original_text, ' ' ORDER BY seq) AS original_text, count(*) AS n_lines, false AS is_late FROM numbered GROUP BY job_id, run
+UNION ALL SELECT job_id, seq, original_text, 1, true FROM lines, half WHERE job_id % 2 = 1 AND seq > cut""")
 def _(v):
-    inbox, out, state, checkpoint = (_folder(v, n) for n in ("inbox", "out", "state", "checkpoint"))
+    inbox, out, checkpoint = (_folder(v, n) for n in ("inbox", "out", "checkpoint"))
     half = F.floor(v.lines.agg(F.max("seq")).first()[0] / F.lit(2))
-    odd = v.lines.filter("job_id % 2 = 1").filter(F.col("seq") <= half)
-    last = odd.groupBy("job_id").agg(F.max("seq").alias("last"))
-    for part in (odd.join(last, "job_id").withColumn("is_last", F.col("seq") == F.col("last")).drop("last"), odd.withColumn("is_last", F.lit(False))):
-        part.write.mode("append").parquet(inbox)
-        stream = v.spark.readStream.schema(part.schema).parquet(inbox)
-        s.segment_stream(stream, out, state, checkpoint).awaitTermination()
-    return v.spark.read.parquet(f"{out}/late").select("job_id", "seq")
+    last = v.lines.filter(F.col("seq") <= half).groupBy("job_id").agg(F.max("seq").alias("last"))
+    marked = v.lines.join(last, "job_id").withColumn("is_last", (F.col("job_id") % 2 == 1) & (F.col("seq") == F.col("last"))).drop("last")
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        marked.filter(part).write.mode("append").parquet(inbox)
+        stream = v.spark.readStream.schema(marked.schema).parquet(inbox)
+        s.segment_stream(stream, out, checkpoint).awaitTermination()
+    runs = s.merged_segments(v.spark, out).unionByName(s.open_segments(v.spark, out)).select("job_id", "seq", "original_text", "n_lines", F.lit(False).alias("is_late"))
+    return runs.unionByName(s.late_lines(v.spark, out).select("job_id", "seq", "original_text", F.lit(1).cast("long").alias("n_lines"), F.lit(True).alias("is_late")))
 
 
 @query("edit_stream", EDITED + """
 SELECT s.job_id, s.id, CASE WHEN e.id IS NULL THEN s.translated_text ELSE e.translated_text END AS translated_text, e.id IS NOT NULL AS is_edited
 FROM segments s LEFT JOIN last_edits e ON e.job_id = s.job_id AND e.id = s.id""")
 def _(v):
-    inbox, log, checkpoint = (_folder(v, n) for n in ("inbox", "log", "checkpoint"))
+    inbox, log, checkpoint, table = (_folder(v, n) for n in ("inbox", "log", "checkpoint", "table"))
     edits = v.sql(_EDITS)
-    segments = v.segments
+    write_segments(v.segments, table)
+    segments = read_segments(v.spark, table, with_bucket=True)
     for turn in ("seq = 0", "seq > 0"):
         edits.filter(turn).write.mode("append").parquet(inbox)
         stream = v.spark.readStream.schema(edits.schema).parquet(inbox)

@@ -299,10 +299,10 @@ SELECT job_id, seq, start_time, CASE WHEN job_id % 3 = 0 THEN concat('new ', ori
 FROM segments WHERE (job_id % 3 > 0 OR seq % 2 = 0) AND job_id % 7 > 0""")
 def _(v):
     path = f"{shared_dir(v.spark)}/table-{uuid.uuid4().hex}"
-    files.write_segments(v.segments, path, buckets=64)
+    files.write_segments(v.segments, path)
     again = v.segments.filter("job_id % 3 = 0 AND seq % 2 = 0 AND job_id % 7 > 0").withColumn(
         "original_text", F.concat(F.lit("new "), F.col("original_text")))
-    files.write_segments(again, path, buckets=64, jobs=v.segments.filter("job_id % 3 = 0 OR job_id % 7 = 0").select("job_id").distinct())
+    files.write_segments(again, path, jobs=v.segments.filter("job_id % 3 = 0 OR job_id % 7 = 0").select("job_id").distinct())
     return files.read_segments(v.spark, path).select("job_id", "seq", "start_time", "original_text")
 
 

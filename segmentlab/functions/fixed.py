@@ -97,3 +97,13 @@ PUBLIC_VOICE_FIELDS = ["id", "name", "country", "flag", "lang", "gender"]
 VI_DONG, VI_PLUS, VI_EQUALS, VI_PERCENT, VI_DOLLARS, VI_AND = "đồng", "cộng", "bằng", "phần trăm", "đô la", "và"
 EN_PERCENT, EN_DOLLARS, EN_AND = "percent", "dollars", "and"
 VI_TIME_WORDS = ["ngày", "tháng", "năm", "giờ"]
+
+# Settings of a job that a watched folder queues, and the columns that older job tables lack with what they mean there.
+WATCH_SETTINGS = {
+    "target_lang": "Tiếng Việt", "target_style": "Tiêu chuẩn", "vram_profile": "16gb", "enable_lipsync": False, "enable_ocr": False,
+    "ocr_mode": "blur", "voice_mode": "multi", "voice_preset": "", "auto_resume": True,
+}
+JOB_DEFAULTS = {
+    "target_style": "Tiêu chuẩn", "enable_lipsync": False, "enable_ocr": True, "ocr_mode": "blur", "auto_resume": False,
+    "voice_mode": "multi", "voice_preset": "",
+}

@@ -37,15 +37,8 @@ def with_header(media: DataFrame) -> DataFrame:
         from pyarrow import fs
 
         def first_bytes(path: str) -> tuple[bytes | None, str | None]:
-            # Spark's names of object stores that have another one here.
-            for theirs, ours in STORE_SCHEMES.items():
-                if path.startswith(theirs):
-                    path = ours + path[len(theirs):]
             try:
-                if path.startswith("file:"):
-                    system, inner = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-                else:
-                    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                system, inner = _system(path, fs, quote)
                 with system.open_input_stream(inner) as stream:
                     return stream.read(HEADER_BYTES), None
             except (OSError, ValueError) as problem:
@@ -59,6 +52,44 @@ def with_header(media: DataFrame) -> DataFrame:
     return slim.mapInPandas(read, "path string, filename string, length bigint, head binary, read_error string")
 
 
+def with_content(files: DataFrame, folder: str) -> None:
+    """Writes ``filename, content`` as one file each into ``folder``; tasks write their own rows, and a repeated task the same files again."""
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, content in zip(batch["filename"], batch["content"]):
+                system, inner = _system(folder, fs, quote)
+                system.create_dir(inner, recursive=True)
+                with system.open_output_stream(f"{inner}/{name}") as stream:
+                    stream.write(bytes(content))
+            yield batch[["filename"]]
+
+    written = files.select("filename", "content").mapInPandas(put, "filename string")
+    written.write.format("noop").mode("overwrite").save()
+    spark = files.sparkSession
+    make_folder(spark, folder)
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """An empty folder, where no file made one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+def _system(path: str, fs, quote):
+    """The file system of ``path`` as tasks open it, and the path there."""
+    # Spark's names of object stores that have another one here.
+    for theirs, ours in STORE_SCHEMES.items():
+        if path.startswith(theirs):
+            path = ours + path[len(theirs):]
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 def validate_media(headers: DataFrame, max_bytes: int = fixed.MAX_MEDIA_BYTES) -> DataFrame:
     """``is_valid`` and ``reject_reason`` from ``head`` (first bytes) and ``length``."""
     head = F.col("head")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentlab.functions import text
 from segmentlab.operators import blocks
-from segmentlab.session import written
 
 # All as text, so that a number in quotes or a text without them is no reason to lose a document.
 _LINE = "array<struct<start:string,`end`:string,text:string,speaker:string,translated:string>>"
@@ -113,34 +114,31 @@ def job_bucket(job: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(job), F.lit(buckets)).cast("int")
 
 
-def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS, jobs: DataFrame | None = None) -> None:
-    """Replace all rows of ``jobs`` (of the jobs in ``segments`` if not given); other jobs stay as they are.
+def write_segments(segments: DataFrame, path: str, buckets: int = BUCKETS, jobs: DataFrame | None = None, version: int | None = None) -> int:
+    """Replace all rows of ``jobs`` (of the jobs in ``segments`` if not given); other jobs stay as they are. Gives the write version.
 
     A job of ``jobs`` without rows in ``segments`` is emptied.
 
-    The table is partitioned by a hash bucket of the job, so any number of jobs
-    means a fixed number of folders. Only buckets that hold a written job are
-    rewritten: their new content is first written to the shared folder, then put
-    in place of the old. A long job is spread over several files of its bucket.
+    Nothing is read or rewritten: a write adds its own lines under ``lines`` and then, which makes them count, one row per
+    written job under ``jobs``. Readers take the newest version of each job, so a write costs what it writes. A write that broke
+    off leaves lines that nobody reads. Both parts are in folders by version (the time of writing unless given; the same one again
+    replaces itself), the lines also by a hash bucket of the job; a long job is spread over several files. :func:`compact_segments` sheds old versions.
     """
-    spark = segments.sparkSession
-    fresh = segments.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
-    had = exists(spark, path)
-    if had:
-        touched = fresh.select("job_id", "job_bucket")
-        if jobs is not None:
-            touched = touched.unionByName(jobs.select("job_id", job_bucket(F.col("job_id"), buckets).alias("job_bucket")))
-        # Read below while the table is being written.
-        touched = written(touched.distinct(), "touched")
-        buckets_touched = touched.select("job_bucket").distinct()
-        old = blocks.lookup(spark.read.parquet(path), buckets_touched, ["job_bucket"], ["job_id", "seq"], "left_semi")
-        kept = blocks.lookup(old, touched.select("job_id"), ["job_id"], "seq", "left_anti")
-        fresh = kept.unionByName(fresh, allowMissingColumns=True)
-    ready = written(fresh, "segments").repartition("job_bucket", blocks.block_of(F.col("seq")))
-    (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("job_bucket").parquet(path))
-    if had and jobs is not None:
-        _drop_empty(spark, path, ready, touched)
+    version = time.time_ns() if version is None else version
+    bucket = job_bucket(F.col("job_id"), buckets).alias("job_bucket")
+    lines = segments.select("*", bucket).repartition("job_bucket", blocks.block_of(F.col("seq")))
+    lines.write.mode("overwrite").partitionBy("job_bucket").parquet(f"{path}/lines/write_version={version}")
+    named = segments.select("job_id")
+    if jobs is not None:
+        named = named.unionByName(jobs.select("job_id"))
+    # Thin rows: few files that hold their bucket as a column.
+    named.distinct().select("job_id", bucket).write.mode("overwrite").parquet(f"{path}/jobs/write_version={version}")
+    return version
+
+
+def compact_segments(spark: SparkSession, path: str, target: str, buckets: int = BUCKETS) -> None:
+    """The newest rows of the table at ``path`` as a new table of one version at ``target``; the old one stays as it is."""
+    write_segments(read_segments(spark, path), target, buckets, version=0)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -154,18 +152,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
-def _drop_empty(spark: SparkSession, path: str, ready: DataFrame, touched: DataFrame) -> None:
-    """Buckets of which nothing is left: a dynamic overwrite does not touch them. At most one row per bucket."""
-    left = touched.select("job_bucket").distinct().join(ready.select("job_bucket").distinct(), "job_bucket", "left_anti")
-    for row in left.collect():
-        system, place = _folder(spark, f"{path}/job_bucket={row.job_bucket}")
-        system.delete(place, True)
-
+def read_segments(spark: SparkSession, path: str, jobs: list | None = None, buckets: int = BUCKETS, with_bucket: bool = False) -> DataFrame:
+    """The written segments, of each job those of its newest write; a short list of jobs reads only their buckets.
 
-def read_segments(spark: SparkSession, path: str, jobs: list | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The written segments; a short list of jobs reads only their buckets."""
-    table = spark.read.parquet(path)
+    ``with_bucket`` keeps ``job_bucket``: a filter on it reads the folders of those buckets only.
+    """
+    lines, known = spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/jobs")
     if jobs is not None:
-        wanted = F.array(*[job_bucket(F.lit(j), buckets) for j in jobs])
-        table = table.filter(F.array_contains(wanted, F.col("job_bucket")) & F.col("job_id").isin(*jobs))
-    return table.drop("job_bucket")
+        wanted = sorted({r[0] for r in spark.createDataFrame([(j,) for j in jobs], ["job_id"]).select(
+            job_bucket(F.col("job_id").cast(known.schema["job_id"].dataType), buckets)).collect()})
+        chosen = F.col("job_bucket").isin(*wanted) & F.col("job_id").isin(*jobs)
+        lines, known = lines.filter(chosen), known.filter(chosen)
+    newest = known.groupBy("job_bucket", "job_id").agg(F.max("write_version").alias("write_version"))
+    current = blocks.lookup(lines, newest, ["job_bucket", "job_id", "write_version"], "seq", "left_semi").drop("write_version")
+    return current if with_bucket else current.drop("job_bucket")

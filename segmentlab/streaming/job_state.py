@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from segmentlab.functions import fixed
 
+if TYPE_CHECKING:
+    import pandas as pd
+
+#: State stores that hold timers and lists per key.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+STATES = "job_id {job}, status string, error string, started_at timestamp, updated_at timestamp, events long, is_open boolean"
+
 
 def current_job_state(events: DataFrame) -> DataFrame:
     """Latest status per job (``job_id, seq, status, updated_at``); on a stream use update mode.
@@ -16,20 +27,117 @@ def current_job_state(events: DataFrame) -> DataFrame:
         F.max_by("status", order).alias("status"), F.max("updated_at").alias("updated_at"))
 
 
+class _Sessions(StatefulProcessor):
+    """The spells of activity of one job, usually one, and a timer for the end of the first.
+
+    Events are folded piece by piece as they come, in any order, so a job with any share of a batch is never held as a whole.
+    """
+
+    def __init__(self, job_type: str, silence_ms: int):
+        self.job_type, self.silence = job_type, silence_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spells = handle.getListState("spells", "first long, last long, seq long, status string, events long")
+
+    def _pieces(self, rows: pd.DataFrame) -> Iterator[list]:
+        """Spells within one piece of the input, in order of time."""
+        at = rows["updated_at"].astype("datetime64[us]").astype("int64")
+        rows = rows.assign(_at=at).sort_values(["_at", "seq"], kind="stable")
+        opens = rows["_at"].diff().fillna(self.silence * 1000 + 1) > self.silence * 1000
+        for _, spell in rows.groupby(opens.cumsum().to_numpy(), sort=True):
+            final = spell.iloc[-1]
+            yield [int(spell["_at"].iloc[0]), int(final["_at"]), int(final["seq"]), final["status"], len(spell)]
+
+    def _merged(self, spells: list[list]) -> list[list]:
+        out: list[list] = []
+        for spell in sorted(spells, key=lambda s: s[0]):
+            if out and spell[0] - out[-1][1] <= self.silence * 1000:
+                held = out[-1]
+                if (spell[1], spell[2]) > (held[1], held[2]):
+                    held[1:4] = spell[1:4]
+                held[4] += spell[4]
+            else:
+                out.append(list(spell))
+        return out
+
+    def _rows(self, key, spells: list[list], is_open: bool) -> pd.DataFrame:
+        import pandas as pd
+
+        final = [s[3] if is_open else "FAILED" if s[3] in fixed.RUNNING_STATUSES else "CANCELLED" if s[3] == "CANCELLING" else s[3] for s in spells]
+        error = [None if is_open or s[3] not in fixed.RUNNING_STATUSES else fixed.TIMEOUT_ERROR for s in spells]
+        return pd.DataFrame({
+            "job_id": [key[0]] * len(spells), "status": final, "error": error,
+            "started_at": pd.to_datetime([s[0] for s in spells], unit="us"), "updated_at": pd.to_datetime([s[1] for s in spells], unit="us"),
+            "events": [s[4] for s in spells], "is_open": [is_open] * len(spells)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = [list(s) for s in self.spells.get()]
+        spells = [list(s) for s in before]
+        for piece in rows:
+            spells = self._merged([*spells, *self._pieces(piece)])
+        self.spells.put([tuple(s) for s in spells])
+        # A job with spells has a timer at or before the end of its first one.
+        if not before or self._due(spells[0]) < self._due(before[0]):
+            self.handle.registerTimer(self._due(spells[0]))
+        # Only the last spell is the job's present state; earlier ones wait for their end.
+        yield self._rows(key, spells[-1:], True)
+
+    def _due(self, spell: list) -> int:
+        """The watermark (in ms) that ends the spell."""
+        return -(-spell[1] // 1000) + self.silence
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        spells = [list(s) for s in self.spells.get()]
+        ended = [s for s in spells if self._due(s) <= now]
+        left = [s for s in spells if self._due(s) > now]
+        if left:
+            if ended:
+                self.spells.put([tuple(s) for s in left])
+            self.handle.registerTimer(self._due(left[0]))
+        else:
+            self.spells.clear()
+        if ended:
+            yield self._rows(key, ended, False)
+
+    def close(self) -> None:
+        pass
+
+
 def job_state_stream(events: DataFrame, hours: int = 2, lateness: str = "10 minutes") -> DataFrame:
-    """The state each job is left in after ``hours`` without an event.
+    """The state of every job from its events (``job_id, seq, status, updated_at``), as a stream in update mode.
 
-    A session window per job holds the state and is closed by the watermark, so no
-    timer and no Python state is needed. A job left running has timed out, one left
-    cancelling is cancelled; any other state is final as it is. If events come
-    later, a new session begins. Events more than ``lateness`` behind are dropped by
-    the watermark and counted in the query's progress.
+    A job with events in a batch gives a row with its present status (``is_open``). After ``hours`` without an event
+    its timer gives one more row: a job left running has timed out, one left cancelling is cancelled, any other
+    status is final as it is; then nothing of it is kept. Events that come later begin a new spell.
+    Events more than ``lateness`` behind are dropped by the watermark and counted in the query's progress; nearer ones may
+    come in any order. Events without job_id or time belong to no job.
     """
-    timed = events.withWatermark("updated_at", lateness)
-    sessions = timed.groupBy("job_id", F.session_window("updated_at", f"{hours} hours").alias("_w")).agg(
-        F.max_by("status", F.struct("updated_at", "seq")).alias("_last"),
-        F.max("updated_at").alias("updated_at"), F.count("*").alias("events"))
-    timed_out = F.col("_last").isin(*fixed.RUNNING_STATUSES)
-    status = F.when(timed_out, "FAILED").when(F.col("_last") == "CANCELLING", "CANCELLED").otherwise(F.col("_last"))
-    return sessions.select(
-        "job_id", status.alias("status"), F.when(timed_out, fixed.TIMEOUT_ERROR).alias("error"), "updated_at", "events")
+    job_type = events.schema["job_id"].dataType.simpleString()
+    timed = events.where("job_id IS NOT NULL AND updated_at IS NOT NULL").select(
+        "job_id", F.coalesce(F.col("seq").cast("long"), F.lit(0).cast("long")).alias("seq"), "status", "updated_at").withWatermark("updated_at", lateness)
+    return timed.groupBy("job_id").transformWithStateInPandas(
+        _Sessions(job_type, hours * 3_600_000), STATES.format(job=job_type), "Update", "EventTime")
+
+
+def write_job_states(states: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes each batch of :func:`job_state_stream` to its own folder, so a repeated batch changes nothing."""
+    for key, value in STORE.items():
+        states.sparkSession.conf.set(key, value)
+    return states.writeStream.outputMode("update").foreachBatch(
+        lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    ).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def job_states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every job: running, timed out or finished, at one time. The end of a spell follows its last event."""
+    order = F.struct("updated_at", (~F.col("is_open")).alias("ended"), "batch")
+    versions = spark.read.parquet(path)
+    kept = [c for c in versions.columns if c not in ("job_id", "batch")]
+    return versions.groupBy("job_id").agg(F.max_by(F.struct(*kept), order).alias("_s")).select("job_id", "_s.*")
+
+
+def ended_spells(spark: SparkSession, path: str) -> DataFrame:
+    """Every spell that has ended, once."""
+    return spark.read.parquet(path).where("NOT is_open").drop("batch", "is_open")

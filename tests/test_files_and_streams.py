@@ -1,7 +1,9 @@
 """Sources, sinks and streams on temporary folders."""
 
+import datetime
 import json
 import os
+import re
 import time
 
 import pytest
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from segmentlab.operators import transcripts as t
 from segmentlab.sources import media, transcripts, voices
 from segmentlab.streaming import segments as s
-from segmentlab.streaming.watch import job_log, watch_batch, watch_stream
+from segmentlab.streaming import job_state
+from segmentlab.streaming.edits import judged_edits
+from segmentlab.streaming.watch import compact_log, job_log, watch_batch, watch_stream
 
 SEGMENT = "job_id string, seq long, start_time double, end_time double, original_text string, translated_text string, speaker string"
 
@@ -54,6 +58,10 @@ def test_a_large_document_is_read_whole(spark):
     assert transcripts.transcript_rejects(documents).count() == 0
 
 
+def stored(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
 def test_write_replaces_only_the_written_jobs(spark, tmp_path):
     path = str(tmp_path / "segments")
     first = spark.createDataFrame([(f"j{j}", i, 0.0, 1.0, "old", None, None) for j in range(6) for i in range(3)], SEGMENT)
@@ -68,6 +76,53 @@ def test_write_replaces_only_the_written_jobs(spark, tmp_path):
     emptied = spark.createDataFrame([("j2",), ("j3",), ("j4",), ("j5",), ("j0",)], "job_id string")
     transcripts.write_segments(first.limit(0), path, buckets=4, jobs=emptied)
     assert {r.job_id for r in transcripts.read_segments(spark, path).collect()} == {"j1", "j9"}
+    transcripts.compact_segments(spark, path, str(tmp_path / "slim"), buckets=4)
+    slim = transcripts.read_segments(spark, str(tmp_path / "slim"))
+    assert sorted(r.job_id for r in slim.collect()) == ["j1", "j9"]
+    assert stored(tmp_path / "slim") < stored(path)
+
+
+def test_a_write_costs_what_it_writes(spark, tmp_path):
+    """The bytes of replacing one job do not depend on the other jobs in the table, nor does a repeated write add any."""
+    sizes = []
+    for others in (20, 400):
+        path = str(tmp_path / f"t{others}")
+        rows = [(f"j{j}", i, 0.0, 1.0, f"text {j} {i}", None, None) for j in range(others) for i in range(5)]
+        transcripts.write_segments(spark.createDataFrame(rows, SEGMENT), path, buckets=8)
+        before = stored(path)
+        one = spark.createDataFrame([("j3", 0, 0.0, 1.0, "new", None, None)], SEGMENT).coalesce(1)
+        version = transcripts.write_segments(one, path, buckets=8)
+        sizes.append(stored(path) - before)
+        transcripts.write_segments(one, path, buckets=8, version=version)
+        assert stored(path) - before == sizes[-1]
+        assert transcripts.read_segments(spark, path).count() == (others - 1) * 5 + 1
+    assert sizes[0] == sizes[1]
+
+
+def test_a_write_that_broke_off_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 0, 0.0, 1.0, "old", None, None)], SEGMENT)
+    transcripts.write_segments(rows, path, buckets=2, version=1)
+    transcripts.write_segments(rows.withColumn("original_text", F.lit("new")), path, buckets=2, version=2)
+    import shutil
+
+    shutil.rmtree(f"{path}/jobs/write_version=2")
+    assert [r.original_text for r in transcripts.read_segments(spark, path).collect()] == ["old"]
+
+
+def test_edits_read_only_the_buckets_of_their_jobs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"j{j}", i, 0.0, 1.0, "x", None, None) for j in range(60) for i in range(3)]
+    segments = spark.createDataFrame(rows, SEGMENT).withColumn("id", F.xxhash64("job_id", "seq"))
+    transcripts.write_segments(segments, path, buckets=32)
+    table = transcripts.read_segments(spark, path, with_bucket=True)
+    batch = segments.filter("job_id = 'j7' AND seq < 2").select("job_id", "id", "seq", F.lit("edit").alias("translated_text"))
+    judged = judged_edits(batch, table, buckets=32)
+    assert [r._known for r in judged.collect()] == [True, True]
+    bucket = spark.range(1).select(transcripts.job_bucket(F.lit("j7"), 32)).first()[0]
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    filters = [f for f in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan) if "job_bucket" in f]
+    assert filters and all(f"= {bucket})" in f for f in filters)
 
 
 def test_export_and_read_back(spark, tmp_path):
@@ -92,30 +147,70 @@ def test_voices(spark, tmp_path):
     assert [r.id for r in voices.usable_presets(voices.read_catalogue(spark, path), listing).collect()] == ["v1"]
 
 
-def test_segment_stream_with_ends_and_late_lines(spark, tmp_path):
-    inbox, out, state, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state", "cp"))
-    schema = SEGMENT + ", is_last boolean"
-    batches = [
-        [("a", 0, 0.0, 1.0, "a0", None, "X", False), ("a", 1, 1.0, 2.0, "a1", None, "X", False), ("b", 0, 0.0, 1.0, "b0", None, None, False)],
-        [("a", 2, 2.5, 3.0, "a2", None, "X", False), ("a", 3, 9.0, 9.5, "a3", None, "X", False), ("a", 1, 1.0, 2.0, "late", None, "X", False)],
-        [("b", 1, 1.2, 2.0, "b1", None, None, True)],
-    ]
+LINE = SEGMENT + ", is_last boolean"
+
+
+def run_batches(spark, tmp_path, batches, **options):
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
-        s.segment_stream(spark.readStream.schema(schema).parquet(inbox), out, state, checkpoint).awaitTermination()
-    merged = spark.read.parquet(f"{out}/merged")
-    assert sorted((r.batch, r.original_text) for r in merged.collect()) == [(1, "a0 a1 a2"), (2, "b0 b1")]
-    assert [r.original_text for r in s.open_segments(spark, state, 2).collect()] == ["a3"]
-    assert [(r.job_id, r.seq) for r in spark.read.parquet(f"{out}/late").collect()] == [("a", 1)]
+        spark.createDataFrame(rows, LINE).coalesce(1).write.mode("append").parquet(inbox)
+        s.segment_stream(spark.readStream.schema(LINE).parquet(inbox), out, checkpoint, **options).awaitTermination()
+    return out
 
 
-def test_a_repeated_batch_gives_the_same_rows(spark, tmp_path):
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    lines = [spark.createDataFrame([("a", i, float(i), i + 0.9, f"w{i}", None, None, False)], SEGMENT + ", is_last boolean") for i in range(3)]
-    for n in (0, 1, 1, 2, 2):
-        s.merge_batch(lines[n], n, out, state)
-    assert [r.original_text for r in s.open_segments(spark, state, 2).collect()] == ["w0 w1 w2"]
-    assert spark.read.parquet(f"{out}/merged").count() == 0
+def test_segment_stream_with_ends_and_late_lines(spark, tmp_path):
+    out = run_batches(spark, tmp_path, [
+        [("a", 0, 0.0, 1.0, "a0", None, "X", False), ("a", 1, 1.0, 2.0, "a1", None, "X", False), ("b", 0, 0.0, 1.0, "b0", None, None, False)],
+        [("a", 2, 2.5, 3.0, "a2", None, "X", False), ("a", 3, 9.0, 9.5, "a3", None, "X", None), ("a", 1, 1.0, 2.0, "late", None, "X", False)],
+        [("b", 1, 1.2, 2.0, "b1", None, None, True), (None, 1, 1.2, 2.0, "no job", None, None, True)],
+        [("b", 2, 2.2, 3.0, "b2", None, None, False)],
+    ])
+    assert sorted(r.original_text for r in s.merged_segments(spark, out).collect()) == ["a0 a1 a2", "b0 b1"]
+    assert [r.original_text for r in s.open_segments(spark, out).collect()] == ["a3"]
+    assert sorted((r.job_id, r.seq) for r in s.late_lines(spark, out).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_segment_stream_puts_overtaken_lines_in_order(spark, tmp_path):
+    line = lambda i: ("a", i, float(i), i + 0.9, f"w{i}", None, None, i == 5)
+    out = run_batches(spark, tmp_path, [[line(1), line(0)], [line(3)], [line(2)], [line(5), line(4)]], reorder=2)
+    assert [r.original_text for r in s.merged_segments(spark, out).collect()] == ["w0 w1 w2 w3 w4 w5"]
+    assert s.late_lines(spark, out).count() == 0 and s.open_segments(spark, out).count() == 0
+
+
+def test_a_batch_of_lines_costs_what_it_holds(spark, tmp_path):
+    """What a batch writes does not depend on the number of jobs that wait."""
+    sizes = []
+    for idle in (5, 200):
+        lines = [(f"j{j}", 0, 0.0, 1.0, "waits", None, None, False) for j in range(idle)]
+        out = run_batches(spark, tmp_path / str(idle), [lines, [("j1", 1, 1.0, 2.0, "goes on", None, None, False)]])
+        newest = max(int(f.split("=")[1]) for f in os.listdir(out) if f.startswith("batch=") and stored(f"{out}/{f}"))
+        sizes.append(stored(f"{out}/batch={newest}"))
+        assert s.open_segments(spark, out).count() == idle
+    assert sizes[0] == sizes[1]
+
+
+def test_job_states_run_and_time_out(spark, tmp_path):
+    schema = "job_id string, seq long, status string, updated_at timestamp"
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+
+    def batch(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = job_state.job_state_stream(spark.readStream.schema(schema).parquet(inbox))
+        query = job_state.write_job_states(stream, out, checkpoint)
+        query.awaitTermination()
+        return {r.job_id: (r.status, r.error, r.is_open, r.events) for r in job_state.job_states(spark, out).collect()}, query
+
+    states, _ = batch(("a", 1, "PROCESSING", at(1)), ("b", 2, "CANCELLING", at(1)), ("c", 3, "COMPLETED", at(1)), ("d", 5, "AWAITING_REVIEW", at(1, 5)), ("d", 4, "PROCESSING", at(1)))
+    assert states == {"a": ("PROCESSING", None, True, 1), "b": ("CANCELLING", None, True, 1), "c": ("COMPLETED", None, True, 1), "d": ("AWAITING_REVIEW", None, True, 2)}
+    states, _ = batch(("d", 6, "PROCESSING_PHASE2", at(2)), ("e", 7, "QUEUED", at(3, 15)))
+    assert states["a"] == ("FAILED", "Job timed out", False, 1) and states["b"] == ("CANCELLED", None, False, 1) and states["c"] == ("COMPLETED", None, False, 1)
+    assert states["d"] == ("PROCESSING_PHASE2", None, True, 3) and states["e"] == ("QUEUED", None, True, 1)
+    # An event of a job that has timed out opens a new spell; one far behind is dropped and counted.
+    states, query = batch(("a", 8, "PROCESSING", at(3, 20)), ("d", 9, "COMPLETED", at(1, 30)))
+    assert states["a"] == ("PROCESSING", None, True, 1) and states["d"][0] == "PROCESSING_PHASE2"
+    assert sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]) == 1
+    assert sorted((r.job_id, r.status) for r in job_state.ended_spells(spark, out).collect()) == [("a", "FAILED"), ("b", "CANCELLED"), ("c", "COMPLETED")]
 
 
 def test_watch_stream(spark, tmp_path):
@@ -125,15 +220,21 @@ def test_watch_stream(spark, tmp_path):
     for name in ("a.mp4", "b.txt", "c.mkv"):
         (folder / name).write_bytes(b"x")
         os.utime(folder / name, (time.time() - 60,) * 2)
-    watch_stream(spark, str(folder), str(taken), jobs_path, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert sorted(r.filename for r in job_log(spark, jobs_path).collect()) == ["a.mp4", "c.mkv"]
+    watch_stream(spark, str(folder), str(taken), jobs_path, str(tmp_path / "cp"), once=True, settings={"enable_ocr": True, "target_lang": "English"}).awaitTermination()
+    rows = job_log(spark, jobs_path).collect()
+    assert sorted(r.filename for r in rows) == ["a.mp4", "c.mkv"]
+    assert {(r.status, r.target_lang, r.enable_ocr, r.ocr_mode, r.auto_resume) for r in rows} == {("QUEUED", "English", True, "blur", True)}
     (folder / "d.mov").write_bytes(b"x")
     watch_batch(spark, str(folder), str(taken), jobs_path, 1)  # too fresh
     assert job_log(spark, jobs_path).count() == 2
     os.utime(folder / "d.mov", (time.time() - 60,) * 2)
-    watch_batch(spark, str(folder), str(taken), jobs_path, 2)
-    assert {r.status for r in job_log(spark, jobs_path).collect()} == {"QUEUED"}
-    assert job_log(spark, jobs_path).count() == 3
+    for _ in range(2):  # a repeated batch changes nothing
+        watch_batch(spark, str(folder), str(taken), jobs_path, 2)
+        assert job_log(spark, jobs_path).count() == 3
+    with pytest.raises(ValueError):
+        watch_batch(spark, str(folder), str(taken), jobs_path, 3, settings={"unknown": 1})
+    compact_log(spark, jobs_path, str(tmp_path / "slim"))
+    assert job_log(spark, str(tmp_path / "slim")).count() == 3
 
 
 def test_long_white_space_before_a_document(spark):
