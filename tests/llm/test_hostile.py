@@ -4,9 +4,10 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
-from segmentlab.llm import pii, radix, secret_scan
+from segmentlab.llm import pii, radix, secret_scan, templates
 
 
 def within(seconds, call):
@@ -66,3 +67,9 @@ def test_smallest_doc_id(spark, docs):
     assert rows == {low: 2**63 - 1, 5: 2**63 - 1, 2**63 - 1: 2**63 - 1}
     rows = {r.doc_id: r.keep_id for r in radix.exact_dedup(docs([(low, "same"), (5, "same")])).collect()}
     assert rows == {low: low, 5: low}
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 150_000 + "x", "<b>" * 200_000 + "x", "<div><p>" * 80_000, "<ul><li>" * 80_000, "<!" * 500_000, "<!--" * 250_000,
+                                  "<div><b>" * 60_000 + "</p>" * 100_000, '<a ">" ' * 140_000 + "'", "<script>" * 120_000, "<a class='" * 100_000])
+def test_pages_that_never_close(html):
+    within(10, lambda: templates.main_text(html, np.zeros(0, "int64")))

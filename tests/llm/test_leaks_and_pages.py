@@ -1,6 +1,8 @@
 """Benchmark leaks by tiling, and text of pages by templates."""
 
 import random
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -105,12 +107,104 @@ def test_equivalence_classes(spark):
     pages = spark.createDataFrame([(i, "http://a.b/c", f"<html><body><div class=m><p>Same line</p><p>own {i}</p></div><ul>{'<li>x</li>' * i}</ul></body></html>") for i in range(1, 6)],
                                   "page_id long, url string, html string")
     tokens = {r.token for r in templates.deduce_templates(pages).collect()}
-    number = lambda t: int(templates._number([t])[0])
-    assert {number(t) for t in (">html", ">html>body", ">html>body>div.m", ">html>body>div.m>p|Same line")} <= tokens
+
+    def number(*labels):
+        above = 0
+        for label in labels:
+            above = templates.number(above, label)
+        return above
+
+    body = (">html", ">body")
+    assert {number(*t) for t in (body[:1], body, (*body, ">div.m"), (*body, ">div.m", ">p", "|Same line"))} <= tokens
     # Two paragraphs in every page and a changing number of items are other vectors.
-    assert number(">html>body>ul>li") not in tokens and number(">html>body>div.m>p|own 1") not in tokens
+    assert number(*body, ">ul", ">li") not in tokens and number(*body, ">div.m", ">p", "|own 1") not in tokens
 
 
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert templates.extract(none).collect() == []
+
+
+@pytest.mark.parametrize("html", [
+    "<div class='page no-sidebar'><article><p>x y</p></article></div>", "<form id=aspnetForm><main><p>x y</p></main></form>",
+    "<div id='main-menu-wrapper'><article>x y</article></div>", "<div class='has-header-ad'><main>x y</main></div>",
+    "<div class='layout with-sidebar'><article>x y</article></div>", "<article class='post tags-news'>x y</article>",
+    "<article><p class='share-price'>x y</p></article>", "<article><p class='related-work'>x y</p></article>", "<main><p class='alert-free'>x y</p></main>",
+    "<div class=sidebar><article>x y</article></div><div class=comments><article class=comment>no</article></div>",
+    "<article>x y<section class=comments><article class=comment>a long comment</article></section></article>",
+    "<aside class='related-posts'><article>a long teaser of another page</article></aside><article>x y</article>",
+    "<div class=siteFooter>no</div><div class='ad-slot-2'>no</div><ul id=sidebar-left><li>no</ul><main>x y</main>",
+    "<article>x y<div class='newsletter-box'>no</div><p style='display: none'>no</p></article>"])
+def test_wrappers_and_names(html):
+    assert templates.main_text(html, np.zeros(0, "int64")) == "x y"
+
+
+def brute_template(pages):
+    """Template of one host from (token, above) of each page in order, by whole vectors and dictionaries."""
+    counts = [Counter(t for t, _ in p) for p in pages]
+    above = defaultdict(set)
+    for p in pages:
+        for t, a in p:
+            above[t].add(a)
+    groups = defaultdict(list)
+    for t in above:
+        vector = tuple(c[t] for c in counts)
+        if sum(n > 0 for n in vector) >= max(templates.SUPPORT, len(pages) * templates.SHARE):
+            groups[vector].append(t)
+    ordered = set()
+    for tokens in (g for g in groups.values() if len(g) >= templates.CLASS):
+        ranks = defaultdict(set)
+        for p, c in zip(pages, counts):
+            if c[tokens[0]]:
+                first = {}
+                for at, (t, _) in enumerate(p):
+                    first.setdefault(t, at)
+                for rank, t in enumerate(sorted(tokens, key=first.get)):
+                    ranks[t].add(rank)
+        ordered |= {t for t, r in ranks.items() if len(r) == 1}
+    return {t for t in ordered if min(above[t]) == 0 or min(above[t]) in ordered}
+
+
+class Plain(HTMLParser):
+    """Paragraphs and headings of the article of a well-formed page, in order."""
+    def __init__(self, html):
+        super().__init__()
+        self.inside, self.blocks = 0, []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.inside and tag in ("p", "h1", "div"):
+            self.blocks.append([tag, ""])
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and data.strip():
+            self.blocks[-1][1] += data
+
+
+def test_template_against_brute_force(spark):
+    """Random hosts: notices of any class that a host repeats inside its articles go, copies of whole articles stay."""
+    rng, rows, want = random.Random(5), [], {}
+    for host in range(6):
+        notice, n = " ".join(rng.choices(WORDS, k=rng.choice([3, 60]))), rng.randint(4, 12)
+        same = " ".join(rng.choices(WORDS, k=200)) if host == 5 else None
+        for i in range(n):
+            own = [same or " ".join(rng.choices(WORDS, k=rng.randint(90, 150))) for _ in range(rng.randint(1, 4) if not same else 1)]
+            parts = [f"<p>{t}</p>" for t in own]
+            parts.insert(host % 2 * len(parts), f"<div class=x{host}>{notice}</div>")
+            html = f"<html><body><nav><ul>{'<li>m</li>' * rng.randint(1, 3)}</ul></nav><article><h1>Same head</h1>{''.join(parts)}</article><footer>f</footer></body></html>"
+            page_id = host * 100 + i
+            rows.append((page_id, f"http://h{host}/", html))
+            kept = [(t, x) for t, x in Plain(html).blocks]
+            assert ("div", notice) in kept
+            want[page_id] = "\n".join(x for t, x in kept if same or t != "div")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = defaultdict(set)
+    for r in templates.deduce_templates(pages).collect():
+        got[r.host].add(r.token)
+    for host in range(6):
+        assert got[f"h{host}"] == brute_template([list(zip(*templates.page_tokens(h))) for p, _, h in rows if p // 100 == host]), host
+    assert {r.page_id: r.text for r in templates.extract(pages).collect()} == want
