@@ -11,7 +11,7 @@ from segmentlab.functions import fixed
 from segmentlab.checks.views import NOT_SPACE, SPACE
 from segmentlab.functions.text import WRONG_SCRIPT
 from segmentlab.operators import normalize as n
-from segmentlab.plans.corpus_text import hit_report, normalize_corpus
+from segmentlab.plans.corpus_text import RULES, hit_report, normalize_corpus
 
 D = r"\p{Nd}"
 LETTER = "[A-Za-zÀ-ỹ]"
@@ -32,9 +32,11 @@ def bare(text: str) -> str:
     return squeezed(sub(text, (WRONG_SCRIPT, ""), (f"{SPACE}+([,.;:!?])", r"\1")))
 
 
+ADDRESS = rf"(?i)https?://{NOT_SPACE}+|www\.{NOT_SPACE}+|\b[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+\b"
+
+
 def cleaned(text: str) -> str:
-    address = (rf"(?i)https?://{NOT_SPACE}+|www\.{NOT_SPACE}+|\b[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+\b")
-    return sub(f"nfc_normalize({text})", (address, " "), (f"({LETTER})({D})", r"\1 \2"), (f"({D})({LETTER})", r"\1 \2"))
+    return sub(f"nfc_normalize({text})", (ADDRESS, " "), (f"({LETTER})({D})", r"\1 \2"), (f"({D})({LETTER})", r"\1 \2"))
 
 
 def ranged(text: str, joiner: str) -> str:
@@ -219,12 +221,12 @@ def phones(name: str, source: str) -> str:
     is_phone = f"length({digits}) >= 10 OR length({digits}) = 9 AND ({digits}[1] = '0' OR m.tok[1] = '+')"
     return f"""
 {name}_w AS (
-  SELECT doc_id, '' AS done, text AS rest FROM {source}
+  SELECT doc_id, '' AS done, text AS rest, 0 AS n FROM {source}
   UNION ALL
   SELECT doc_id, done || m.pre || CASE WHEN {is_phone} THEN ' ' || {spelled(digits, fixed.VI_DIGITS)} || ' ' ELSE m.tok END,
-         substr(rest, length(m.pre) + length(m.tok) + 1)
+         substr(rest, length(m.pre) + length(m.tok) + 1), n + CASE WHEN {is_phone} THEN 1 ELSE 0 END
   FROM (SELECT *, regexp_extract(rest, '{PHONE}', ['pre', 'tok']) AS m FROM {name}_w) w WHERE m.tok <> ''),
-{name} AS (SELECT s.* EXCLUDE (text), done || rest AS text FROM {source} s JOIN {name}_w w ON w.doc_id = s.doc_id
+{name} AS (SELECT s.* EXCLUDE (text), done || rest AS text, n AS phones FROM {source} s JOIN {name}_w w ON w.doc_id = s.doc_id
            WHERE NOT regexp_matches(rest, '{PHONE}'))"""
 
 
@@ -287,12 +289,26 @@ def _(v):
     return normalize_corpus(v.rich, "text", "lang").select("doc_id", "lang", "text")
 
 
-@query("normalize_hits", RICH + f""", spoken AS ({_SPOKEN})
-SELECT lang, count(*) AS texts,
-       sum(CASE WHEN lang = 'vi' THEN len(regexp_extract_all(text, '{WRONG_SCRIPT}')) ELSE 0 END)::BIGINT AS hit_script,
-       sum(CASE WHEN lang IN ('vi', 'en') THEN len(regexp_extract_all(text, '{D}{SPACE}*%')) ELSE 0 END)::BIGINT AS hit_percent,
-       sum(CASE WHEN lang IN ('vi', 'en') THEN len(regexp_extract_all(text, '{NUMBER}')) ELSE 0 END)::BIGINT AS hit_numbers
-FROM spoken GROUP BY lang""")
+@query("normalize_hits", RICH.replace("WITH", "WITH RECURSIVE", 1) + f""", spoken AS ({_SPOKEN}),
+clean AS (SELECT doc_id, lang, {cleaned('text')} AS text FROM spoken),
+script AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{WRONG_SCRIPT}') THEN {bare('text')} ELSE text END AS text FROM clean WHERE lang = 'vi'),
+{phones('dialled', 'script')},
+ready AS (SELECT doc_id, {late(ranged(early('text'), 'đến'))} AS text FROM dialled),
+ready_en AS (SELECT doc_id, {english(ranged('text', 'to'))} AS text FROM clean WHERE lang = 'en'),
+{tokens_of('tokens', 'ready', NUMBER)}, {tokens_of('tokens_en', 'ready_en', NUMBER)},
+{TRIPLETS}, {vi_words('tokens')}, {en_words('tokens_en')},
+{replaced('numbered', 'ready', NUMBER, 'words_vi', "' ' || w.said || ' '")},
+said_en AS (SELECT count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{NUMBER}')) AS token FROM ready_en) t JOIN words_en w ON w.token = t.token WHERE w.said IS NOT NULL),
+hits AS (
+  SELECT lang, 'addresses' AS rule, sum(len(regexp_extract_all(nfc_normalize(text), '{ADDRESS}'))) AS n FROM spoken GROUP BY lang
+  UNION ALL SELECT lang, 'script', sum(len(regexp_extract_all(text, '{WRONG_SCRIPT}'))) FROM clean WHERE lang = 'vi' GROUP BY lang
+  UNION ALL SELECT 'vi', 'phones', sum(phones) FROM dialled
+  UNION ALL SELECT 'vi', 'percent', sum(len(regexp_extract_all({ranged(early('text'), 'đến')}, '{D}{SPACE}*%'))) FROM dialled
+  UNION ALL SELECT lang, 'percent', sum(len(regexp_extract_all({ranged('text', 'to')}, '{D}{SPACE}*%'))) FROM clean WHERE lang = 'en' GROUP BY lang
+  UNION ALL SELECT 'vi', 'numbers', sum(len(regexp_extract_all(text, '{NUMBER}'))) FROM ready
+  UNION ALL SELECT 'en', 'numbers', n FROM said_en
+  UNION ALL SELECT 'vi', 'acronyms', sum(len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,4}}')))) FROM numbered)
+SELECT t.*, h.* EXCLUDE (lang) FROM (SELECT lang, count(*) AS texts FROM spoken GROUP BY lang) t JOIN
+  (SELECT lang, {', '.join(f"sum(CASE WHEN rule = '{r}' THEN n ELSE 0 END)::BIGINT AS hit_{r}" for r in RULES)} FROM hits GROUP BY lang) h ON h.lang = t.lang""")
 def _(v):
-    normalized = normalize_corpus(v.sql(_SPOKEN, "rich"), "text", "lang")
-    return hit_report(normalized, "lang").select("lang", "texts", "hit_script", "hit_percent", "hit_numbers")
+    return hit_report(normalize_corpus(v.sql(_SPOKEN, "rich"), "text", "lang"), "lang")

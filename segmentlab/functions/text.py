@@ -62,22 +62,27 @@ def without_wrong_script(text: Column) -> Column:
 
 
 def map_tokens(df: DataFrame, col: str, pattern: str, spoken: Callable[[Column], Column],
-               where: Column | None = None) -> DataFrame:
+               where: Column | None = None, hits: str | None = None) -> DataFrame:
     """Replace every match of ``pattern`` in ``col`` by its entry in ``spoken(matches)``.
 
     The text is cut into literals and matches and put together again inside
     the row, so no row leaves its partition. Rows outside ``where`` keep their
-    text. The matches get a column of their own so that they are found once.
+    text. The matches get a column of their own so that they are found once. A column
+    ``hits``, if named, tells how many matches were replaced by something else.
     """
     found = F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(0))
     nothing = F.array().cast("array<string>")
     tokens = df.withColumn("_tokens", found if where is None else F.when(where, found).otherwise(nothing))
+    said = tokens.withColumn("_said", spoken(F.col("_tokens")))
+    if hits is not None:
+        changes = F.zip_with("_tokens", "_said", lambda token, new: ~token.eqNullSafe(new))
+        said = said.withColumn(hits, F.coalesce(F.size(F.filter(changes, lambda c: c)), F.lit(0)).cast("bigint"))
     pieces = F.zip_with(
-        F.split(F.col(col), pattern), spoken(F.col("_tokens")),
+        F.split(F.col(col), pattern), F.col("_said"),
         lambda literal, token: F.concat(literal, F.coalesce(token, F.lit(""))),
     )
     changed = F.when(F.size("_tokens") > 0, F.array_join(pieces, "")).otherwise(F.col(col))
-    return tokens.withColumn(col, changed).drop("_tokens")
+    return said.withColumn(col, changed).drop("_tokens", "_said")
 
 
 def _char_class(ranges: list[tuple[int, int]], negated: bool = False) -> str:

@@ -6,7 +6,7 @@ file name or job with any number of rows is no hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentlab.functions import fixed
@@ -53,10 +53,22 @@ def apply_status_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def latest_job(jobs: DataFrame, filenames: DataFrame | None = None) -> DataFrame:
-    """Latest job per file name (``created_at``, then ``job_id``), of all or of the given names."""
+    """Latest job per file name (``created_at``, then ``job_id``), of all or of the given names; ``job_id`` is the key of ``jobs``.
+
+    Chosen from names, times and ids alone: a hash aggregate finds the newest time of a name, ties are cut to one row
+    before and after the shuffle; the wide rows are then read by their key and never sorted or aggregated.
+    """
+    asked = jobs
     if filenames is not None:
-        jobs = blocks.lookup(jobs, filenames.select("filename").distinct(), ["filename"], "job_id", "left_semi")
-    return _last_row(jobs, ["filename"], F.struct("created_at", "job_id"))
+        asked = blocks.lookup(jobs, filenames.select("filename").distinct(), ["filename"], "job_id", "left_semi")
+    newest = asked.groupBy("filename").agg(F.max("created_at").alias("_newest"))
+    at_newest = F.col("filename").eqNullSafe(F.col("_name")) & F.col("created_at").eqNullSafe(F.col("_newest"))
+    tied = jobs.select("filename", "created_at", "job_id").join(newest.withColumnRenamed("filename", "_name"), at_newest, "left_semi")
+    first = Window.partitionBy("filename").orderBy(F.col("job_id").desc())
+    chosen = tied.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(
+        F.col("job_id").alias("_id"), F.col("created_at").alias("_at"), F.col("filename").alias("_name"))
+    same = F.col("job_id").eqNullSafe(F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_at")) & F.col("filename").eqNullSafe(F.col("_name"))
+    return jobs.join(chosen, same, "left_semi")
 
 
 def jobs_by_id(jobs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -50,16 +50,16 @@ def number_vocabulary(df: DataFrame, col: str, lang: str) -> DataFrame:
     return counts.withColumn("words", F.coalesce(said, F.col("token")))
 
 
-def expand_numbers(df: DataFrame, col: str, lang: str, where: Column | None = None) -> DataFrame:
-    return text.map_tokens(df, col, numbers.NUMBER, lambda t: numbers.spoken_numbers(t, lang), where)
+def expand_numbers(df: DataFrame, col: str, lang: str, where: Column | None = None, hits: str | None = None) -> DataFrame:
+    return text.map_tokens(df, col, numbers.NUMBER, lambda t: numbers.spoken_numbers(t, lang), where, hits)
 
 
-def spell_acronyms(df: DataFrame, col: str, where: Column | None = None) -> DataFrame:
-    return text.map_tokens(df, col, numbers.ACRONYM, numbers.spoken_acronyms, where)
+def spell_acronyms(df: DataFrame, col: str, where: Column | None = None, hits: str | None = None) -> DataFrame:
+    return text.map_tokens(df, col, numbers.ACRONYM, numbers.spoken_acronyms, where, hits)
 
 
-def spell_phones(df: DataFrame, col: str, where: Column | None = None) -> DataFrame:
-    return text.map_tokens(df, col, numbers.PHONE, numbers.spoken_phones, where)
+def spell_phones(df: DataFrame, col: str, where: Column | None = None, hits: str | None = None) -> DataFrame:
+    return text.map_tokens(df, col, numbers.PHONE, numbers.spoken_phones, where, hits)
 
 
 def lang_code(df: DataFrame, col: str) -> DataFrame:

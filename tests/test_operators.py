@@ -244,3 +244,16 @@ def test_timeline_of_clips_with_one_start(spark):
     df = spark.createDataFrame(rows, "job_id int, seq int, start_time double, n_samples long, sample_rate long")
     got = sorted((r.seq, r.start_sample, r.length, r.kept_length) for r in voices.timeline_placement(df).collect())
     assert got == [(0, 0, 100, 0), (1, 0, 300, 200), (2, 200, 25, 0), (3, 200, 70, 70)]
+
+
+def test_latest_job_reads_wide_rows_once_and_never_sorts_them(spark):
+    rows = [("f", i, f"j{i:03}", "x" * 50) for i in range(300)] + [("f", 299, "j9", "tie"), (None, None, "n1", "a"), (None, None, "n2", "b"), ("g", None, None, "c")]
+    table = spark.createDataFrame(rows, "filename string, created_at long, job_id string, results string").repartition(7)
+    latest = jobs.latest_job(table)
+    assert sorted((r.filename or "", r.job_id, r.results) for r in latest.collect()) == [("", "n2", "b"), ("f", "j9", "tie"), ("g", None, "c")]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "max_by" not in plan
+    assert "HashAggregate" in plan and "WindowGroupLimit" in plan
+    asked = spark.createDataFrame([("g",), ("none",), ("g",)], "filename string")
+    assert [r.results for r in jobs.latest_job(table, asked).collect()] == ["c"]
+    assert jobs.latest_job(table.limit(0)).collect() == []

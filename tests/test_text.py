@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segmentlab.functions import numbers, text
 from segmentlab.operators import normalize
-from segmentlab.plans.corpus_text import normalize_corpus
+from segmentlab.plans.corpus_text import RULES, hit_report, normalize_corpus, observe_hits
 
 VI = {
     "0": "không", "10": "mười", "11": "mười một", "15": "mười lăm", "21": "hai mươi mốt", "24": "hai mươi tư",
@@ -82,3 +82,16 @@ def test_ref_text_cap(spark):
     rows = [(0.0, 20.0, "a b c d e f"), (0.0, 10.0, " a b "), (0.0, 100.0, "a b"), (0.0, 16.0, "a b c d")]
     df = spark.createDataFrame(rows, "start_time double, end_time double, text string")
     assert [r.ref_text for r in normalize.ref_text_cap(df).collect()] == ["a b c", "a b", "a", "a b"]
+
+
+def test_hits_are_the_replacements_made(spark):
+    rows = [("vi", "gọi 0912345678 hoặc xem www.a.b, 5% và 7, ABC 漢字 12345678 9"), ("en", "5 % of 1.2.3 and 12, see x@y.zz NASA"), ("fr", "www.q.r 5% 7"), ("vi", None), ("vi", "")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    observed, hits = observe_hits(normalize_corpus(df, "text", "lang"))
+    got = {r.lang: r for r in hit_report(observed, "lang").collect()}
+    # A phone number is no number any more, a number with two dots is left as it is.
+    assert [got["vi"][f"hit_{r}"] for r in RULES] == [1, 2, 1, 1, 4, 1]
+    assert [got["en"][f"hit_{r}"] for r in RULES] == [1, 0, 0, 1, 2, 0]
+    assert [got["fr"][f"hit_{r}"] for r in RULES] == [1, 0, 0, 0, 0, 0]
+    assert got["vi"].texts == 3
+    assert hits.get["texts"] == 5 and hits.get["hit_numbers"] == 6
