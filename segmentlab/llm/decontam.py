@@ -11,7 +11,8 @@ joined exactly, so the benchmark may have any size. Pairs that cannot reach the
 number of shared seeds are not tiled: every tile of n words holds n - LEAST + 1 seeds.
 
 Absent and empty items match nothing; absent and empty documents are clean. Rows that repeat are judged each; a
-row without doc_id is reported with an absent doc_id, an item without item_id with an absent item_id.
+row without doc_id is reported with an absent doc_id, an item without item_id with an absent item_id. If one of the tables
+is empty there are no pairs; extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ first, the least changed ones. Once these links are known, classes of the bucket
 different components are paired in a second round, so that no link between components is lost.
 
 Absent texts and texts without words have empty sets and link with nothing. Rows that repeat are
-of one class. Rows without doc_id take part, but are never the smallest of a component.
+of one class. Rows without doc_id take part, but are never the smallest of a component. An empty table gives no rows;
+extra columns are not looked at. ``links`` gives all links between classes and counts them per document.
 """
 
 from __future__ import annotations

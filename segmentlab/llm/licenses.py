@@ -8,7 +8,8 @@ a detection of a rule with higher priority (or of the same rule set, but longer)
 
 Base: places where the words of a plain phrase stand consecutively, counted over words of
 letters a-z, digits and characters beyond ASCII. Base labels are always kept; the rules add more.
-Absent texts count as empty: no words, no labels, score 0. Rows that repeat are scanned each.
+Absent texts count as empty: no words, no labels, score 0. Rows that repeat are scanned each. An empty table gives no
+rows; extra columns are not looked at; texts of any length are scanned whole.
 """
 
 from __future__ import annotations

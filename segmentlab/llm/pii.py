@@ -12,7 +12,7 @@ trimmed of punctuation at their ends. The base spans of the plain patterns alway
 entity of the field is added where it overlaps no base span and has the parts its kind must have.
 
 Absent texts count as empty and have no spans; rows that repeat are scanned each. All positions
-are code points of the whole text.
+are code points of the whole text, however long. An empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations

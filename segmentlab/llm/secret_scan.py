@@ -6,7 +6,7 @@ again, until nothing new appears; a layer seen before is not opened again, which
 Spans found in a layer are mapped back to the text: character by character through escapes, to
 the whole encoded word through base64. The base spans are those of the text itself.
 
-Absent texts count as empty and have no spans; rows that repeat are scanned each. A
+Absent texts count as empty and have no spans; rows that repeat are scanned each; an empty table gives no rows. A
 decompressed layer of any size is scanned in windows of ``LAYER`` bytes that end after a line; only a
 line longer than that is scanned in windows that overlap by half, and counted in ``oversize``.
 """

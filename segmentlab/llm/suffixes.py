@@ -19,7 +19,8 @@ there, so a group of copies sends one row per batch. A seed with more than ``GRO
 pieces is resolved by grouping its windows themselves.
 
 Absent texts count as empty. Documents without doc_id come last. Rows that share a doc_id are told
-apart by the hash of their text; fully equal rows are one document and get the same answer.
+apart by the hash of their text; fully equal rows are one document and get the same answer. An empty table gives
+no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

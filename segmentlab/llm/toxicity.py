@@ -11,7 +11,7 @@ Labels are learned from a bounded sample: of the rows with a label whose crc32(d
 mod 3 is not 1, the ``sample`` first by md5 of the doc_id. Everything else covers all rows.
 Scores read the text alone. Absent and empty texts have no hits and get the
 score of a text without hits; repeated rows are scored each. Without usable labels the built-in
-lexicon stands, with fixed coefficients.
+lexicon stands, with fixed coefficients. An empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
