@@ -3,6 +3,10 @@
 Toxic documents go, then exact copies, then all but one document of each group of near copies, then documents
 that leak benchmark items; the last stage tells how many words of each document the mix
 takes. Every stage is written to the shared folder and read again by the next.
+
+Stages decide by row: rows without doc_id or with a repeated one are judged each. Absent and empty texts are clean; of
+several, equal as texts, the exact-copy stage keeps one. Of rows that repeat one stays. An empty table gives no
+rows and the same columns; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
