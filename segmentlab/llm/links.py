@@ -19,11 +19,12 @@ from __future__ import annotations
 import hashlib
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentlab.llm import jaccard
 from segmentlab.llm.common import bitmap, per_text
+from segmentlab.llm.components import components
 from segmentlab.session import written
 
 
@@ -81,16 +82,51 @@ def links(docs: DataFrame, size: int = jaccard.WORDS, percent: int = jaccard.PER
         ("a", "least_x", "least_y"), ("b", "least_y", "least_x"), ("n_a", "nx", "ny"), ("n_b", "ny", "nx"))), F.col("both").alias("overlap"))
 
 
-def link_counts(docs: DataFrame, size: int = jaccard.WORDS, percent: int = jaccard.PERCENT) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id with its set), class_size, n_classes (other classes linked with),
-    n_links (other documents linked with, those of its own class too)."""
-    members, per_class, similar = _linked(docs, size, percent)
+def _counted(per_class: DataFrame, similar: DataFrame) -> DataFrame:
+    """Classes (cid, least, class_size) with n_classes (other classes linked with) and n_links (other documents linked with)."""
     both = similar.select(F.col("x").alias("cid"), F.col("y").alias("other")).unionByName(similar.select(F.col("y").alias("cid"), F.col("x").alias("other")))
     sizes = per_class.select(F.col("cid").alias("other"), F.col("class_size").alias("others"))
     counted = both.join(sizes, "other").groupBy("cid").agg(F.count("*").alias("n_classes"), F.sum("others").alias("n_others"))
-    classes = per_class.join(counted, "cid", "left").select(
+    return per_class.join(counted, "cid", "left").select(
         "cid", "least", "class_size", F.coalesce("n_classes", F.lit(0)).alias("n_classes"), (F.coalesce("n_others", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
-    worded = F.col("n") > 0
+
+
+def _of_words(column: str, wordless) -> Column:
+    return F.when(F.col("n") > 0, F.col(column)).otherwise(wordless).cast("long").alias(column)
+
+
+def link_counts(docs: DataFrame, size: int = jaccard.WORDS, percent: int = jaccard.PERCENT) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id with its set), class_size, n_classes (other classes linked with),
+    n_links (other documents linked with, those of its own class too)."""
+    members, per_class, similar = _linked(docs, size, percent)
+    classes = _counted(per_class, similar).withColumnRenamed("least", "class_id")
+    return members.join(classes, "cid", "left").select(
+        "doc_id", _of_words("class_id", F.col("doc_id")), *(_of_words(c, F.lit(v)) for c, v in (("class_size", 1), ("n_classes", 0), ("n_links", 0))))
+
+
+def linked_groups(docs: DataFrame, size: int = jaccard.WORDS, percent: int = jaccard.PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other documents linked with)."""
+    members, per_class, similar = _linked(docs, size, percent)
+    roots = components(similar.select("x", "y"))
+    placed = _counted(per_class, similar).join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    per_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = placed.join(per_root, "root").select("cid", "component_id", "n_links")
     return members.join(classes, "cid", "left").select(
-        "doc_id", F.when(worded, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"),
-        *(F.when(worded, F.col(c)).otherwise(F.lit(v)).cast("long").alias(c) for c, v in (("class_size", 1), ("n_classes", 0), ("n_links", 0))))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), _of_words("component_id", F.col("doc_id")), _of_words("n_links", F.lit(0)))
+
+
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM d),
+u AS MATERIALIZED (SELECT r, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+k AS (SELECT x, count(*) AS n_links FROM e GROUP BY x),
+c AS (SELECT r, r AS o FROM d UNION SELECT e.y, c.o FROM c JOIN e ON e.x = c.r),
+m AS (SELECT c.o AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links FROM s JOIN m ON m.r = s.r LEFT JOIN k ON k.x = s.r
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentlab.llm import bpe, decontam, jaccard, licenses, mixing, pii, prefix_trie, radix, secret_scan, spelling, suffixes, templates, toxicity
+from segmentlab.llm import bpe, decontam, licenses, links, mixing, pii, prefix_trie, radix, secret_scan, spelling, suffixes, templates, toxicity
 from segmentlab.llm.common import table
 
 
@@ -54,7 +54,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.ngram_join(table(spark, sf_dir, "documents"))
+    return links.linked_groups(table(spark, sf_dir, "documents"))
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii, op9_exact_dedup, op10_ngram_join, op11_bpe, op12_spelling_variants, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
-    "op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffixes.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": jaccard.SQL,
+    "op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffixes.SQL, "op9_exact_dedup": radix.SQL, "op10_ngram_join": links.SQL,
     "op12_spelling_variants": spelling.SQL, "op13_prefix_trie": prefix_trie.SQL}

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from segmentlab.llm import links
+from segmentlab.llm import jaccard, links
 
 
 def shingle_set(text, size):
@@ -44,6 +44,27 @@ def test_links_against_brute_force(spark, docs, size, percent):
     assert sorted((tuple(r) for r in got), key=str) == counts
 
 
+@pytest.mark.parametrize("size, percent", [(4, 85), (3, 50)])
+def test_groups_and_their_links(spark, docs, size, percent):
+    rng, rows = random.Random(7), [(900, None), (901, ""), (902, "one two"), (903, "One  two")]
+    for group in range(4):
+        text = [f"w{rng.randrange(90)}" for _ in range(60)]
+        for k in range(20):  # a chain: each member changes its predecessor, so ends of a group need not link
+            text[rng.randrange(60)] = f"x{group}_{k}"
+            rows.append((group * 100 + k, " ".join(text)))
+    df = docs(rows + [(None, rows[-1][1])]).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in links.linked_groups(df, size, percent).collect() if r.doc_id is not None}
+    sets = [(d, frozenset(shingle_set(t, size))) for d, t in rows + [(None, rows[-1][1])]]
+    near = {i: [j for j, (_, o) in enumerate(sets) if j != i and s and o and 100 * len(s & o) >= percent * len(s | o)] for i, (_, s) in enumerate(sets)}
+    for i, (d, s) in enumerate(sets[:-1]):
+        reached, todo = {i}, [i]
+        while todo:
+            todo = [j for k in todo for j in near[k] if j not in reached]
+            reached.update(todo)
+        assert got[d] == (len(s), min(sets[j][0] for j in reached if sets[j][0] is not None), len(near[i]))
+    assert {(r.doc_id, r.component_id) for r in jaccard.ngram_join(df, size, percent).collect() if r.doc_id is not None} == {(d, c) for d, (_, c, _) in got.items()}
+
+
 def test_every_link_of_a_large_group(spark, docs):
     """300 near copies that all link with one another: no pair may be missing."""
     base = [f"w{i}" for i in range(400)]
@@ -59,4 +80,4 @@ def test_every_link_of_a_large_group(spark, docs):
 
 def test_no_documents(spark, docs):
     none = docs([(1, "a")]).limit(0)
-    assert links.links(none).collect() == [] and links.link_counts(none).collect() == []
+    assert links.links(none).collect() == [] and links.link_counts(none).collect() == [] and links.linked_groups(none).collect() == []
