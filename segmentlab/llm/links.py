@@ -5,7 +5,7 @@ are one class, links are between classes, and a document's number of links is co
 are never expanded into pairs. The method is that of ``jaccard``: classes meet at the shingles of their
 prefixes in the global order, overlaps are counted per fragment of the order and summed per pair.
 
-A bucket of a shingle is cut into bands of set sizes before it is joined: sets that are similar enough lie in one band
+A small bucket of a shingle is paired where it is read. A large one is cut into bands of set sizes before it is joined: sets that are similar enough lie in one band
 or in neighbouring ones. Lengths and places are conditions of that join, so pairs they rule out are never emitted.
 What remains grows with the links of a group, which are the result.
 
@@ -63,8 +63,10 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     per_class = written(members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")), "link-sizes")
     context = docs.sparkSession.sparkContext
     hot = context.broadcast(bitmap(jaccard._hot_shingles(docs, size), jaccard.BITS))
-    entries = written(jaccard._prefixes(docs, hot, salt, size, percent).dropDuplicates(["h", "cid"]), "link-prefixes")
-    pairs = written(candidates(entries, percent), "link-pairs")
+    # Most shingles of the prefixes are met by one class or a few: those pairs are made where the runs are read, and only large buckets go on.
+    met = written(jaccard._meet(jaccard._prefixes(docs, hot, salt, size, percent), percent), "link-met")
+    crowded = met.where("y IS NULL").select("h", F.col("x").alias("cid"), "n", "at")
+    pairs = written(jaccard.candidates(met, percent).unionByName(candidates(crowded, percent)).distinct(), "link-pairs")
     ends = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
     wanted = context.broadcast(bitmap(jaccard._signs(per_class.join(ends, "cid", "left_semi")), jaccard.BITS))
     found = jaccard.overlaps(pairs, written(jaccard._segments(docs, wanted, salt, size), "link-segments"))
