@@ -12,7 +12,7 @@ from segmentlab.checks.views import with_views
 from segmentlab.operators import quality as q
 from segmentlab.operators.ingest import watch_eligible, watch_summary
 from segmentlab.session import shared_dir
-from segmentlab.sources.media import scan_media, validate_media, with_content
+from segmentlab.sources.media import list_folder, scan_media, validate_media, with_content, with_header
 from segmentlab.sources.voices import read_voices
 from segmentlab.streaming.watch import _bucket as watch_bucket
 from segmentlab.streaming.watch import job_log, watch_batch
@@ -43,20 +43,18 @@ def _(v):
     return watch_summary(_decided(v))
 
 
-# First bytes of one file per event: every container kind, a wrong one, and one cut short.
-_HEADS = """SELECT concat('clip_', cast(event_id AS string), CASE WHEN event_id % 17 = 0 THEN '.txt' ELSE '.MOV' END) AS filename,
-    event_id * 100000 AS length, event_id % 8 AS kind FROM events"""
-
-
-@query("media_header_valid", f"""WITH heads AS ({_HEADS}),
-judged AS (SELECT filename, CASE WHEN filename LIKE '%.txt' THEN 'unsupported extension' WHEN kind >= 5 THEN 'not a known container'
-    WHEN length > 524288000 THEN 'too large' END AS reject_reason FROM heads)
+# Files of every container kind, a wrong one, and one cut short; the limit is 40 bytes.
+@query("media_header_valid", with_views("files") + """, judged AS (SELECT filename, CASE WHEN filename LIKE '%.txt' THEN 'unsupported extension'
+    WHEN n % 8 >= 5 THEN 'not a known container' WHEN 12 + n % 60 > 40 THEN 'too large' END AS reject_reason FROM files)
 SELECT filename, reject_reason, reject_reason IS NULL AS is_valid FROM judged""")
 def _(v):
-    head = F.expr("""CASE kind WHEN 0 THEN unhex('000000206674797069736f6d') WHEN 1 THEN unhex('00000008776964650000002A')
-        WHEN 2 THEN unhex('1A45DFA3A34286810142F781') WHEN 3 THEN unhex('52494646AABBCCDD41564920') WHEN 4 THEN unhex('000000086D64617400000000')
-        WHEN 5 THEN unhex('52494646AABBCCDD57415645') WHEN 6 THEN unhex('0000002066747970') ELSE unhex('FFD8FFE000104A4649460001') END""")
-    return validate_media(v.sql(_HEADS).withColumn("head", head)).select("filename", "reject_reason", "is_valid")
+    head = F.expr("""CASE n % 8 WHEN 0 THEN '000000206674797069736f6d' WHEN 1 THEN '00000008776964650000002A'
+        WHEN 2 THEN '1A45DFA3A34286810142F781' WHEN 3 THEN '52494646AABBCCDD41564920' WHEN 4 THEN '000000086D64617400000000'
+        WHEN 5 THEN '52494646AABBCCDD57415645' WHEN 6 THEN '0000002066747970' ELSE 'FFD8FFE000104A4649460001' END""")
+    padding = F.when(F.col("n") % 8 == 6, "").otherwise(F.expr("repeat('00', cast(n % 60 AS int))"))
+    folder = f"{shared_dir(v.spark)}/heads-{uuid.uuid4().hex}"
+    with_content(v.files.select("filename", F.unhex(F.concat(head, padding)).alias("content")), folder)
+    return validate_media(with_header(list_folder(v.spark, folder)), 40).select("filename", "reject_reason", "is_valid")
 
 
 _EXPECTED = "SELECT n AS asset, filename AS path FROM files"
@@ -96,21 +94,21 @@ def _(v):
         (q.not_silent(v.series), "not_silent"), (q.stretch_within(v.sql(_PAIRS, "series")), "stretch_ok"))
 
 
-def _dropped(v, choice: str) -> tuple[str, str, str]:
-    """Small media files of the chosen names in a folder of their own, with places for copies and for the ledger. Files are written by tasks."""
+def _dropped(v) -> tuple[str, str, str]:
+    """Small media files of all names in a folder of their own, with places for copies and for the ledger. Files are written by tasks."""
     root = f"{shared_dir(v.spark)}/watch-{uuid.uuid4().hex}"
-    names = v.sql(f"SELECT filename, n FROM files WHERE {choice}", "files")
+    names = v.files
     with_content(names.select("filename", F.expr("unhex(repeat('00', cast(n % 5 + 1 AS int)))").alias("content")), f"{root}/folder")
     return root, f"{root}/folder", f"{root}/copies"
 
 
-_SEEN = "SELECT filename, n FROM files WHERE n % 7 = 0"
+_SEEN = "SELECT filename, n FROM files"
 
 
 @query("scan_media", with_views("files") + f""", seen AS ({_SEEN})
 SELECT filename, n % 5 + 1 AS length FROM seen WHERE regexp_matches(lower(filename), '\\.(mp4|mkv|avi|mov|webm)$')""")
 def _(v):
-    _, folder, _ = _dropped(v, "n % 7 = 0")
+    _, folder, _ = _dropped(v)
     return scan_media(v.spark, folder).select("filename", "length")
 
 
@@ -121,7 +119,7 @@ twice AS (SELECT filename, 1 AS look FROM media UNION ALL SELECT filename, 3 FRO
 SELECT filename, 'QUEUED' AS status, 'Tiếng Việt' AS target_lang, 'Tiêu chuẩn' AS target_style, '16gb' AS vram_profile, false AS enable_lipsync, true AS enable_ocr, 'blur' AS ocr_mode,
        'multi' AS voice_mode, '' AS voice_preset, true AS auto_resume, look FROM twice""")
 def _(v):
-    root, folder, copies = _dropped(v, "n % 7 = 0")
+    root, folder, copies = _dropped(v)
     with_content(v.sql("SELECT filename FROM files WHERE n < 0", "files").withColumn("content", F.lit(b"")), copies)
     log = f"{root}/jobs"
     later = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")

@@ -15,6 +15,7 @@ from segmentlab.operators import transcripts as t
 from segmentlab.plans.translate import translate
 from segmentlab.session import shared_dir
 from segmentlab.sources import transcripts as files
+from segmentlab.sources.media import with_content
 
 MERGED = f"""{with_views("segments")},
 flagged AS (
@@ -242,7 +243,12 @@ SELECT job_id * 1000000 + part AS job_id, row_number() OVER (PARTITION BY job_id
        CASE WHEN seq % 9 = 0 THEN 0 ELSE start_time END AS start_time, end_time,
        regexp_replace(text, {_TRIM}) AS original_text, speaker FROM kept""")
 def _(v):
-    return files.parse_transcripts(_documents(v)).drop("translated_text")
+    # Written as files first, one for each document, and read as such.
+    folder = f"{shared_dir(v.spark)}/transcripts-{uuid.uuid4().hex}"
+    named = _documents(v).select(F.concat(F.col("job_id").cast("string"), F.lit(".json")).alias("filename"), F.col("document").cast("binary").alias("content"))
+    with_content(named, folder)
+    job = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).cast("bigint")
+    return files.read_transcripts(v.spark, folder, job).drop("translated_text")
 
 
 # Every third document is spoilt in one way or another.

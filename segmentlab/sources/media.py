@@ -20,12 +20,15 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All files in ``folder`` itself, not in folders below; the content column is never read."""
+    return spark.read.format("binaryFile").load(folder).select(
+        "path", file_name(F.col("path")).alias("filename"), F.col("modificationTime").alias("modified_at"), "length")
+
+
 def scan_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Media files in ``folder`` itself, not in folders below; the content column is never read."""
-    listing = spark.read.format("binaryFile").load(folder)
-    named = listing.select("path", file_name(F.col("path")).alias("filename"),
-                           F.col("modificationTime").alias("modified_at"), "length")
-    return named.filter(has_media_extension(F.col("filename")))
+    """The media files of :func:`list_folder`, by their names."""
+    return list_folder(spark, folder).filter(has_media_extension(F.col("filename")))
 
 
 def with_header(media: DataFrame) -> DataFrame:
@@ -59,15 +62,15 @@ def with_content(files: DataFrame, folder: str) -> None:
 
         from pyarrow import fs
 
+        system, inner = _system(folder, fs, quote)
+        system.create_dir(inner, recursive=True)
         for batch in batches:
             for name, content in zip(batch["filename"], batch["content"]):
-                system, inner = _system(folder, fs, quote)
-                system.create_dir(inner, recursive=True)
                 with system.open_output_stream(f"{inner}/{name}") as stream:
                     stream.write(bytes(content))
             yield batch[["filename"]]
 
-    written = files.select("filename", "content").mapInPandas(put, "filename string")
+    written = files.select("filename", "content").repartition("filename").mapInPandas(put, "filename string")
     written.write.format("noop").mode("overwrite").save()
     spark = files.sparkSession
     make_folder(spark, folder)
