@@ -56,14 +56,15 @@ def _(v):
 
 
 _RATED = "SELECT c_custkey AS video_id, 10 + (c_custkey % 51) * 0.98e0 AS fps, 1 + c_custkey % 300 AS total_frames FROM customer"
-_TAKEN = "SELECT c_custkey AS video_id, i AS sample FROM customer, (SELECT DISTINCT event_id % 40 AS i FROM events) s WHERE i <= c_custkey % 41"
+_TAKEN = "SELECT c_custkey AS video_id, i AS sample FROM customer, range(40) r(i) WHERE i <= c_custkey % 41"
 
 
 @query("frame_index_map", f"""WITH videos AS ({_RATED}), samples AS ({_TAKEN})
 SELECT s.video_id, least(sample * greatest(1, round_even(fps / 2, 0)::BIGINT), greatest(0, total_frames - 1)) AS frame_idx, max(sample) AS sample
 FROM samples s JOIN videos v ON v.video_id = s.video_id GROUP BY 1, 2""")
 def _(v):
-    return d.frame_index_map(v.sql(_RATED), v.sql(_TAKEN))
+    taken = "SELECT c_custkey AS video_id, explode(sequence(cast(0 AS bigint), least(c_custkey % 41, cast(39 AS bigint)))) AS sample FROM customer"
+    return d.frame_index_map(v.sql(_RATED), v.sql(taken))
 
 
 STATIC = with_views("detections", "frames", "videos") + """,
@@ -129,7 +130,7 @@ def _(v):
     return d.dynamic_text_exists(v.sql(_SHORT), seen, static)
 
 
-_TIMELINE = "SELECT video_id, frame_idx + k AS frame_idx FROM frames, (SELECT DISTINCT event_id % 3 * 5 AS k FROM events) s"
+_TIMELINE = "SELECT video_id, frame_idx + k AS frame_idx FROM frames, (VALUES (0), (5), (10)) s(k)"
 
 
 # Every second scanned frame is detected; all frames in between take over its boxes.
@@ -140,7 +141,7 @@ carried AS (SELECT t.video_id, t.frame_idx, s.frame_idx AS source_frame FROM tim
 SELECT c.video_id, c.frame_idx, source_frame, box_pos, x, y, w, h FROM carried c
 JOIN detections b ON b.video_id = c.video_id AND b.frame_idx = c.source_frame""")
 def _(v):
-    return d.ffill_boxes(v.sql(_TIMELINE, "frames"), v.frames.filter("frame_idx % 30 = 0"), v.detections)
+    return d.ffill_boxes(v.sql("SELECT video_id, explode(array(frame_idx, frame_idx + 5, frame_idx + 10)) AS frame_idx FROM frames", "frames"), v.frames.filter("frame_idx % 30 = 0"), v.detections)
 
 
 ROWS = MOVING + """,
