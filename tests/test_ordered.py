@@ -184,3 +184,20 @@ def test_a_job_with_a_third_of_the_lines_is_spread(spark, monkeypatch, limit):
         for key in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
             spark.conf.unset(f"spark.sql.{key}")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_lookup_many_broadcasts_no_side(spark, monkeypatch):
+    """Lists of samples look small to Spark, however many they hold; a hot key is dealt out."""
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    videos = spark.range(30).selectExpr("id AS video_id", "30e0 AS fps", "100000 AS total_frames")
+    samples = videos.selectExpr("video_id", "explode(sequence(0L, IF(video_id = 7, 999L, video_id))) AS sample")
+    placed = blocks.lookup_many(samples, videos, ["video_id"], "sample")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [video_id") == 1 and "_share" in plan.split("SortMergeJoin [video_id")[1][:60]
+    got = sorted((r.video_id, r.sample) for r in placed.collect())
+    assert got == sorted((v, i) for v in range(30) for i in range(1000 if v == 7 else v + 1))
+    mapped = d.frame_index_map(videos, samples)
+    plan = mapped._jdf.queryExecution().executedPlan().toString()
+    # What is broadcast holds counted keys only, twice.
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert mapped.count() == len(got)
