@@ -245,3 +245,37 @@ def test_long_white_space_before_a_document(spark):
     docs = spark.createDataFrame(rows, "job_id string, document string")
     assert sorted((r.job_id, r.original_text) for r in parse_transcripts(docs).collect()) == [("a", "hello"), ("b", "hello")]
     assert sorted((r.job_id, r.reject_reason) for r in transcript_rejects(docs).collect()) == [("c", "empty"), ("d", "not readable as JSON")]
+
+
+def test_list_folder_is_no_driver_listing(spark, tmp_path, monkeypatch):
+    """Many small files are few tasks, the driver holds no file index, and names, times and sizes are those of Spark's own listing."""
+    monkeypatch.setattr(media, "LISTED", 7)
+    for i in range(500):
+        (tmp_path / f"clip %{i} ü.mp4").write_bytes(b"x" * (i % 5))
+    for name in ("_hidden.mp4", ".hidden.mp4", "a._COPYING_"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.mp4").write_bytes(b"x")
+    listed = media.list_folder(spark, str(tmp_path))
+    assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert listed.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    theirs = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "modificationTime", "length")
+    # Spark's file source leaves out empty files.
+    seen = listed.filter("length > 0").select("path", "modified_at", "length")
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, theirs.collect()))
+    assert listed.count() == 500
+    with pytest.raises(FileNotFoundError):
+        media.list_folder(spark, str(tmp_path / "none"))
+
+
+def test_a_look_writes_few_files(spark, tmp_path):
+    """One file per bucket of names, however many tasks decide."""
+    folder, copies, log = tmp_path / "watch", tmp_path / "copies", str(tmp_path / "jobs")
+    folder.mkdir(), copies.mkdir()
+    for i in range(300):
+        (folder / f"c{i}.mp4").write_bytes(b"x")
+    later = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    watch_batch(spark, str(folder), str(copies), log, 0, now=later)
+    watch_batch(spark, str(folder), str(copies), log, 1, now=later)
+    assert job_log(spark, log).count() == 300
+    assert len(list((tmp_path / "jobs").rglob("*.parquet"))) == len(list((tmp_path / "jobs" / "batch=0").glob("name_bucket=*"))) <= 64
