@@ -95,3 +95,13 @@ def test_hits_are_the_replacements_made(spark):
     assert [got["fr"][f"hit_{r}"] for r in RULES] == [1, 0, 0, 0, 0, 0]
     assert got["vi"].texts == 3
     assert hits.get["texts"] == 5 and hits.get["hit_numbers"] == 6
+
+
+def test_touching_pairs_of_time_words(spark):
+    """As the reference's ``\\b(...)\\s+\\1\\b``: word edges take up no character, so pairs may touch."""
+    import re
+
+    said = ["năm năm năm năm chín", "năm năm năm", "Năm năm năm năm", "ngày ngày tháng tháng năm", "x năm năm năm năm năm y"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select(
+        "i", text.dedupe_time_words(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert got == [re.sub(r"\b(ngày|tháng|năm|giờ)\s+\1\b", r"\1", t, flags=re.IGNORECASE) for t in said]
