@@ -279,3 +279,10 @@ def test_a_look_writes_few_files(spark, tmp_path):
     watch_batch(spark, str(folder), str(copies), log, 1, now=later)
     assert job_log(spark, log).count() == 300
     assert len(list((tmp_path / "jobs").rglob("*.parquet"))) == len(list((tmp_path / "jobs" / "batch=0").glob("name_bucket=*"))) <= 64
+
+
+def test_job_states_ask_no_store_key_by_key(spark):
+    """State comes and goes with the rows of many jobs, not by calls of each job."""
+    events = spark.readStream.format("rate").load().selectExpr("value AS job_id", "value AS seq", "'QUEUED' AS status", "timestamp AS updated_at")
+    plan = job_state.job_state_stream(events)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
