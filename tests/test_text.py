@@ -105,3 +105,33 @@ def test_touching_pairs_of_time_words(spark):
     got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select(
         "i", text.dedupe_time_words(F.col("t")).alias("t")).orderBy("i").collect()]
     assert got == [re.sub(r"\b(ngày|tháng|năm|giờ)\s+\1\b", r"\1", t, flags=re.IGNORECASE) for t in said]
+
+
+def test_amounts_and_ands_as_plainly_said(spark):
+    """The rules that look back before they try give what the plain ones give."""
+    plain = rf"({text.DIGIT}[{text.DIGIT}.,]*)"
+    rng = random.Random(8)
+    said = ["".join(rng.choices("15.,đ₫$&  \tVNDvndx", k=rng.randrange(30))) for _ in range(3000)] + ["& & &", "a  &&  b", "1.5.,đ₫ 5$"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").repartition(4)
+    pairs = [(text.VI_EARLY[0], rf"{plain}{text.SPACE}*[đ₫](?![\p{{L}}\p{{N}}_À-ỹ])"), (text.VI_EARLY[1], rf"(?i){plain}{text.SPACE}*VND{text.EDGE}"),
+             (text.VI_LATE[2], rf"{plain}{text.SPACE}*\$"), (text.VI_LATE[4], rf"{plain}{text.SPACE}*VND{text.EDGE}"), (text.VI_LATE[5], rf"{text.SPACE}*+&{text.SPACE}*")]
+    same = [F.regexp_replace("t", new, said) .eqNullSafe(F.regexp_replace("t", old, said)) for (new, said), old in pairs]
+    assert df.filter(~F.array_min(F.array(*same))).collect() == []
+
+
+def test_long_runs_take_time_by_their_length(spark):
+    """A text of digits or blanks alone is no square of its length."""
+    import time
+
+    df = spark.range(4).select(F.repeat(F.lit("7"), 60_000).alias("digits"), F.repeat(F.lit(" "), 60_000).alias("blanks"))
+    started = time.time()
+    row = df.select(*(text.vi_symbols_late(text.vi_symbols_early(F.col(c))).alias(c) for c in df.columns)).collect()[0]
+    assert (row.digits, row.blanks) == ("7" * 60_000, " " * 60_000)
+    assert time.time() - started < 20
+
+
+def test_composition_asks_once(spark):
+    """The class of hundreds of ranges is tried only where a narrow look says it may match."""
+    rough, exact = text._unstable_classes()
+    plan = text.nfc(F.col("t"))._jc.toString()
+    assert plan.count("rlike") == 1 and f"(?={rough}){exact}" in plan
