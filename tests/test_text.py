@@ -130,8 +130,18 @@ def test_long_runs_take_time_by_their_length(spark):
     assert time.time() - started < 20
 
 
-def test_composition_asks_once(spark):
+def test_composition_asks_once(spark, monkeypatch):
     """The class of hundreds of ranges is tried only where a narrow look says it may match."""
+    asked = []
+    rlike = text.Column.rlike
+
+    class Asked(str):
+        def rlike(self, pattern):
+            asked.append(pattern)
+            return rlike(F.col(self), pattern)
+
+    monkeypatch.setattr(text.F, "coalesce", lambda *columns: None)
+    monkeypatch.setattr(text.F, "when", lambda condition, value: F.lit("x"))
+    text.nfc(Asked("t"))
     rough, exact = text._unstable_classes()
-    plan = text.nfc(F.col("t"))._jc.toString()
-    assert plan.count("rlike") == 1 and f"(?={rough}){exact}" in plan
+    assert len(asked) == 1 and asked[0].endswith(f"(?={rough}){exact}")
