@@ -284,14 +284,14 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return part.groupBy("x", "y", "nx", "ny").agg(F.sum("both").alias("both"))
 
 
-def links_among(docs: DataFrame, pairs: DataFrame, per_class: DataFrame, salt: int, size: int, percent: int) -> DataFrame:
-    """The candidate ``pairs`` (x, y) that are similar enough, written."""
+def links_among(docs: DataFrame, pairs: DataFrame, per_class: DataFrame, salt: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The candidate ``pairs`` (x, y) that are similar enough, and the segments of all classes of ``pairs``; both written."""
     ends = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(_signs(per_class.join(ends, "cid", "left_semi")), BITS))
     segments = written(_segments(docs, wanted, salt, size), "segments")
     found = overlaps(pairs, segments)
     union = F.col("nx") + F.col("ny") - F.col("both")
-    return written(found.where(F.col("both") * 100 >= union * percent).select("x", "y"), "similar")
+    return written(found.where(F.col("both") * 100 >= union * percent).select("x", "y"), "similar"), segments
 
 
 def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -329,10 +329,25 @@ def drop_near(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Dat
     return keep_keys(docs.where(words), key, keep).unionByName(docs.where(~words))
 
 
+def roots_of(docs: DataFrame, per_class: DataFrame, salt: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, root) of the classes that link with any, and the segments (cid, f, n, part) of these classes and a few more."""
+    hot = docs.sparkSession.sparkContext.broadcast(bitmap(_hot_shingles(docs, size), BITS))
+    met = written(_meet(_prefixes(docs, hot, salt, size, percent), percent), "met")
+    pairs = written(candidates(met, percent), "pairs")
+    similar, segments = links_among(docs, pairs, per_class, salt, size, percent)
+    roots = components(similar)
+    large = met.where("y IS NULL").select("h", "x", "n", "at")
+    if not large.isEmpty():
+        more = written(_left_over(large, roots, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            others, further = links_among(docs, more, per_class, salt, size, percent)
+            roots, segments = components(similar.unionByName(others)), segments.unionByName(further)
+    return roots, segments
+
+
 def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, text_sha256, root of its component, component_id."""
-    spark, salt = docs.sparkSession, 0
-    hot = spark.sparkContext.broadcast(bitmap(_hot_shingles(docs, size), BITS))
+    salt = 0
 
     def classes(salt: int) -> DataFrame:
         return written(per_text(docs, "n_shingles long, cid long, full binary, text_sha256 string", lambda: lambda texts: list(zip(*(
@@ -345,15 +360,7 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
         salt += 1
         members = classes(salt)
     per_class = written(members.groupBy("cid").agg(F.min("doc_id").alias("least")), "per-class")
-    met = written(_meet(_prefixes(docs, hot, salt, size, percent), percent), "met")
-    pairs = written(candidates(met, percent), "pairs")
-    similar = links_among(docs, pairs, per_class, salt, size, percent)
-    roots = components(similar)
-    large = met.where("y IS NULL").select("h", "x", "n", "at")
-    if not large.isEmpty():
-        more = written(_left_over(large, roots, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            roots = components(similar.unionByName(links_among(docs, more, per_class, salt, size, percent)))
+    roots, _ = roots_of(docs, per_class, salt, size, percent)
     per_class = per_class.join(roots, per_class["cid"] == roots["node"], "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     per_root = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = per_class.join(per_root, "root").select("cid", "root", "component_id")

@@ -81,3 +81,43 @@ def test_every_link_of_a_large_group(spark, docs):
 def test_no_documents(spark, docs):
     none = docs([(1, "a")]).limit(0)
     assert links.links(none).collect() == [] and links.link_counts(none).collect() == [] and links.linked_groups(none).collect() == []
+
+
+def test_blocks_of_a_component(spark, docs, monkeypatch):
+    """Components cut into many blocks give the same links and counts."""
+    monkeypatch.setattr(links, "BLOCK", 7)
+    rng, rows = random.Random(3), []
+    for group in range(2):
+        text = [f"w{rng.randrange(90)}" for _ in range(70)]
+        for k in range(30):
+            text[rng.randrange(70)] = f"x{group}_{k}"
+            rows.append((group * 100 + k, " ".join(text)))
+    df = docs(rows + [(500, rows[3][1])]).repartition(3)
+    pairs, counts = brute(rows + [(500, rows[3][1])], 4, 85)
+    assert sorted(tuple(r) for r in links.links(df).select("a", "b", "n_a", "n_b", "overlap").collect()) == pairs
+    got = links.link_counts(df).select("doc_id", "class_id", "class_size", "n_classes", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == counts
+
+
+def test_counting_links_makes_no_row_per_link(spark, docs, monkeypatch):
+    """Of 300 near copies with 44,850 links, no step may write more than a few rows per document."""
+    made = []
+
+    def counted(df, name, original=links.written):
+        out = original(df, name)
+        made.append((out.count(), name))
+        return out
+
+    from segmentlab.llm import components
+
+    for module in (links, jaccard, components):
+        monkeypatch.setattr(module, "written", counted)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for k in range(300):
+        words = list(base)
+        words[k] = "changed"
+        rows.append((k, " ".join(words)))
+    got = links.linked_groups(docs(rows)).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 299)}
+    # What the prefixes and their buckets hold follows the length of the texts, not the number of links.
+    assert max(n for n, name in made if name not in ("met", "link-met")) <= 20 * len(rows), made
