@@ -75,3 +75,44 @@ def test_suffix_order():
         for i in range(1, len(found)):
             a, b = found[i - 1], found[i]
             assert lcp[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("width", [1, 2, 4, 5])
+def test_suffix_order_by_symbols_of_several_bytes(width):
+    rng = random.Random(width)
+    strings = [bytes(rng.choice(b"ab\xf4") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [b"", b"a", b"abab" * 6, b"abab" * 6]
+    who, offset, lcp = suffixes.suffix_order(strings, width)
+    assert sorted(zip(who.tolist(), offset.tolist())) == sorted((i, o) for i, s in enumerate(strings) for o in range(len(s) + 1))
+
+    def symbols(i, o):
+        s = strings[i][o:]
+        return [s[at:at + width] for at in range(0, len(s) // width * width, width)]
+
+    found = [symbols(i, o) for i, o in zip(who.tolist(), offset.tolist())]
+    assert found == sorted(found)
+    for a, b, common in zip(found, found[1:], lcp.tolist()[1:]):
+        assert common == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_repeated_windows_in_few_rounds(monkeypatch):
+    """Windows that start earlier too, at any distance from the ends; a round takes several bytes."""
+    rounds = []
+    monkeypatch.setattr(suffixes, "_shared", lambda *a, original=suffixes._shared: rounds.append(1) or original(*a))
+    rng = random.Random(5)
+    common = bytes(rng.choice(b"abcdef") for _ in range(160))
+    rows = []
+    for k in range(40):
+        piece = common[rng.randrange(30):rng.randrange(120, 160)]
+        piece = bytes(rng.choice(b"xyz") for _ in range(rng.randrange(20))) + piece + bytes(rng.choice(b"xyz") for _ in range(rng.randrange(20)))
+        if len(piece) >= 100:
+            rows.append((piece, k, 7 * k, 1000 * k, len(piece) - 99))
+    seen, expected = set(), set()
+    for piece, k, h, start, r in rows:
+        for i in range(r):
+            window = piece[i:i + 100]
+            if window in seen:
+                expected.add((k, h, start + i))
+            seen.add(window)
+    got = {(d, h, s + i) for d, h, s, r in suffixes.repeated_windows(rows) for i in range(r)}
+    assert got == expected and expected
+    assert len(rounds) <= max(len(p) for p, *_ in rows) // 4 + 1
