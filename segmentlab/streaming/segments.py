@@ -68,17 +68,18 @@ class _Runs(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        lines, arrived = [], 0
+        lines, marked, arrived = [], False, 0
         for piece in rows:
             arrived = max(arrived, int(piece["arrived"].max().timestamp() * 1000))
-            lines += [tuple(self._plain(x) for x in line) for line in piece[[*_FIELDS, "is_last"]].itertuples(index=False)]
+            lines += [tuple(self._plain(x) for x in line) for line in piece.loc[~piece["bare"], [*_FIELDS, "is_last"]].itertuples(index=False)]
+            marked = marked or bool(piece["bare"].any())
         known = self.ended.get() if self.ended.exists() else self.last.get() if self.last.exists() else None
         over = self.ended.exists()
         passed = None if known is None else known[0]
         late = [line for line in lines if over or passed is not None and line[0] <= passed]
         on_time = [line for line in lines if not (over or passed is not None and line[0] <= passed)]
         waiting = sorted([*([tuple(h) for h in self.held.get()] if self.held.exists() else []), *(line[:-1] for line in on_time)], key=lambda line: line[0])
-        ends = any(line[-1] for line in on_time)
+        ends = any(line[-1] for line in on_time) or marked and not over
         ready = waiting if ends else waiting[:max(len(waiting) - self.reorder, 0)]
         run = None
         if self.run.exists():
@@ -125,11 +126,15 @@ def merged_stream(lines: DataFrame, max_gap: float = fixed.MAX_GAP, reorder: int
     A run is closed once a line breaks it or ``is_last`` ends the job. ``reorder`` lines of a job are held back, so that a line may
     be overtaken by as many. A line at or before the last one that went into a run, or of a job that ended within ``forget_hours``, is late.
     The lines that one batch has of a job are in the memory of one task: limit the files per batch at the source for a large backlog.
-    Lines without job_id or ``seq`` belong to no job.
+    Lines without job_id or ``seq`` belong to no job; but a row of a job without ``seq`` whose ``is_last`` is set ends the job
+    after the lines of its batch, even one that has had no line.
     """
     job_type = lines.schema["job_id"].dataType.simpleString()
-    given = lines.where("job_id IS NOT NULL AND seq IS NOT NULL").select(
-        "job_id", *(F.col(c).cast(t).alias(c) for c, t in (f.split() for f in _LINE.split(", "))), F.coalesce("is_last", F.lit(False)).alias("is_last"), F.current_timestamp().alias("arrived"))
+    # Rows without ``seq`` get one, as pandas would turn the others' into floats; ``bare`` tells them apart.
+    fields = (F.col(c).cast(t).alias(c) for c, t in (f.split() for f in _LINE.split(", ")))
+    given = lines.where("job_id IS NOT NULL AND (seq IS NOT NULL OR is_last)").select(
+        "job_id", *fields, F.coalesce("is_last", F.lit(False)).alias("is_last"), F.col("seq").isNull().alias("bare"), F.current_timestamp().alias("arrived"))
+    given = given.withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
     # The time of arrival is the clock of the timers; a batch's own is always ahead of the watermark.
     given = given.withWatermark("arrived", "1 hour")
     return given.groupBy("job_id").transformWithStateInPandas(

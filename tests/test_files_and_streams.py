@@ -170,6 +170,19 @@ def test_segment_stream_with_ends_and_late_lines(spark, tmp_path):
     assert sorted((r.job_id, r.seq) for r in s.late_lines(spark, out).collect()) == [("a", 1), ("b", 2)]
 
 
+def test_segment_stream_ends_a_job_without_a_line(spark, tmp_path):
+    """A row without ``seq`` ends its job: c has had no line, d closes its run; lines that follow are late."""
+    big = 10
+    out = run_batches(spark, tmp_path, [
+        [("d", big + 1, 0.0, 1.0, "d1", None, "X", False), ("d", big + 3, 1.2, 2.0, "d3", None, "X", False), ("d", None, None, None, None, None, None, True),
+         ("c", None, None, None, None, None, None, True), ("e", None, 0.0, 1.0, "no place", None, "X", False)],
+        [("c", 5, 0.0, 1.0, "c5", None, "X", False), ("d", big + 5, 2.2, 3.0, "d5", None, "X", False), ("d", None, None, None, None, None, None, True)],
+    ])
+    assert [(r.job_id, r.seq, r.original_text, r.n_lines) for r in s.merged_segments(spark, out).collect()] == [("d", big + 1, "d1 d3", 2)]
+    assert sorted((r.job_id, r.seq) for r in s.late_lines(spark, out).collect()) == [("c", 5), ("d", big + 5)]
+    assert s.open_segments(spark, out).count() == 0
+
+
 def test_segment_stream_puts_overtaken_lines_in_order(spark, tmp_path):
     line = lambda i: ("a", i, float(i), i + 0.9, f"w{i}", None, None, i == 5)
     out = run_batches(spark, tmp_path, [[line(1), line(0)], [line(3)], [line(2)], [line(5), line(4)]], reorder=2)
